@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import chat_format, digest
 from .compression_bands import compression_bands
 from .hilbert_shards import hilbert_shards
+from .ngram_join import ngram_join
 from .ordinal_quality import ordinal_quality
 from .packing import best_fit_packing
 from .shared import documents
@@ -19,6 +20,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(documents(spark, sf_dir))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(documents(spark, sf_dir))
 
