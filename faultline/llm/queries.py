@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import chat_format, digest
 from .compression_bands import compression_bands
+from .decontaminate import decontaminate
 from .hilbert_shards import hilbert_shards
 from .ngram_join import ngram_join
 from .ordinal_quality import ordinal_quality
@@ -20,6 +21,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(documents(spark, sf_dir))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
 
