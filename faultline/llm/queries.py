@@ -14,13 +14,20 @@ from .hilbert_shards import hilbert_shards
 from .ngram_join import ngram_join
 from .ordinal_quality import ordinal_quality
 from .packing import best_fit_packing
+from .pii import personal_data
 from .shared import documents
+from .token_rollup import token_rollup
+from .training_order import training_order
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(documents(spark, sf_dir))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup(documents(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -48,6 +55,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(chat_format(turns.unionByName(added[0]).unionByName(added[1])))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(documents(spark, sf_dir))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
