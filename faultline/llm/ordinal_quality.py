@@ -183,3 +183,24 @@ def score(docs: DataFrame, model: Model | None, grade: int = SELECT_GRADE, tail:
 
 def ordinal_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return score(docs, fit(docs, graded(labels), sample))
+
+
+def selected(docs: DataFrame, model: Model | None, grade: int = SELECT_GRADE, tail: float = SELECT_TAIL) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    spark = docs.sparkSession
+    bounded_arrow(spark)
+    shared, place = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, table = shared.value, _Features()
+        for batch in batches:
+            keep = []
+            for t in batch.column(place).cast(pa.binary()).to_pylist():
+                some = bool(t and not t.isspace())
+                if some and m is not None:
+                    at, value = features(t, table)
+                    some = bool(1 - m.below(float(m.weights[at] @ value))[grade - 1] >= tail)
+                keep.append(some)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

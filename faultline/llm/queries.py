@@ -68,7 +68,10 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    import corpus_pipeline
+
+    own = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 _OP7 = """
