@@ -1,16 +1,17 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-1. Frequencies of all shingles are counted into a sketch of fixed size, which defines one global order: rare first, then by hash. Any counts
-   give a correct order; good counts keep common passages out of prefixes.
-2. Documents with equal shingle sets form a class; one member stands for it.
-3. Two sets at or above the threshold share a shingle of both prefixes. Representatives that share prefix shingles, directly
-   or through others, form a cell, so that every link lies inside a cell and each set is shipped once for each block of its cell.
-4. Cells are cut into blocks of about BLOCK documents, and every pair of blocks is one small task. There the global order is cut into
+1. Frequencies of all shingles are counted into a sketch of fixed size. Documents with equal shingle sets form a class; one member stands for it.
+2. The global order of n-grams (by their 64-bit hash) is cut into fragments of equal width. Two sets that reach the threshold differ in
+   d shingles at most, d following from their sizes; of 2 d + 1 fragments they hold at least d + 1 alike. Each set emits its d + 1 strongest
+   fragments as keys (strength: rare shingles, by the sketch; an order of contents alone, so two sets drop the same fragments first). Any such pair
+   shares a key, whatever is common or hot. The number of fragments follows from a class of sizes; a set emits for its class and the next.
+3. Representatives that share keys, directly or through others, form a cell. Every link lies inside a cell.
+4. Cells are cut into blocks of about BLOCK documents, and every pair of blocks is one small task. There the order is cut into
    fragments of FRAGMENT shingles; overlaps of all pairs are counted in each fragment apart and summed per pair. The exact test on the
    sums decides. A task emits one row for each linked document, not one for each pair.
 5. Linked documents are joined to components.
 
-A very common prefix shingle is salted, so no shingle's postings meet in one task; a cell of any size is worked in full.
+Keys of very common shingles are salted, so no key's rows meet in one task; a cell of any size is worked in full.
 
 Nulls and edge cases: a null or empty text, or one without words, has no shingle and links with nothing; its component
 is its own id. A text with fewer words than a shingle counts whole as one. Repeated rows are equal sets. Rows that share an id
@@ -20,6 +21,8 @@ an empty result; extra columns are dropped.
 
 from __future__ import annotations
 
+import functools
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +32,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_arrow, stored
+from .shared import bounded_arrow, discard, stored
 
 SKETCH_BITS = 18
 SALTS = 32
-#: A prefix shingle whose count in the sketch is so far above the mean is salted.
+#: A key all of whose shingles are counted so far above the mean in the sketch is salted.
 HOT = 2000
 BLOCK = 96
 FRAGMENT = 4096
+#: Documents in cells whose ids are broadcast to the scan of the texts, at most; beyond that the texts are shuffled.
+BROADCAST_DOCS = 500_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -104,44 +109,76 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _rank(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Keys of the global order; equal keys are told apart by the hash itself."""
+    """Keys of a frequency order; equal keys are told apart by the hash itself."""
     return (np.minimum(counts[_bucket(s)], (1 << 23) - 1) << 40) | (s & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 shingles of a sorted set in the global order."""
-    p = len(s) - -(-percent * len(s) // 100) + 1
-    if not len(s) or p >= len(s):
-        return s
-    key = _rank(s, counts)
-    edge = np.partition(key, p - 1)[p - 1]
-    first = np.flatnonzero(key < edge)
-    return s[np.concatenate([first, np.flatnonzero(key == edge)[: p - len(first)]])]
-
-
-def _prefixes(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
+@functools.lru_cache(maxsize=4)
+def size_classes(percent: int, top: int = 1 << 40) -> tuple[int, ...]:
+    """First sizes of the classes; sets that can link lie in one class or in neighbouring ones."""
+    first = [1]
+    while first[-1] < top:
+        first.append(max(first[-1] + 1, -(-100 * first[-1] // percent)))
+    return tuple(first)
+
+
+def segment_keys(s: np.ndarray, counts: np.ndarray, percent: int, hot: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a sorted set, and whether each is hot."""
+    if not len(s):
+        return s, np.zeros(0, bool)
+    first = size_classes(percent)
+    own = bisect_right(first, len(s)) - 1
+    bucket = counts[_bucket(s)]
+    common = bucket > hot
+    weight = np.where(common, 0.001, 1.0)
+    keys, warm = [], []
+    for g in (own, own + 1):
+        d = (100 - percent) * 2 * (first[g + 1] - 1) // (100 + percent)
+        m = 2 * d + 1
+        fragment = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32) if m < 1 << 31 else s // np.uint64((1 << 64) // m + 1)
+        fragment = fragment.astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
+        at = fragment[start]
+        content = np.add.reduceat(s, start)
+        strength, rare = np.add.reduceat(weight, start), ~np.logical_and.reduceat(common, start)
+        key = _mixed(content * _ODD[0] + at.astype(np.uint64) * _ODD[1] + _ODD[2:3] * np.uint64(g + 1))
+        if len(at) > d + 1:
+            keep = np.lexsort((key, strength))[-(d + 1) :]
+        else:  # fewer fragments with shingles than keys: all of them, and empty ones by their place
+            keep = np.arange(len(at))
+            empty = np.setdiff1d(np.arange(m), at)
+            blank = _mixed(empty.astype(np.uint64) * _ODD[1] + _ODD[2:3] * np.uint64(g + 1))
+            blank = np.sort(blank)[-(d + 1 - len(at)) :] if d + 1 > len(at) else blank[:0]
+            keys.append(blank)
+            warm.append(np.ones(len(blank), bool))
+        keys.append(key[keep])
+        warm.append(~rare[keep])
+    return np.concatenate(keys), np.concatenate(warm)
+
+
+def _keys(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, c = _Hashes(), counts.value
         hot = c.mean() + HOT
         for batch in batches:
-            ids, sizes, keys, heads, salts, ends = batch.column(0), [], [], [], [], [0]
+            ids, sizes, sets, heads, salts, ends = batch.column(0), [], [], [], [], [0]
             for doc, t in zip(ids.to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 s = shingles(t, k, table)
-                head = prefix(s, c, percent) if doc is not None else s[:0]
+                head, warm = segment_keys(s if doc is not None else s[:0], c, percent, hot)
                 sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 heads.append(head)
-                salts.append(np.where(c[_bucket(head)] > hot, 1 + (doc or 0) % SALTS, 0))
+                salts.append(np.where(warm, 1 + (doc or 0) % SALTS, 0))
                 ends.append(ends[-1] + len(head))
             cell = pa.StructArray.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32))], ["token", "salt"])
-            cols = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cell)]
+            cols = [ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cell)]
             yield pa.RecordBatch.from_arrays(cols, ["doc", "n", "key", "prefix"])
 
     return docs.mapInArrow(run, "doc bigint, n bigint, key binary, prefix array<struct<token bigint, salt int>>")
 
 
 def _candidates(heads: DataFrame) -> DataFrame:
-    """Edges (a, b) that join all representatives with a common prefix shingle."""
+    """Edges (a, b) that join all representatives with a common key."""
     post = heads.select("doc", F.explode("prefix").alias("p")).select("doc", "p.token", "p.salt")
     run = Window.partitionBy("token", "salt").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     post = post.withColumn("centre", F.first("doc").over(run))
@@ -267,17 +304,21 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     bounded_arrow(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(frequencies(docs, k))
-    heads = stored(_prefixes(docs, k, percent, counts), "join-heads")
+    keyed = stored(_keys(docs, k, percent, counts), "join-keys")
+    heads = stored(keyed.select("doc", "n", "key"), "join-heads")
     classes = heads.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes, "join-classes")
-    first = heads.join(classes.select("key", F.col("rep").alias("doc")), ["key", "doc"]).select("doc", "prefix")
-    inside = components(_candidates(first)).select(F.col("node").alias("doc"), F.col("component").alias("cell"))
-    inside = stored(inside, "join-cells")
+    first = keyed.join(classes.select("key", F.col("rep").alias("doc")), ["key", "doc"]).select("doc", "prefix")
+    inside = stored(components(_candidates(first)).select(F.col("node").alias("doc"), F.col("component").alias("cell")), "join-cells")
+    discard(keyed)
     sizes = inside.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = stored(sizes, "join-sizes")
     copies = classes.groupBy(F.col("rep").alias("doc")).agg(F.max("copies").alias("copies"))
     cells = inside.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(copies, "doc")
-    links = stored(_links(docs, stored(cells, "join-blocks"), k, percent, counts), "join-links")
+    cells = stored(cells, "join-blocks")
+    if cells.count() <= BROADCAST_DOCS:
+        cells = F.broadcast(cells)
+    links = stored(_links(docs, cells, k, percent, counts), "join-links")
     found = components(links.select(F.col("doc").alias("a"), F.col("root").alias("b")))
     per = links.groupBy("doc").agg(F.sum("links").alias("links")).join(found.withColumnRenamed("node", "doc"), "doc")
     info = classes.join(per.withColumnRenamed("doc", "rep"), "rep", "left")
