@@ -17,7 +17,7 @@ def with_run(rows: DataFrame, path: str = "path") -> DataFrame:
 
 def infer_report(spark: SparkSession, path: str) -> DataFrame:
     """Issues of report.json files with `seq`, their place in a file. A file is one JSON array, which is split after it is read."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", f"array<{INFER_ISSUES.simpleString()}>").alias("a"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", f"array<struct<{INFER_ISSUES}>>").alias("a"))
     return text.select("path", F.posexplode("a").alias("seq", "i")).select("path", F.col("seq").cast("bigint"), "i.*")
 
 
@@ -67,7 +67,7 @@ def listed_crashes(files: DataFrame) -> DataFrame:
 
 def compile_commands(spark: SparkSession, path: str, root: str | None = None, mount: str = "/src") -> DataFrame:
     """Entries of compile_commands.json; with a root, paths below it are moved to the mount."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<{COMPILE_COMMANDS.simpleString()}>").alias("a"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{COMPILE_COMMANDS}>>").alias("a"))
     rows = text.select(F.posexplode("a").alias("seq", "c")).select("seq", "c.*")
     if root:
         moved = lambda c: F.replace(c, F.lit(root), F.lit(mount))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..schemas import TOOL_CALLS
 
@@ -33,7 +33,7 @@ def capped_buckets(rows: DataFrame, bucket: list[str], id_col: str, order: str,
     """Admission to buckets of k over a stream: a bucket's state is its admitted ids, k at most, so state doesn't grow with the rows of a hot bucket.
     With ttl_ms a bucket that rests so long is forgotten, which lets it fill anew."""
     schema = rows.schema
-    ids = StructType().add("ids", "array<string>")
+    ids = StructType().add("ids", ArrayType(StringType()))
 
     def admit(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
