@@ -15,6 +15,8 @@ Empty tables give no rows. Extra columns are dropped.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,40 +31,77 @@ BROADCAST_WINDOWS = 400_000
 #: Units that count as slots after a number.
 UNITS = "mm|cm|m|km|mg|g|kg|t|ml|l|s|sec|min|h|hr|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inches|pounds?|lbs?|dollars?|euros?|cents?|percent|mph"
 
-_NAME_MARK, _NUMBER_MARK, _UNIT_MARK = "", "", ""
-_MARKS = "-"
+_NAME_MARK, _NUMBER_MARK, _UNIT_MARK = "\ue001", "\ue002", "\ue003"
+_MARKS = "\ue001-\ue003"
+# Each begins with the character that is rarest in a text, so that the search fails fast.
 #: A capitalised word within a sentence.
-_NAME = r"(?<=[\p{L}\p{N},] )\p{Lu}\p{Ll}+(?!\p{L})"
-_NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*"
+_NAME = r"\p{Lu}(?<=[\p{L}\p{N},] \p{Lu})\p{Ll}+(?!\p{L})"
+_NUMBER = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+)*"
 _UNIT = rf"({_NUMBER_MARK}[0-9.,:/]+ ?)({UNITS})(?!\p{{L}})"
+#: Bits of the filter that windows pass before they become rows; a fixed size, as it only spares rows.
+FILTER_BITS = 20
 
 
 def marked(text: Column) -> Column:
     """The text with a mark before each name, number and unit, without marks of its own and without punctuation."""
-    x = F.regexp_replace(text, F.lit(f"[{_MARKS}]+"), F.lit(""))
+    x = text
+    for mark in (_NAME_MARK, _NUMBER_MARK, _UNIT_MARK):
+        x = F.replace(x, F.lit(mark), F.lit(""))
     x = F.regexp_replace(x, F.lit(_NAME), F.lit(f"{_NAME_MARK}$0"))
     x = F.regexp_replace(x, F.lit(_NUMBER), F.lit(f"{_NUMBER_MARK}$0"))
-    x = F.regexp_replace(x, F.lit(_UNIT), F.lit(f"$1{_UNIT_MARK}$2"))
+    x = F.when(x.contains(_NUMBER_MARK), F.regexp_replace(x, F.lit(_UNIT), F.lit(f"$1{_UNIT_MARK}$2"))).otherwise(x)
     return F.lower(F.regexp_replace(x, F.lit(rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARKS}\x20\x09-\x0D]+"), F.lit("")))
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, F.lit("[\\x20\\x09-\\x0D]+"), F.lit(" "))), " ")
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+", -1)
+
+
+def _has_mark(x: Column) -> Column:
+    return x.contains(_NAME_MARK) | x.contains(_NUMBER_MARK) | x.contains(_UNIT_MARK)
+
+
+def windows(rows: DataFrame, keep: str, length: int, whole: bool = False, bits: list[int] | None = None) -> DataFrame:
+    """One row for each window of `length` words: keep, at (from 0), hash, slots (values by word, null where there is none). whole: only texts of
+    just that length. bits: only windows whose hash is set in this filter."""
+    # no filter on computed columns: the optimiser would compute them again below it
+    rows = rows.select(keep, marked(F.coalesce("text", F.lit(""))).alias("m"))
+    plain = F.regexp_replace("m", F.lit(f"([{_MARKS}])[^{_MARKS}\\x20\\x09-\\x0D]*"), F.lit("$1"))
+    rows = rows.select(keep, _words(F.col("m")).alias("w"), F.when(_has_mark(F.col("m")), _words(plain)).alias("t"))
+    fits = (F.size("w") == length if whole else F.size("w") >= length) & (F.element_at("w", 1) != "")
+    rows = rows.select(
+        keep, F.when(fits, F.transform(F.coalesce("t", "w"), lambda w: F.xxhash64(w))).alias("h"), F.when(F.col("t").isNotNull(), F.transform("w", lambda w: F.when(_has_mark(w), w))).alias("v")
+    )
+    places = F.sequence(F.lit(1), F.size("h") - (length - 1))
+    hashes = F.when(F.col("h").isNotNull(), F.transform(places, lambda i: F.xxhash64(F.slice("h", i, length)))).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.select(keep, "v", hashes.alias("h"))
+    every = F.when(F.size("h") > 0, F.sequence(F.lit(1), F.size("h"))).otherwise(F.array().cast("array<int>"))
+    if bits is not None:
+        mask, table = (1 << FILTER_BITS) - 1, F.from_json(F.lit(json.dumps(bits)), "array<bigint>")  # folded to a constant
+
+        def passes(x: Column) -> Column:
+            slot = x.bitwiseAND(mask)
+            return F.getbit(F.element_at(table, (F.shiftright(slot, 6) + 1).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+
+        chosen = F.filter(every, lambda i: passes(F.element_at("h", i)))
+    else:
+        chosen = every
 
+    def window(i: Column) -> Column:
+        return F.struct((i - 1).alias("at"), F.element_at("h", i).alias("hash"), F.when(F.col("v").isNotNull(), F.slice("v", i, length)).alias("slots"))
 
-def windows(rows: DataFrame, keep: str, length: int, whole: bool = False) -> DataFrame:
-    """One row for each window of `length` words: keep, at (from 0), hash, slots (values by word, null where there is none). whole: only texts of just that length."""
-    rows = rows.where(F.col("text").isNotNull()).select(keep, _words(marked(F.col("text"))).alias("w"))
-    rows = rows.where((F.size("w") == length if whole else F.size("w") >= length) & (F.element_at("w", 1) != ""))
-    template = F.transform("w", lambda w: F.xxhash64(F.when(w.rlike(f"[{_MARKS}]"), F.regexp_replace(w, F.lit(f"([{_MARKS}])[^{_MARKS}]*"), F.lit("$1"))).otherwise(w)))
-    values = F.transform("w", lambda w: F.when(w.rlike(f"[{_MARKS}]"), w))
-    rows = rows.select(keep, template.alias("h"), F.when(F.exists("w", lambda w: w.rlike(f"[{_MARKS}]")), values).alias("v"))
+    return rows.select(keep, F.explode(F.transform(chosen, window)).alias("x")).select(keep, "x.at", "x.hash", "x.slots")
 
-    def window(i: Column) -> Column:
-        return F.struct((i - 1).alias("at"), F.xxhash64(F.slice("h", i, length)).alias("hash"), F.when(F.col("v").isNotNull(), F.slice("v", i, length)).alias("slots"))
 
-    rows = rows.select(keep, F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - (length - 1)), window)).alias("x"))
-    return rows.select(keep, "x.at", "x.hash", "x.slots")
+def _filter(own: DataFrame) -> list[int]:
+    """The windows' hashes as bits of 64-bit numbers; made from at most 2**FILTER_BITS / 64 rows, one for each number."""
+    mask = (1 << FILTER_BITS) - 1
+    slot = F.col("hash").bitwiseAND(mask)
+    rows = own.groupBy(F.shiftright(slot, 6).cast("int").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("b")).collect()
+    bits = [0] * (1 << (FILTER_BITS - 6))
+    for r in rows:
+        bits[r["k"]] = r["b"]
+    return bits
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -77,9 +116,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         fixed = length - F.coalesce(F.size(F.filter("item_slots", lambda x: x.isNotNull())), F.lit(0))
         own = own.withColumn("strong", fixed >= min(MIN_FIXED, -(-length // 2))).where(F.col("strong") | (fixed >= LEAST_FIXED))
         own = stored(own.withColumn("item_windows", F.count("*").over(Window.partitionBy("item_id"))), "items")
+        bits = _filter(own)
         if own.count() <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
-        hit = windows(docs, "doc_id", length).join(own, "hash").select("doc_id", "item_id", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("item_at", "strong", "item_slots", "slots").alias("x"))
+        hit = windows(docs, "doc_id", length, bits=bits).join(own, "hash").select("doc_id", "item_id", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("item_at", "strong", "item_slots", "slots").alias("x"))
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("n_windows"), F.lit(0).cast("bigint").alias("item_windows"), F.lit(True).alias("exact")).where("false")
