@@ -41,11 +41,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return folder
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     folder = new_folder(spark, label)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -89,7 +89,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def materialise(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, stride: int = STRIDE, shard_size: int = SHARD_SIZE, key: int = KEY) -> int:
     """Write the shards below folder; the number of sequences. A shard is one sorted file, written by one task and committed whole."""
     cut = sequences(docs, tokenizer, stride).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    cut = stored(cut, "order-sequences")
+    cut = stored(cut, "order-sequences", compression="zstd")
     rows, total = numbered(cut)
 
     @F.pandas_udf("bigint")
@@ -98,10 +98,11 @@ def materialise(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, stride
 
     width = 2 * stride
     rows = rows.withColumn("slot", slot("rank")).withColumn("shard", F.expr(f"slot div {shard_size}"))
-    padded = F.concat("record", F.unhex(F.repeat(F.lit("00"), F.lit(width) - F.octet_length("record"))))
     shards = max(1, -(-total // shard_size))
-    rows = rows.select("shard", "slot", "doc_id", "piece", "length", F.col("rank").alias("number"), padded.alias("record"))
-    rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    rows = rows.select("shard", "slot", "doc_id", "piece", "length", F.col("rank").alias("number"), "record")
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    padded = F.rpad("record", F.lit(width), F.lit(b"\0"))  # after the shuffle, which moves ids only
+    rows.withColumn("record", padded).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
     discard(cut)
     return total
 
