@@ -38,6 +38,15 @@ def finding_id(tool: Column, check_id: Column, file: Column, line: Column) -> Co
     return F.concat_ws(":", tool, check_id, file, line.cast("string"))
 
 
+def function_prefix(file: Column, name: Column) -> Column:
+    return F.concat_ws(":", file, name)
+
+
+def range_slice(source: Column, start: Column, end: Column) -> Column:
+    """Characters of a half-open range, from 0."""
+    return F.substr(source, start + 1, end - start)
+
+
 def line_count(start: Column, end: Column) -> Column:
     return end - start + 1
 

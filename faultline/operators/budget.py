@@ -48,7 +48,7 @@ def patch_budget(rows: DataFrame, keys: list[str], seq: str, tokens: str, patche
     return rows.withColumn("allowed", (F.col("used_before") < max_tokens) & (F.col("patches_before") < max_patches))
 
 
-def first_success(attempts: DataFrame, keys: list[str], attempt: str, parsed: str, max_attempts: int = 3, max_calls: int = 3, value: str | None = None) -> DataFrame:
+def first_success(attempts: DataFrame, keys: list[str], attempt: str, parsed: str, max_attempts: int = 3, max_calls: int = 5, value: str | None = None) -> DataFrame:
     """For each key: the first parsed attempt within the limits, how many were made until then, and whether it succeeded."""
     limit = min(max_attempts, max_calls)
     seen = attempts.where(F.col(attempt) <= limit)

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.code import functions as code_functions_of
+from ..functions import responses as P
 from ..functions import text as T
 from ..functions import traces as R
-from ..functions.code import functions as code_functions_of
-from ..operators import align, budget, corpus, dedup, findings, patch_flow, related, selection, units
+from ..operators import align, budget, corpus, dedup, findings, patch_flow, patches, related, reports, selection, units
 from ..streaming.streams import windowed_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,12 +130,12 @@ def reason_counts(spark, sf_dir):
 
 
 @query(
-    """with f as (select item_id, substr(text, 1, 60) as file from benchmark),
+    """with f as (select item_id, text as file from benchmark),
     m as (select f.item_id, min(d.doc_id) as doc from f join documents d on contains(d.text, f.file) group by 1)
     select f.item_id, coalesce(m.doc, (select min(doc_id) from documents)) as doc_id, m.doc is not null as matched from f left join m using (item_id)"""
 )
 def contains_join_fallback(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("file"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("file"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("stack_trace"))
     got = related.related_crash(items, docs)
     return got.select("item_id", F.col("crash.seq").alias("doc_id"), F.coalesce(F.contains(F.col("crash.stack_trace"), F.col("file")), F.lit(False)).alias("matched"))
@@ -388,20 +389,21 @@ def snippets(spark, sf_dir):
 
 
 @query(
-    """select item_id, 'patch_' || printf('%03d', item_id::int) || '_' || replace(left(text, 20), '/', '_') || '_' || left(regexp_replace(text, '[^\\p{L}\\p{N}_\\-]', '_', 'g'), 50) as name,
+    """select item_id, 'patch_' || printf('%03d', item_id::int) || '_' || replace(text, '/', '_') || '_' || left(regexp_replace(text, '[^\\p{L}\\p{N}_\\-]', '_', 'g'), 50) as name,
     substr(sha256(text), 1, 16) as hash from benchmark"""
 )
 def saved_names(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark")
-    return rows.select("item_id", T.saved_patch_name(F.col("item_id").cast("int"), F.substring("text", 1, 20), F.col("text")).alias("name"), T.patch_hash(F.col("text")).alias("hash"))
+    return rows.select("item_id", T.saved_patch_name(F.col("item_id").cast("int"), F.col("text"), F.col("text")).alias("name"), T.patch_hash(F.col("text")).alias("hash"))
 
 
 @query(
-    """select conv_id, '[' || case role when 'system' then 'System' when 'assistant' then 'Assistant' else 'User' end || ']: ' || text as prompt from conversations where turn = 0"""
+    """select conv_id, string_agg('[' || case role when 'system' then 'System' when 'assistant' then 'Assistant' else 'User' end || ']: ' || text, chr(10) || chr(10) order by turn) as prompt
+    from conversations group by 1"""
 )
 def message_flattening(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("turn = 0")
-    return rows.select("conv_id", T.flat_messages(F.array(F.struct("role", F.col("text").alias("content")))).alias("prompt"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return rows.select("conv_id", T.flat_messages(F.col("m")).alias("prompt"))
 
 
 @query("select date_trunc('day', ts) as day, event_type as tool, 'x' as action, count(*) as n from events group by 1, 2")
@@ -448,9 +450,7 @@ def sw_align(spark, sf_dir):
     """select item_id, array_to_string(list_concat([l[1]], ['changed'], l[3:]), chr(10)) as new_content from (select item_id, string_split(text, chr(10)) as l from benchmark)"""
 )
 def manual_application(spark, sf_dir):
-    from ..operators.patches import apply_manually
-
-    return _patches(spark, sf_dir).select("item_id", apply_manually(F.col("text"), F.col("patch"))["new_content"].alias("new_content"))
+    return _patches(spark, sf_dir).select("item_id", patches.apply_manually(F.col("text"), F.col("patch"))["new_content"].alias("new_content"))
 
 
 @query(
@@ -462,3 +462,76 @@ def patch_fold(spark, sf_dir):
     patches = p.select("run_id", "file_path", F.lit(0).cast("bigint").alias("seq"), "patch", (F.col("item_id") % 2 == 0).alias("build_success"))
     sources = p.select("run_id", "file_path", F.col("text").alias("source"))
     return patch_flow.patch_fold(patches, sources).select("run_id", "patch_applied", "retained", "content")
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y%m%d-%H%M%S') as run_id from orders")
+def run_ids(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.run_id(F.col("o_orderdate").cast("timestamp")).alias("run_id"))
+
+
+@query(
+    """select page_id, case when starts_with(url, 'http://th') then substr(url, 7) else url end as rel, regexp_matches(lower(url), '\\.(c|cc|cpp|cxx|h|hpp)$') as is_source, 'c' as language from pages"""
+)
+def path_projections(spark, sf_dir):
+    u = F.col("url")
+    rel = F.when(u.startswith("http://th"), T.relative_posix(u, F.lit("http:/"))).otherwise(u)
+    return table(spark, sf_dir, "pages").select("page_id", rel.alias("rel"), T.is_c_cpp(u).alias("is_source"), T.language(F.concat(F.lit("x/"), F.col("page_id").cast("string"), F.lit(".H"))).alias("language"))
+
+
+@query(
+    """select event_id, pos::bigint as pos, 'LLM_HEURISTIC' as check_id, case pos when 0 then try_cast(json_extract_string(props, '$.k') as int) else 0 end as line, case pos when 0 then 'high' else 'medium' end as severity,
+    case pos when 0 then event_type else 'default.c' end as file from events, (values (0), (2)) v(pos)"""
+)
+def response_findings(spark, sf_dir):
+    item = F.concat(F.lit('{"severity": "HIGH", "line": '), F.get_json_object("props", "$.k"), F.lit(', "file": "'), "event_type", F.lit('"}'))
+    body = F.concat(F.lit('Here:\n```json\n{"summary": "s", "findings": ['), item, F.lit(', 7, {"line": "none", "severity": "odd"}]}\n```'))
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit("default.c").alias("default_file"), body.alias("response"))
+    return P.response_findings(rows).select("event_id", F.col("pos").cast("bigint").alias("pos"), "check_id", "line", "severity", "file")
+
+
+@query(
+    """select item_id, len(string_split(text, chr(10))) + 1 as n_lines, list_sum(list_transform(string_split(text, chr(10)), lambda x: case when starts_with(x, ' ') then 1 else 0 end))::bigint as context from benchmark"""
+)
+def patch_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.concat(F.lit("@@ -1 +1 @@\n"), "text"), "\n", -1)).alias("l")).withColumn("k", selection.line_kinds(F.col("l")))
+    return rows.groupBy("item_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("k.context")).alias("context"))
+
+
+@query(
+    """select c_custkey as run_id, count(o_orderkey) as orders, any_value(s) as spent from customer left join orders on o_custkey = c_custkey
+    left join (select o_custkey as k, round(sum(o_totalprice), 2) as s from orders group by 1) on k = c_custkey group by 1"""
+)
+def assembled_runs(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumns({"project": F.lit("p"), "run_id": F.col("o_custkey")})
+    runs = table(spark, sf_dir, "customer").select(F.lit("p").alias("project"), F.col("c_custkey").alias("run_id"))
+    static = orders.groupBy("project", "run_id").agg(F.count("*").alias("orders"))
+    spent = orders.groupBy("project", "run_id").agg(F.round(F.sum("o_totalprice"), 2).alias("spent"))
+    empty = static.where("false").select("project", "run_id", F.lit(0).alias("none"))
+    return reports.assembled_runs(runs, static, spent, empty).select("run_id", F.coalesce("orders", F.lit(0)).alias("orders"), "spent")
+
+
+@query("select distinct url from pages where regexp_matches(url, '^http.*ref=[xy]$') order by 1")
+def skip_paths(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").withColumn("rel", F.col("url"))
+    return selection.skip_paths(rows, [], ["http*ref=[xy]"], "url", "rel")
+
+
+@query("select n_name as harness, case when starts_with(n_name, 'A') then 'fuzzer_' || n_name else 'fuzz_any' end as binary from nation")
+def binary_lookup(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("harness"))
+    built = nations.where("harness like 'A%'").select(F.concat(F.lit("fuzzer_"), "harness").alias("name"), F.lit(True).alias("executable"))
+    return selection.harness_binary(nations, built.unionByName(spark.range(1).select(F.lit("fuzz_any").alias("name"), F.lit(True).alias("executable"))))
+
+
+@query(
+    """select p.item_id, d.doc_id from (select item_id from benchmark) p cross join (select doc_id, lang from documents where doc_id in (select min(doc_id) from documents group by lang)) d"""
+)
+def verification_grid(spark, sf_dir):
+    first = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("harness")).agg(F.min("doc_id").alias("doc_id")).withColumn("run_id", F.lit("r"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lit("r").alias("run_id"))
+    return related.verification_grid(items, first).select("item_id", "doc_id")
+
+
+@query("select doc_id, list_has_any(string_split(text, ' '), ['idiot']) as hit, substr(text, 11, 20) as part from documents")
+def range_slices(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_contains(F.split("text", " "), "idiot").alias("hit"), T.range_slice(F.col("text"), F.lit(10), F.lit(30)).alias("part"))
