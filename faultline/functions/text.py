@@ -57,8 +57,8 @@ def is_small(start: Column, end: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines as str.splitlines gives them: the empty one after a last line end is dropped."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    bare = F.regexp_replace(text, F.lit(rf"(?:{LINE_END})\z"), F.lit(""))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(bare, LINE_END, -1))
 
 
 def snippet(text: Column, lines: int = 200) -> Column:
@@ -132,12 +132,10 @@ def harness_seconds(total: Column, harnesses: Column) -> Column:
 
 def context_window(source: Column, line: Column, k: int) -> Column:
     """Numbered lines around one, which is marked."""
-    lines = split_lines(source)
-    first, last = F.greatest(F.lit(0), line - k - 1), F.least(F.size(lines), line + k)
-    rows = F.transform(
-        F.when(last > first, F.sequence(first + 1, last)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat(F.format_string("%4d", i), F.when(i == line, F.lit(">>> ")).otherwise(F.lit("    ")), F.element_at(lines, i)),
-    )
+    first = F.greatest(F.lit(0), line - k - 1)
+    shown = F.slice(split_lines(source), first + 1, F.greatest(line + k - first, F.lit(0)))
+    number = lambda i: first + i + 1
+    rows = F.transform(shown, lambda x, i: F.concat(F.format_string("%4d", number(i)), F.when(number(i) == line, F.lit(">>> ")).otherwise(F.lit("    ")), x))
     return F.array_join(rows, "\n")
 
 
