@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_arrow, discard, stored
+from .shared import bounded_arrow, discard, small, stored
 
 SKETCH_BITS = 18
 SALTS = 32
@@ -161,25 +161,26 @@ def _keys(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
         table, c = _Hashes(), counts.value
         hot = c.mean() + HOT
         for batch in batches:
-            ids, sizes, sets, heads, salts, ends = batch.column(0), [], [], [], [], [0]
+            ids, sizes, sets, cold, warm_keys, ends, warm_ends = batch.column(0), [], [], [], [], [0], [0]
             for doc, t in zip(ids.to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 s = shingles(t, k, table)
                 head, warm = segment_keys(s if doc is not None else s[:0], c, percent, hot)
                 sizes.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                heads.append(head)
-                salts.append(np.where(warm, 1 + (doc or 0) % SALTS, 0))
-                ends.append(ends[-1] + len(head))
-            cell = pa.StructArray.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32))], ["token", "salt"])
-            cols = [ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cell)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "n", "key", "prefix"])
+                cold.append(head[~warm])
+                warm_keys.append(head[warm])
+                ends.append(ends[-1] + len(cold[-1]))
+                warm_ends.append(warm_ends[-1] + len(warm_keys[-1]))
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(np.concatenate(x).view(np.int64))) for e, x in ((ends, cold), (warm_ends, warm_keys))]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), *lists], ["doc", "n", "key", "keys", "hot_keys"])
 
-    return docs.mapInArrow(run, "doc bigint, n bigint, key binary, prefix array<struct<token bigint, salt int>>")
+    return docs.mapInArrow(run, "doc bigint, n bigint, key binary, keys array<bigint>, hot_keys array<bigint>")
 
 
 def _candidates(heads: DataFrame) -> DataFrame:
     """Edges (a, b) that join all representatives with a common key."""
-    post = heads.select("doc", F.explode("prefix").alias("p")).select("doc", "p.token", "p.salt")
+    post = heads.select("doc", F.size("keys").alias("n"), F.posexplode(F.concat("keys", "hot_keys")).alias("pos", "token"))
+    post = post.select("doc", "token", F.when(F.col("pos") < F.col("n"), 0).otherwise(1 + F.pmod("doc", F.lit(SALTS))).cast("int").alias("salt"))
     run = Window.partitionBy("token", "salt").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     post = post.withColumn("centre", F.first("doc").over(run))
     runs = stored(post.where("doc <> centre or salt > 0"), "join-runs")
@@ -308,16 +309,14 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     heads = stored(keyed.select("doc", "n", "key"), "join-heads")
     classes = heads.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes, "join-classes")
-    first = keyed.join(classes.select("key", F.col("rep").alias("doc")), ["key", "doc"]).select("doc", "prefix")
+    first = keyed.join(classes.select("key", F.col("rep").alias("doc")), ["key", "doc"]).select("doc", "keys", "hot_keys")
     inside = stored(components(_candidates(first)).select(F.col("node").alias("doc"), F.col("component").alias("cell")), "join-cells")
     discard(keyed)
     sizes = inside.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = stored(sizes, "join-sizes")
     copies = classes.groupBy(F.col("rep").alias("doc")).agg(F.max("copies").alias("copies"))
     cells = inside.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(copies, "doc")
-    cells = stored(cells, "join-blocks")
-    if cells.count() <= BROADCAST_DOCS:
-        cells = F.broadcast(cells)
+    cells = small(stored(cells, "join-blocks"), BROADCAST_DOCS)
     links = stored(_links(docs, cells, k, percent, counts), "join-links")
     found = components(links.select(F.col("doc").alias("a"), F.col("root").alias("b")))
     per = links.groupBy("doc").agg(F.sum("links").alias("links")).join(found.withColumnRenamed("node", "doc"), "doc")

@@ -72,6 +72,11 @@ def _clean() -> None:
             return
 
 
+def small(ids: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A stored table of ids, to be broadcast if it has at most `limit` rows; else a join with it shuffles."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
