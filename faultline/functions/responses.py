@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 
 from .text import valid_severity
 
+# Patterns that results depend on.
+FENCED_JSON = r"(?U)```(?:json)?\s*\n?([\s\S]*?)\n?```"
+BRACES = r"(\{[\s\S]*\})"
+PATCH_BLOCKS = [r"(?is)```yaml\s*(.*?)```", r"(?is)```yml\s*(.*?)```", r"(?is)```\s*(analysis:.*?)```"]
+DIFF_HUNK = r"(?s)(@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@.*?)(?=\n@@ |\n```|\z)"
+
 #: One item of a findings list; everything is read as a string, as models mix types.
 _ITEM = "check_id string, severity string, file string, line string, title string, detail string, function_name string"
 
@@ -17,9 +23,9 @@ _ITEM = "check_id string, severity string, file string, line string, title strin
 def json_text(response: Column) -> Column:
     """The JSON in a response: of the first fenced block, else from the first brace to the last."""
     bare = F.trim(F.regexp_replace(response, r"(?U)^\s+|\s+$", ""))
-    fenced = F.regexp_extract(bare, r"(?U)```(?:json)?\s*\n?([\s\S]*?)\n?```", 1)
-    inner = F.when(bare.rlike(r"(?U)```(?:json)?\s*\n?([\s\S]*?)\n?```"), F.regexp_replace(fenced, r"(?U)^\s+|\s+$", "")).otherwise(bare)
-    return F.when(inner.startswith("{"), inner).otherwise(F.coalesce(F.nullif(F.regexp_extract(inner, r"(\{[\s\S]*\})", 1), F.lit("")), inner))
+    fenced = F.regexp_extract(bare, FENCED_JSON, 1)
+    inner = F.when(bare.rlike(FENCED_JSON), F.regexp_replace(fenced, r"(?U)^\s+|\s+$", "")).otherwise(bare)
+    return F.when(inner.startswith("{"), inner).otherwise(F.coalesce(F.nullif(F.regexp_extract(inner, BRACES, 1), F.lit("")), inner))
 
 
 def response_findings(responses: DataFrame, response: str = "response", default_file: str = "default_file") -> DataFrame:
@@ -50,9 +56,8 @@ _PATCH = "analysis string, fix_strategy string, file_path string, patch string"
 
 def patch_text(response: Column) -> Column:
     """The YAML of a patch response, or null: a yaml, yml or plain fenced block, else the whole text if it looks like one."""
-    blocks = [r"(?is)```yaml\s*(.*?)```", r"(?is)```yml\s*(.*?)```", r"(?is)```\s*(analysis:.*?)```"]
     first = F.lit(None).cast("string")
-    for p in reversed(blocks):
+    for p in reversed(PATCH_BLOCKS):
         first = F.when(response.rlike(p), F.regexp_extract(response, p, 1)).otherwise(first)
     first = F.nullif(F.regexp_replace(first, r"(?U)^\s+|\s+$", ""), F.lit(""))
     return F.coalesce(first, F.when(response.contains("analysis:") & response.contains("patch:"), response))
@@ -84,7 +89,7 @@ def parsed_patch(response: Column) -> Column:
 
 def unified_diff(text: Column) -> Column:
     """All hunks in a text, joined; else the lines that look like one; else null."""
-    hunks = F.regexp_extract_all(text, F.lit(r"(?s)(@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@.*?)(?=\n@@ |\n```|\z)"), F.lit(1))
+    hunks = F.regexp_extract_all(text, F.lit(DIFF_HUNK), F.lit(1))
     start = F.struct(F.lit(False).alias("on"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("got"))
 
     def step(acc: Column, line: Column) -> Column:

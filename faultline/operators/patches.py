@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_lines
 
+# Hunk headers, as aligned patches and directly applied ones read them.
 HEADER = r"(?U)^@@\s-(\d*),?\d*\s\+\d*,?\d*\s@@"
 STRICT = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 _HUNK = "array<struct<line_number:int,elines:array<struct<op:string,text:string>>>>"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LINES, MAX_GAP, SMALL = 50, 5, 10
+# Fixed values.
+MAX_LINES, MAX_GAP = 50, 5
 
 
 def islands(items: Column, max_lines: int = MAX_LINES, max_gap: int = MAX_GAP) -> Column:
