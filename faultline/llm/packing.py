@@ -109,6 +109,8 @@ def evolve(size: np.ndarray, seeds: list[list[list[int]]], capacity: int, seed:
     rng = np.random.default_rng(seed)
     everything = range(len(size))
     bound = -(-int(size.sum()) // capacity)
+    if any(len(x) <= bound for x in seeds):  # nothing left to gain
+        return max(seeds, key=lambda x: fitness(x, size, capacity))
     people = [*seeds, best_fit([], list(everything), size, capacity)]
     if min(map(len, people)) > bound:
         while len(people) < POPULATION:
