@@ -135,3 +135,14 @@ def test_near_duplicate_stage_keeps_the_smallest_id(spark, small):
 def test_op7_adds_the_control_conversation(spark, small):
     rows = {r.conv_id: r for r in op7_chat_format(spark, small).collect()}
     assert rows[-1].n_turns == 2 and rows[-1].loss_chars == len("</s>[INST] ok [/INST]") and rows[1].n_turns == 1
+
+
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    import faultline.llm.decontaminate as module
+
+    monkeypatch.setattr(module, "BROADCAST_WINDOWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert set(met(spark, [(1, f"x {PLAIN}"), (2, "no"), (3, PLAIN)])) == {(1, 2), (3, 2)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -394,3 +394,12 @@ def test_ordinal_likelihood_falls():
     m = oq.train(at, value, grade)
     s = np.array([m.weights[a].sum() for a in at])
     assert ((s[:, None] > m.thresholds).sum(1) == grade).mean() > 0.9
+
+
+def test_ngram_join_without_broadcasts(docs, monkeypatch):
+    import faultline.llm.ngram_join as module
+
+    monkeypatch.setattr(module, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(module, "HOT", -10**9)  # every key is salted
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in module.ngram_join(docs).collect()}
+    assert got == reference_join([(r[0], r[1]) for r in sample()], 4, 85)
