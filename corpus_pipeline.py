@@ -20,7 +20,7 @@ from faultline.llm.ngram_join import ngram_join
 from faultline.llm.ordinal_quality import fit, graded, selected
 from faultline.llm.packing import best_fit_packing
 from faultline.llm.pii import masked
-from faultline.llm.shared import stored
+from faultline.llm.shared import small, stored
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
@@ -30,15 +30,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    groups = stored(ngram_join(docs, SHINGLE_WORDS, SIMILARITY_PERCENT).select("doc_id", "component_id"), "groups")
+    per = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
+    gone = stored(per.where("doc_id <> c or n > 1").select("doc_id", (F.col("doc_id") == F.col("c")).alias("head")), "gone")
+    out = docs.join(small(gone), "doc_id", "left_anti")
+    several = gone.where("head").select("doc_id")
+    if several.limit(1).count():  # ids of more than one row
+        out = out.unionByName(docs.join(small(several), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     met = met_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(stored(met, "met"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(stored(met, "met")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
