@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import bounded_arrow, discard, small, stored
 
-SKETCH_BITS = 18
+SKETCH_BITS = 19
 SALTS = 32
 #: A key all of whose shingles are counted so far above the mean in the sketch is salted.
 HOT = 2000
@@ -81,7 +81,7 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of all documents' shingles in 2**SKETCH_BITS buckets: 2 MB, whatever the input."""
+    """Counts of all documents' shingles in 2**SKETCH_BITS buckets: 4 MB, whatever the input."""
     chunk = 1 << (SKETCH_BITS - 4)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +90,13 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
             found = [_bucket(shingles(t, k, table)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             total += np.bincount(np.concatenate(found), minlength=1 << SKETCH_BITS)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(16)), pa.array([total[i * chunk : (i + 1) * chunk].tobytes() for i in range(16)])], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(16)), pa.array([total[i * chunk : (i + 1) * chunk].astype(np.int32).tobytes() for i in range(16)])], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[i] = sums.get(i, 0) + np.frombuffer(x, np.int64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(x, np.int32).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()])], ["chunk", "counts"])
 
@@ -130,7 +130,9 @@ def segment_keys(s: np.ndarray, counts: np.ndarray, percent: int, hot: float) ->
     own = bisect_right(first, len(s)) - 1
     bucket = counts[_bucket(s)]
     common = bucket > hot
-    weight = np.where(common, 0.001, 1.0)
+    mean = max(1.0, hot - HOT)
+    over = bucket - mean  # about the documents that hold it, where it stands out of the sketch's noise
+    weight = np.where(over > 4 * np.sqrt(mean), 1 / np.maximum(over, 1), 1.0)
     keys, warm = [], []
     for g in (own, own + 1):
         d = (100 - percent) * 2 * (first[g + 1] - 1) // (100 + percent)
@@ -309,7 +311,9 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     heads = stored(keyed.select("doc", "n", "key"), "join-heads")
     classes = heads.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes, "join-classes")
-    first = keyed.join(classes.select("key", F.col("rep").alias("doc")), ["key", "doc"]).select("doc", "keys", "hot_keys")
+    copied = heads.join(classes.where("copies > 1"), "key").where("doc <> rep").select("key", "doc").distinct()
+    copied = stored(copied, "join-copied")
+    first = keyed.where("doc is not null").join(small(copied, BROADCAST_DOCS), ["key", "doc"], "left_anti").select("doc", "keys", "hot_keys")
     inside = stored(components(_candidates(first)).select(F.col("node").alias("doc"), F.col("component").alias("cell")), "join-cells")
     discard(keyed)
     sizes = inside.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
