@@ -9,7 +9,6 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
-from pyspark.sql import functions as F
 
 from faultline.llm import compression_bands as cb
 from faultline.llm import hilbert_shards as hs
