@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Words of benchmark items and of documents become templates: names, numbers and units after a number turn into typed placeholders, so
-a re-parameterised question has the template of its original. All windows of WINDOW template words of all documents are probed
-against the benchmark's by a hash join on 64-bit hashes. Windows that meet at one alignment of a document and an item are one
+a re-parameterised question has the template of its original. What is a name depends on capitals and spaces, so each window comes in a second form too, as
+plain lower-cased words, by which a verbatim passage is found however it is capitalised or wrapped. All windows of WINDOW words of all documents, in both forms, are probed
+against the benchmark's by one hash join on 64-bit hashes. Windows that meet at one alignment of a document and an item are one
 occurrence; it counts if its slots are consistent: each value of the item stands for one value of the document throughout.
 A window of placeholders alone can't convict: one window of an occurrence needs MIN_FIXED fixed words.
 
@@ -61,36 +62,62 @@ def _has_mark(x: Column) -> Column:
     return x.contains(_NAME_MARK) | x.contains(_NUMBER_MARK) | x.contains(_UNIT_MARK)
 
 
-def windows(rows: DataFrame, keep: str, length: int, whole: bool = False, bits: list[int] | None = None) -> DataFrame:
-    """One row for each window of `length` words: keep, at (from 0), hash, slots (values by word, null where there is none). whole: only texts of
-    just that length. bits: only windows whose hash is set in this filter."""
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def hashed(rows: DataFrame, keep: str, length: int, whole: bool = False) -> DataFrame:
+    """One row for each text: keep, p (hashes of its windows of `length` plain words), t (of template words; null without any slot), v (slot values by
+    word, null where there is none). whole: only texts of just that length."""
     # no filter on computed columns: the optimiser would compute them again below it
     rows = rows.select(keep, marked(F.coalesce("text", F.lit(""))).alias("m"))
-    plain = F.regexp_replace("m", F.lit(f"([{_MARKS}])[^{_MARKS}\\x20\\x09-\\x0D]*"), F.lit("$1"))
-    rows = rows.select(keep, _words(F.col("m")).alias("w"), F.when(_has_mark(F.col("m")), _words(plain)).alias("t"))
-    fits = (F.size("w") == length if whole else F.size("w") >= length) & (F.element_at("w", 1) != "")
+    rows = rows.select(keep, "m", _has_mark(F.col("m")).alias("has"))
+    template = F.regexp_replace("m", F.lit(f"([{_MARKS}])[^{_MARKS}\\x20\\x09-\\x0D]*"), F.lit("$1"))
+    plain = F.when(F.col("has"), F.translate("m", _NAME_MARK + _NUMBER_MARK + _UNIT_MARK, "")).otherwise(F.col("m"))
+    rows = rows.select(keep, _words(plain).alias("p"), F.when(F.col("has"), _words(F.col("m"))).alias("w"), F.when(F.col("has"), _words(template)).alias("t"))
+    fits = (F.size("p") == length if whole else F.size("p") >= length) & (F.element_at("p", 1) != "")
     rows = rows.select(
-        keep, F.when(fits, F.transform(F.coalesce("t", "w"), lambda w: F.xxhash64(w))).alias("h"), F.when(F.col("t").isNotNull(), F.transform("w", lambda w: F.when(_has_mark(w), w))).alias("v")
+        keep, F.when(fits, F.transform("p", lambda w: F.xxhash64(w))).alias("p"), F.when(fits, F.transform("t", lambda w: F.xxhash64(w))).alias("t"), F.transform("w", lambda w: F.when(_has_mark(w), w)).alias("v")
     )
-    places = F.sequence(F.lit(1), F.size("h") - (length - 1))
-    hashes = F.when(F.col("h").isNotNull(), F.transform(places, lambda i: F.xxhash64(F.slice("h", i, length)))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.select(keep, "v", hashes.alias("h"))
-    every = F.when(F.size("h") > 0, F.sequence(F.lit(1), F.size("h"))).otherwise(F.array().cast("array<int>"))
-    if bits is not None:
-        mask, table = (1 << FILTER_BITS) - 1, F.from_json(F.lit(json.dumps(bits)), "array<bigint>")  # folded to a constant
+    places = F.sequence(F.lit(1), F.size("p") - (length - 1))
+
+    def ends(h: str) -> Column:
+        return F.when(F.col(h).isNotNull(), F.transform(places, lambda i: F.xxhash64(F.slice(h, i, length))))
+
+    return rows.select(keep, F.coalesce(ends("p"), _none("bigint")).alias("p"), ends("t").alias("t"), "v")
+
+
+def _places() -> Column:
+    return F.when(F.size("p") > 0, F.sequence(F.lit(1), F.size("p"))).otherwise(_none("int"))
+
+
+def doc_windows(docs: DataFrame, length: int, bits: list[int]) -> DataFrame:
+    """One row for each window whose hash is set in the filter: doc_id, at (from 0), hash, slots. A window with slots comes in both forms, the plain one with null for slots."""
+    mask, table = (1 << FILTER_BITS) - 1, F.from_json(F.lit(json.dumps(bits)), "array<bigint>")  # folded to a constant
+
+    def passes(x: Column) -> Column:
+        slot = x.bitwiseAND(mask)
+        return F.getbit(F.element_at(table, (F.shiftright(slot, 6) + 1).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
 
-        def passes(x: Column) -> Column:
-            slot = x.bitwiseAND(mask)
-            return F.getbit(F.element_at(table, (F.shiftright(slot, 6) + 1).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+    def window(h: str, slots: Column):
+        return lambda i: F.struct((i - 1).alias("at"), F.element_at(h, i).alias("hash"), slots(i).alias("slots"))
 
-        chosen = F.filter(every, lambda i: passes(F.element_at("h", i)))
-    else:
-        chosen = every
+    plain = F.transform(F.filter(_places(), lambda i: passes(F.element_at("p", i))), window("p", lambda i: F.lit(None).cast("array<string>")))
+    # a window without slots has the same hash in both forms
+    template = F.transform(F.filter(_places(), lambda i: (F.element_at("t", i) != F.element_at("p", i)) & passes(F.element_at("t", i))), window("t", lambda i: F.slice("v", i, length)))
+    both = F.when(F.col("t").isNull(), plain).otherwise(F.concat(plain, template))
+    return hashed(docs, "doc_id", length).select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.at", "x.hash", "x.slots")
 
-    def window(i: Column) -> Column:
-        return F.struct((i - 1).alias("at"), F.element_at("h", i).alias("hash"), F.when(F.col("v").isNotNull(), F.slice("v", i, length)).alias("slots"))
 
-    return rows.select(keep, F.explode(F.transform(chosen, window)).alias("x")).select(keep, "x.at", "x.hash", "x.slots")
+def item_windows(items: DataFrame, length: int, whole: bool) -> DataFrame:
+    """One row for each window and form: item_id, item_at (from 0), hash, same (the plain form), item_slots, fixed (number of fixed words)."""
+    rows = hashed(items, "item_id", length, whole).select("item_id", "t", "v", F.posexplode("p").alias("item_at", "p"))
+    slots = F.slice("v", F.col("item_at") + 1, F.lit(length))
+    rows = rows.select("item_id", "item_at", "p", F.coalesce(F.element_at("t", F.col("item_at") + 1), "p").alias("t"), slots.alias("item_slots"))
+    fixed = length - F.coalesce(F.size(F.filter("item_slots", lambda x: x.isNotNull())), F.lit(0))
+    forms = F.array(F.struct(F.col("p").alias("hash"), F.lit(True).alias("same")), F.struct(F.col("t").alias("hash"), F.lit(False).alias("same")))
+    rows = rows.select("item_id", "item_at", "item_slots", fixed.alias("fixed"), F.explode(F.when(F.col("t") == F.col("p"), F.slice(forms, 1, 1)).otherwise(forms)).alias("x"))
+    return rows.select("item_id", "item_at", "x.hash", "x.same", "item_slots", "fixed")
 
 
 def _filter(own: DataFrame) -> list[int]:
@@ -112,14 +139,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     lengths = [r[0] for r in items.where("text is not null").select(F.least(size, F.lit(window)).alias("n")).distinct().collect()]  # `window` values at most
     found = None
     for length in sorted(lengths):
-        own = windows(items, "item_id", length, whole=length < window).withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
-        fixed = length - F.coalesce(F.size(F.filter("item_slots", lambda x: x.isNotNull())), F.lit(0))
-        own = own.withColumn("strong", fixed >= min(MIN_FIXED, -(-length // 2))).where(F.col("strong") | (fixed >= LEAST_FIXED))
-        own = stored(own.withColumn("item_windows", F.count("*").over(Window.partitionBy("item_id"))), "items")
+        own = item_windows(items, length, whole=length < window)
+        own = own.withColumn("strong", F.col("fixed") >= min(MIN_FIXED, -(-length // 2))).where(F.col("strong") | (F.col("fixed") >= LEAST_FIXED)).drop("fixed")
+        own = stored(own.withColumn("item_windows", F.count_if("same").over(Window.partitionBy("item_id"))), "items")
         bits = _filter(own)
         if own.count() <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
-        hit = windows(docs, "doc_id", length, bits=bits).join(own, "hash").select("doc_id", "item_id", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("item_at", "strong", "item_slots", "slots").alias("x"))
+        hit = doc_windows(docs, length, bits).join(own, "hash")
+        # a plain hit has the item's own values; a template hit with these is found as a plain one too
+        hit = hit.withColumn("slots", F.when(F.col("same"), F.col("item_slots")).otherwise(F.col("slots"))).where("same or not (slots <=> item_slots)")
+        hit = hit.select("doc_id", "item_id", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("item_at", "same", "strong", "item_slots", "slots").alias("x"))
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("n_windows"), F.lit(0).cast("bigint").alias("item_windows"), F.lit(True).alias("exact")).where("false")

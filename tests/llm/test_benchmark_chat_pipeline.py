@@ -146,3 +146,12 @@ def test_decontamination_without_broadcasts(spark, monkeypatch):
         assert set(met(spark, [(1, f"x {PLAIN}"), (2, "no"), (3, PLAIN)])) == {(1, 2), (3, 2)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_verbatim_passages_whose_capitals_or_lines_differ(spark):
+    named = "Yesterday the painter Anna met her brother Bruno near Vienna while old Clara sold maps of Dover and of Essex"
+    flat = named.translate(str.maketrans("", "", ",."))
+    docs = [(1, named.lower()), (2, named.replace(" Bruno", "\nBruno").replace(" Vienna", "\nVienna").replace(" Clara", "\n\nClara").replace(" Anna", "  Anna")), (3, PLAIN.title()), (4, f"so {named.upper()}"), (5, flat.title())]
+    got = met(spark, docs, [(1, named), (2, PLAIN)])
+    n, m = len(named.split()) - 7, len(PLAIN.split()) - 7
+    assert got == {(1, 1): (n, True), (2, 1): (n, True), (3, 2): (m, True), (4, 1): (n, True), (5, 1): (n, True)}
