@@ -5,7 +5,7 @@ a re-parameterised question has the template of its original. What is a name dep
 plain lower-cased words, by which a verbatim passage is found however it is capitalised or wrapped. All windows of WINDOW words of all documents, in both forms, are probed
 against the benchmark's by one hash join on 64-bit hashes. Windows that meet at one alignment of a document and an item are one
 occurrence; it counts if its slots are consistent: each value of the item stands for one value of the document throughout.
-A window of placeholders alone can't convict: one window of an occurrence needs MIN_FIXED fixed words.
+A window whose slots are all equal convicts whatever it is made of. A re-parameterised one of placeholders alone can't: one window of such an occurrence needs MIN_FIXED fixed words.
 
 The benchmark's windows are broadcast while they number at most BROADCAST_WINDOWS; beyond that the join shuffles hashes, never texts.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 WINDOW = 8
-#: Fixed words that one window of an occurrence needs, and that every window needs to take part in the slot check.
+#: Fixed words that one window of a re-parameterised occurrence needs, and that every window whose slots differ needs to take part in the slot check.
 MIN_FIXED, LEAST_FIXED = 4, 2
 #: Rows of about 100 bytes.
 BROADCAST_WINDOWS = 400_000
@@ -140,7 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = None
     for length in sorted(lengths):
         own = item_windows(items, length, whole=length < window)
-        own = own.withColumn("strong", F.col("fixed") >= min(MIN_FIXED, -(-length // 2))).where(F.col("strong") | (F.col("fixed") >= LEAST_FIXED)).drop("fixed")
+        own = own.withColumn("strong", F.col("fixed") >= min(MIN_FIXED, -(-length // 2))).where(F.col("same") | F.col("strong") | (F.col("fixed") >= LEAST_FIXED)).drop("fixed")
         own = stored(own.withColumn("item_windows", F.count_if("same").over(Window.partitionBy("item_id"))), "items")
         bits = _filter(own)
         if own.count() <= BROADCAST_WINDOWS:
@@ -156,7 +156,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     one = found.groupBy("doc_id", "item_id", "shift").agg(F.max("item_windows").alias("item_windows"), F.collect_set("x").alias("x"))
     pairs = F.array_distinct(F.flatten(F.transform("x", lambda x: F.coalesce(F.filter(F.arrays_zip(x["item_slots"].alias("b"), x["slots"].alias("d")), lambda p: p["b"].isNotNull()), F.array()))))
     one = one.withColumn("p", pairs)
-    one = one.where(F.exists("x", lambda x: x["strong"]) & (F.size("p") == F.size(F.array_distinct(F.transform("p", lambda p: p["b"])))))
+    one = one.where(F.exists("x", lambda x: x["same"] | x["strong"]) & (F.size("p") == F.size(F.array_distinct(F.transform("p", lambda p: p["b"])))))
     one = one.withColumn("exact", F.forall("p", lambda p: p["b"] == p["d"]))
     best = F.max(F.struct(F.size("x").cast("bigint").alias("n"), "exact", "item_windows"))
     return one.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", F.col("item_id").cast("bigint"), F.col("b.n").alias("n_windows"), F.col("b.item_windows").alias("item_windows"), F.col("b.exact").alias("exact"))

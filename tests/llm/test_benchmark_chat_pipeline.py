@@ -155,3 +155,10 @@ def test_verbatim_passages_whose_capitals_or_lines_differ(spark):
     got = met(spark, docs, [(1, named), (2, PLAIN)])
     n, m = len(named.split()) - 7, len(PLAIN.split()) - 7
     assert got == {(1, 1): (n, True), (2, 1): (n, True), (3, 2): (m, True), (4, 1): (n, True), (5, 1): (n, True)}
+
+
+def test_exact_copies_of_items_dense_in_slots(spark):
+    sums = "What is 12 + 30 + 45 + 60 + 75 + 90 + 11"
+    docs = [(1, f"Sums. {sums} and so on"), (2, f"Sums. {sums.replace('45', '46').replace('12', '13')} and so on"), (3, PLAIN), (4, "1 2 3 4 5 6 7 8 9 10")]
+    n = len(PLAIN.split()) - 7
+    assert met(spark, docs, [(1, sums), (2, PLAIN.title())]) == {(1, 1): (2, True), (3, 2): (n, True)}
