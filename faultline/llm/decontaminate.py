@@ -4,8 +4,8 @@ Words of benchmark items and of documents become templates: names, numbers and u
 a re-parameterised question has the template of its original. What is a name depends on capitals and spaces, so each window comes in a second form too, as
 plain lower-cased words, by which a verbatim passage is found however it is capitalised or wrapped. All windows of WINDOW words of all documents, in both forms, are probed
 against the benchmark's by one hash join on 64-bit hashes. Windows that meet at one alignment of a document and an item are one
-occurrence; it counts if its slots are consistent: each value of the item stands for one value of the document throughout.
-A window whose slots are all equal convicts whatever it is made of. A re-parameterised one of placeholders alone can't: one window of such an occurrence needs MIN_FIXED fixed words.
+occurrence; it falls into runs, stretches whose every word is in such a window. A run is consistent if each value of the item stands for one value of the document throughout.
+In one that isn't, windows whose slots differ can't convict, and those that hold a value with several counterparts don't count. A window whose slots are all equal convicts whatever it is made of. A re-parameterised one of placeholders alone can't: one window of such an occurrence needs MIN_FIXED fixed words.
 
 The benchmark's windows are broadcast while they number at most BROADCAST_WINDOWS; beyond that the join shuffles hashes, never texts.
 
@@ -154,10 +154,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("n_windows"), F.lit(0).cast("bigint").alias("item_windows"), F.lit(True).alias("exact")).where("false")
     # an occurrence has a window for each place of the item at most, repeated documents included
     one = found.groupBy("doc_id", "item_id", "shift").agg(F.max("item_windows").alias("item_windows"), F.collect_set("x").alias("x"))
-    pairs = F.array_distinct(F.flatten(F.transform("x", lambda x: F.coalesce(F.filter(F.arrays_zip(x["item_slots"].alias("b"), x["slots"].alias("d")), lambda p: p["b"].isNotNull()), F.array()))))
-    one = one.withColumn("p", pairs)
-    one = one.where(F.exists("x", lambda x: x["same"] | x["strong"]) & (F.size("p") == F.size(F.array_distinct(F.transform("p", lambda p: p["b"])))))
-    one = one.withColumn("exact", F.forall("p", lambda p: p["b"] == p["d"]))
-    best = F.max(F.struct(F.size("x").cast("bigint").alias("n"), "exact", "item_windows"))
+    rows = one.select("doc_id", "item_id", "shift", "item_windows", F.explode("x").alias("x")).select("doc_id", "item_id", "shift", "item_windows", "x.*")
+    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")), lambda p: p["b"].isNotNull())
+    by = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_at")
+    # a run ends where a word is in no window
+    rows = rows.withColumn("p", F.coalesce(pairs, F.array())).withColumn("first", (F.col("item_at") - F.lag("item_at").over(by) > window).cast("int"))
+    rows = rows.withColumn("run", F.coalesce(F.sum("first").over(by), F.lit(0)))
+    runs = rows.groupBy("doc_id", "item_id", "shift", "run").agg(F.max("item_windows").alias("item_windows"), F.collect_list(F.struct("item_at", "same", "strong", "p")).alias("x"))
+    runs = runs.withColumn("b", F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("x", lambda x: x["p"]))), lambda p: p["b"])))
+    runs = runs.withColumn("clash", F.filter("b", lambda b, i: F.coalesce(b == F.get("b", i - 1), F.lit(False))))  # values that meet several
+    kept = F.filter("x", lambda x: x["same"] | ~F.arrays_overlap(F.transform(x["p"], lambda p: p["b"]), F.col("clash")))
+    met = F.exists("x", lambda x: x["same"]) | ((F.size("clash") == 0) & F.exists("x", lambda x: x["strong"]))
+    runs = runs.withColumns({"n": F.size(F.array_distinct(F.transform(kept, lambda x: x["item_at"]))).cast("bigint"), "met": met, "exact": F.forall("x", lambda x: x["same"])})
+    one = runs.groupBy("doc_id", "item_id", "shift").agg(F.sum("n").alias("n"), F.bool_and("exact").alias("exact"), F.max("item_windows").alias("item_windows"), F.bool_or("met").alias("met")).where("met")
+    best = F.max(F.struct("n", "exact", "item_windows"))
     return one.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", F.col("item_id").cast("bigint"), F.col("b.n").alias("n_windows"), F.col("b.item_windows").alias("item_windows"), F.col("b.exact").alias("exact"))
-

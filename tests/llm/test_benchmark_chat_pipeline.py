@@ -162,3 +162,64 @@ def test_exact_copies_of_items_dense_in_slots(spark):
     docs = [(1, f"Sums. {sums} and so on"), (2, f"Sums. {sums.replace('45', '46').replace('12', '13')} and so on"), (3, PLAIN), (4, "1 2 3 4 5 6 7 8 9 10")]
     n = len(PLAIN.split()) - 7
     assert met(spark, docs, [(1, sums), (2, PLAIN.title())]) == {(1, 1): (2, True), (3, 2): (n, True)}
+
+
+def judged(doc, item):
+    """(n_windows, exact) of the best alignment that convicts, or None, word by word."""
+    slot = lambda w: "number" if w.isdigit() else "name" if w[0].isupper() else None
+    best = []
+    for shift in range(8 - len(item), len(doc) - 7):
+        hits = {}
+        for a in range(max(0, -shift), min(len(item) - 7, len(doc) - shift - 7)):
+            b, d = item[a : a + 8], doc[a + shift : a + shift + 8]
+            same = [w.lower() for w in b] == [w.lower() for w in d]
+            values = [(x.lower(), x.lower() if same else y.lower()) for x, y in zip(b, d) if slot(x)]
+            if same or len(values) <= 6 and [slot(w) or w for w in b] == [slot(w) or w for w in d]:
+                hits[a] = same, len(values) <= 4, values
+        runs = []
+        for a in sorted(hits):
+            if not runs or a - runs[-1][-1] > 8:
+                runs.append([])
+            runs[-1].append(a)
+        n, convicts = 0, False
+        for run in runs:
+            to = collections.defaultdict(set)
+            for x, y in {p for a in run for p in hits[a][2]}:
+                to[x].add(y)
+            clash = {x for x in to if len(to[x]) > 1}
+            n += sum(hits[a][0] or clash.isdisjoint(x for x, _ in hits[a][2]) for a in run)
+            convicts |= any(hits[a][0] or not clash and hits[a][1] for a in run)
+        if convicts:
+            best.append((n, all(h[0] for h in hits.values())))
+    return max(best, default=None)
+
+
+def test_windows_with_slots_against_brute_force(spark):
+    rng = random.Random(5)
+    names, numbers = ["Anna", "Bruno", "Clara", "Dora"], ["3", "4", "50", "61"]
+    word = lambda dense: rng.choice(rng.choice([names, numbers]) if rng.random() < dense else [f"w{c}" for c in "abcdefghijkl"])
+    items = [(i, ["start"] + [word((0.1, 0.3, 0.95)[i % 3]) for _ in range(rng.randint(10, 40))]) for i in range(12)]
+    docs = []
+    for i in range(160):
+        part = list(items[i % 12][1])
+        to = dict(zip(names + numbers, rng.sample(names, 4) + rng.sample(numbers, 4))) if i % 4 else {}
+        part = [to.get(w, w) for w in part]
+        for _ in range(rng.randrange(3)):  # edits, of values and of words
+            k = rng.randrange(1, len(part))
+            part[k] = rng.choice(names) if part[k] in names else rng.choice(numbers) if part[k] in numbers else rng.choice(["wz", part[k]])
+        if i % 5 == 0:
+            part = [w.lower() for w in part]
+        docs.append((i, ["so"] + [word(0.3) for _ in range(rng.randrange(20))] + part + [word(0.3) for _ in range(rng.randrange(20))]))
+    want = {(i, j): r for i, d in docs for j, t in items if (r := judged(d, t))}
+    assert met(spark, [(i, " ".join(d)) for i, d in docs], [(j, " ".join(t)) for j, t in items]) == want
+    assert 60 < len(want) and {e for _, e in want.values()} == {True, False}
+
+
+def test_a_conflict_drops_its_windows_only(spark):
+    plain = [f"{c}word" for c in "abcdefghijklmnopqrstuvwxyz"]
+    item = " ".join(plain[:12] + ["3"] + plain[12:] + ["then", "3", "ends"])
+    other = item.replace(" 3 m", " 4 m").replace("then 3", "then 5")
+    edited = item.replace("then 3", "then 9")
+    got = met(spark, [(1, other), (2, edited), (3, f"{item} x")], [(1, item)])
+    n = len(item.split()) - 7
+    assert got[(3, 1)] == (n, True) and got[(1, 1)] == (n - 8 - 2, False) and got[(2, 1)] == (n - 2, False)
