@@ -1,8 +1,8 @@
 """Personal data: fixed rules, and a character-level bidirectional LSTM with CRF transitions that adds what they miss.
 
 The network is trained here, in numpy, from labelled spans (by default spans that `examples` composes). A text is read in windows
-of WINDOW characters that overlap by half. Every span must hold a trigger (a digit, an at sign or a spelled-out one), so windows farther than
-a window from any trigger can't hold part of a span and aren't run; this loses nothing. Each character takes the tag of the window in whose
+of WINDOW characters that overlap by half. Every span must hold a trigger (a digit, an at sign or a spelled-out one, in
+any case, with a dot in either form after a bare word), so windows farther than a window from any trigger can't hold part of a span and aren't run; this loses no span of these forms. Each character takes the tag of the window in whose
 middle it lies best, spans are read from the tags of the whole text, checked, and added where no rule's span is.
 
 Nulls and edge cases: a null or empty text has no spans. Long texts are read window by window, in bounded blocks. Repeated
@@ -44,7 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]| at \S{1,64} dot ")
+_TRIGGER = re.compile(r"[0-9@]|[\[(][Aa][Tt][\])]| [Aa][Tt] \S{1,64}(?: [\[(]?[Dd][Oo][Tt][\])]? |\.[A-Za-z])")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -117,9 +117,11 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]
         style = rng.random()
         if style < 0.5:
             return f"{name}@{'.'.join(d)}"
-        if style < 0.75:
-            return f"{name} at {d[0]} dot {d[1]}"
-        return f"{name} {rng.choice(('[at]', '(at)'))} {d[0]} {rng.choice(('[dot]', '(dot)'))} {d[1]}"
+        at, dot = ("at", "dot") if style < 0.75 else (rng.choice(("[at]", "(at)")), rng.choice(("[dot]", "(dot)")))
+        form = rng.random()
+        if form < 0.25:
+            at, dot = at.upper(), dot.upper()
+        return f"{name} {at} {d[0]}.{d[1]}" if form > 0.7 else f"{name} {at} {d[0]} {dot} {d[1]}"
 
     def phone() -> str:
         a, b, c = number(3), number(3), number(4)
@@ -339,14 +341,16 @@ def _reconciled(tags: np.ndarray, numbers: np.ndarray, rows: np.ndarray, size: i
     return [tuple(s) for s in spans]
 
 
-_AT = re.compile(r"\S[ ]*(?:@|[\[(]at[\])]| at )[ ]*\S")
+_AT = re.compile(r"\S[ ]*(?:@|[\[(]at[\])]| at )[ ]*(?=\S)", re.I)
+_DOT = re.compile(r"[a-z0-9-]\.[a-z]{2}", re.I)
 _HEX = re.compile(r"[A-Za-z_=\"']")
 
 
 def plausible(kind: int, found: str) -> bool:
     d = _digits(found)
     if kind == 0:
-        return bool(_AT.search(found)) and ("." in found.partition("@")[2] or "dot" in found) and "\n" not in found
+        at = _AT.search(found)
+        return bool(at) and ("." in found.partition("@")[2] or "dot" in found.lower() or bool(_DOT.search(found, at.end()))) and "\n" not in found
     if _HEX.search(found) or "\n" in found:
         return False
     if kind == 1:

@@ -402,3 +402,18 @@ def test_ngram_join_without_broadcasts(docs, monkeypatch):
     monkeypatch.setattr(module, "HOT", -10**9)  # every key is salted
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in module.ngram_join(docs).collect()}
     assert got == reference_join([(r[0], r[1]) for r in sample()], 4, 85)
+
+
+def test_spelled_out_addresses_in_any_case(net):
+    forms = ["jane.roe [AT] mail [DOT] com", "jane.roe AT mail DOT com", "jane.roe at mail.com", "jane.roe [at] mail.com", "jane.roe (AT) mail (DOT) com", "jane.roe at mail dot com"]
+    assert all(pii.plausible(0, f) and pii._TRIGGER.search(f) for f in forms)
+    assert not pii.plausible(0, "jane at mail. Com") and not pii.plausible(0, "at home") and not pii.plausible(0, "jane [at] mail")
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["an", "re", "tion", "ou", "st", "er", "la", "que", "en", "ber", "do", "the", "in", "mi", "ra"]) for _ in range(rng.randint(1, 3)))
+    for f in forms:
+        hit = 0
+        for _ in range(50):
+            before, found = " ".join(word() for _ in range(40)) + " ", f.replace("jane.roe", f"{word()}.{word()}").replace("mail", word())
+            text = f"{before}{found} " + " ".join(word() for _ in range(40))
+            hit += any(k == 0 and a <= len(before) and b >= len(before + found) for k, a, b in pii.added(net, [text], [pii.rules(text)])[0])
+        assert hit >= 47, f
