@@ -6,8 +6,8 @@ decontaminate    documents that hold a benchmark passage, re-parameterised ones
 personal_data    spans of personal data are replaced by marks
 pack             documents become packed sequences
 
-Nulls and edge cases are those of the operators. Rows without an id pass near_duplicates and decontaminate as they are; of rows that share
-an id, near_duplicates keeps one. Columns beyond those of documents are carried along to the last stage.
+Nulls and edge cases are those of the operators. Rows without an id pass near_duplicates as they are. Rows that share an id
+are each judged by their own text. Columns beyond those of documents are carried along to the last stage.
 """
 
 from __future__ import annotations
@@ -29,20 +29,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return selected(docs, fit(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a number of each row that stays, as ids may be missing or shared."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = stored(ngram_join(docs, SHINGLE_WORDS, SIMILARITY_PERCENT).select("doc_id", "component_id"), "groups")
-    per = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    gone = stored(per.where("doc_id <> c or n > 1").select("doc_id", (F.col("doc_id") == F.col("c")).alias("head")), "gone")
-    out = docs.join(small(gone), "doc_id", "left_anti")
-    several = gone.where("head").select("doc_id")
-    if several.limit(1).count():  # ids of more than one row
-        out = out.unionByName(docs.join(small(several), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*docs.columns)
+    rows = _numbered(docs)
+    named = rows.where("doc_id is not null")
+    groups = ngram_join(named.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY_PERCENT)
+    others = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"), "component_id"), "others")
+    linked = stored(others.unionByName(others.select(F.col("component_id").alias("_row"), "component_id").distinct()), "linked")
+    linked = stored(named.select("_row", "doc_id").join(small(linked), "_row"), "ids")
+    heads = stored(linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("head")), "heads")
+    gone = stored(linked.join(small(heads), "component_id").where("_row <> head").select("_row"), "gone")
+    return rows.join(small(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    met = met_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(small(stored(met, "met")), "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    met = met_items(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(small(stored(met, "met")), "_row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

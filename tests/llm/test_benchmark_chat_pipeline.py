@@ -223,3 +223,17 @@ def test_a_conflict_drops_its_windows_only(spark):
     got = met(spark, [(1, other), (2, edited), (3, f"{item} x")], [(1, item)])
     n = len(item.split()) - 7
     assert got[(3, 1)] == (n, True) and got[(1, 1)] == (n - 8 - 2, False) and got[(2, 1)] == (n - 2, False)
+
+
+def test_rows_that_share_an_id_or_have_none(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 9").cache()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    rows = [(7, text[7]), (7, text[3] + " tail"), (7, text[4][::-1]), (8, "other " + text[5][::-1]), (2, text[6] + " end"), (8, f"{text[1][::-1]} {item}"), (None, f"{text[2][::-1]} {item}")]
+    added = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema)
+    out = corpus_pipeline.near_duplicates(spark, docs.unionByName(added), small)
+    # the copies of 7 and 3 go; of 6 and its copy under id 2, the latter stays
+    want = [(i, t) for i, t in text.items() if i != 6] + [rows[k] for k in (2, 3, 4, 5, 6)]
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter(want)
+    clean = corpus_pipeline.decontaminate(spark, out, small)
+    assert collections.Counter((r.doc_id, r.text) for r in clean.collect()) == collections.Counter(want[:-2])
