@@ -58,12 +58,14 @@ def breakdown(rows: DataFrame, value: str, seq: str) -> DataFrame:
 
 
 def highlights(rows: DataFrame, keys: list[str], text: str, seq: str, n: int = 500) -> DataFrame:
-    """Texts of a group joined in order and cut. Only the first n of them can show, so no more are gathered."""
+    """Texts of a group joined in order and cut, without nulls; null for a group that has none. Only the first n of them can show, so no more are gathered."""
     from pyspark.sql import Window
 
-    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(seq))).where(F.col("_n") <= n)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.substring(text, 1, n).alias("t")))), lambda x: x["t"]), " | ")
-    return few.groupBy(*keys).agg(F.substring(joined, 1, n).alias("highlights"))
+    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(text).isNull(), seq))).where(F.col("_n") <= n)
+    shown = F.when(F.col(text).isNotNull(), F.struct("_n", F.substring(text, 1, n).alias("t")))
+    few = few.groupBy(*keys).agg(F.sort_array(F.collect_list(shown)).alias("_l"))
+    joined = F.array_join(F.transform("_l", lambda x: x["t"]), " | ")
+    return few.select(*keys, F.when(F.size("_l") > 0, F.substring(joined, 1, n)).alias("highlights"))
 
 
 def heuristic_hits(code: Column, table: list[tuple] = HEURISTICS, limit: int = 3) -> Column:

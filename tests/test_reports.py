@@ -115,3 +115,9 @@ def test_grid_and_sinks(spark, tmp_path):
     sinks.patch_files(spark.createDataFrame([("patch_000_a", "diff")], "name string, patch string"), str(tmp_path / "pf"))
     assert (next((tmp_path / "pf").glob("name=patch_000_a.patch/part*"))).read_text() == "diff\n"
     assert Run(Target("t", "/s", fuzz_targets=("f.c",))).target.fuzz_target == "f.c"
+
+
+def test_highlights_skip_null_texts(spark):
+    rows = [("k", i, None) for i in range(600)] + [("k", 600, "a"), ("k", 601, None), ("k", 602, "b"), ("none", 1, None), ("empty", 1, ""), (None, 1, "c")]
+    got = findings.highlights(spark.createDataFrame(rows, "k string, seq int, t string"), ["k"], "t", "seq").collect()
+    assert {r.k: r.highlights for r in got} == {"k": "a | b", "none": None, "empty": "", None: "c"}
