@@ -63,7 +63,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data), ("pack", pack)]
 
-#: No stage but the first joins can be said in SQL (a trained model, a tokenizer); tests hold each stage against a brute-force version.
+#: No stage but the first joins can be said in SQL (a trained model, a tokenizer). Tests hold the operators against brute force; of the stages they compare
+#: whole rows for near_duplicates and decontaminate on a few cases, else chosen ids.
 ORACLE_SQL = None
 
 
