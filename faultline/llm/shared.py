@@ -46,15 +46,16 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     folder = new_folder(spark, label)
     df.write.options(**options).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._scratch = folder
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the scratch tables that df reads directly."""
-    folders = {name.rpartition("/")[0] for name in df.inputFiles()}
-    for spark, folder in [x for x in _made if any(f.endswith(x[1].split(":", 1)[-1].lstrip("/")) for f in folders)]:
-        _delete(spark, folder)
-        _made.remove((spark, folder))
+    """Delete the folder of a table that `stored` returned."""
+    spark, folder = df.sparkSession, df._scratch
+    _delete(spark, folder)
+    _made.remove((spark, folder))
 
 
 def _delete(spark: SparkSession, folder: str) -> None:

@@ -15,7 +15,7 @@ from faultline.llm import hilbert_shards as hs
 from faultline.llm import ordinal_quality as oq
 from faultline.llm import packing, pii, tokens, training_order
 from faultline.llm.components import components
-from faultline.llm.ngram_join import ngram_join, segment_keys, size_classes
+from faultline.llm.ngram_join import SKETCH_BITS, ngram_join, segment_keys, size_classes
 from faultline.llm.token_rollup import WORDS, Rollup, counted, signed, token_rollup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, slot string, key string, prefix string"
@@ -129,7 +129,7 @@ def test_ngram_join_large_group_and_odd_rows(spark, none):
 
 
 def test_linked_sets_share_a_key():
-    rng, counts = np.random.default_rng(1), np.random.default_rng(2).integers(0, 5000, 1 << 18)
+    rng, counts = np.random.default_rng(1), np.random.default_rng(2).integers(0, 5000, 1 << SKETCH_BITS)
     first = size_classes(85)
     assert all(first[i + 1] * 85 <= 100 * first[i] + 84 + 85 for i in range(60))
     for _ in range(400):
@@ -417,3 +417,46 @@ def test_spelled_out_addresses_in_any_case(net):
             text = f"{before}{found} " + " ".join(word() for _ in range(40))
             hit += any(k == 0 and a <= len(before) and b >= len(before + found) for k, a, b in pii.added(net, [text], [pii.rules(text)])[0])
         assert hit >= 47, f
+
+
+def test_ngram_join_over_many_blocks_and_fragments(spark, monkeypatch):
+    import faultline.llm.ngram_join as module
+
+    monkeypatch.setattr(module, "BLOCK", 12)
+    monkeypatch.setattr(module, "FRAGMENT", 8)
+    rng = random.Random(18)
+    passage = prose(rng, 40)
+    rows, near, other = [], prose(rng, 80).split(" "), prose(rng, 60).split(" ")
+    for i in range(90):  # near copies, copies, and documents that share a passage only
+        base = near if i % 3 == 0 else other if i % 3 == 1 else [passage, *prose(rng, 14).split(" ")]
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, rows[3 * i % 90][1]) for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in module.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == reference_join(rows, 4, 85)
+
+
+def test_partial_overlaps_sum_to_the_whole():
+    import faultline.llm.ngram_join as module
+
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64) * 2)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(150, 300))], rng.integers(0, 2**63, int(rng.integers(0, 40))).astype(np.uint64)])) for _ in range(30)]
+    for same in (True, False):
+        parts = []
+        for f in range(8):
+            lo, hi = (f << 64) // 8, ((f + 1) << 64) // 8
+            cut = [s[(s >= lo) & (s.astype(object) < hi)] if f < 7 else s[s >= np.uint64(lo)] for s in sets]
+            people, pairs = module.counted([(0 if same or i < 14 else 1, i, 1000 + i, 2, len(sets[i]), c) for i, c in enumerate(cut) if len(c)], same, 60)
+            if len(pairs):
+                parts.append((people, pairs))
+        want = collections.Counter()
+        for i in range(30):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (same or (j < 14 <= i)) and 100 * both >= 60 * (len(sets[i]) + len(sets[j]) - both):
+                    want[1000 + i] += 2
+                    want[1000 + j] += 2
+        assert len(parts) > 1 and {doc: links for doc, _, links in module.summed(parts, 60)} == want and len(want) > 5
