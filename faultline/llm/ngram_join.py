@@ -8,7 +8,7 @@ The global order of n-grams is that of their 64-bit hashes, cut into fragments o
    contents alone, so two sets drop the same segments first). Any such pair shares a key, whatever is common or hot. The number of fragments
    follows from a class of sizes; a set emits for its class and the next.
 3. Blocks. Representatives that share keys, directly or through others, form a cell; a cell of more than BLOCK documents is cut into blocks, and
-   documents that share their first key stand together. Two blocks meet only if a document of one shares a key with a document of the other.
+   documents that share a key's first document stand together. Two blocks meet only if a document of one shares a key with one of the other.
 4. Partial overlaps. The segments of all sets in cells are dealt by (pair of blocks, fragment). There n-grams become posting lists, the partial
    overlaps of all pairs are counted, and pairs that can't reach the threshold with all that their sets hold in other fragments are pruned. At least
    FRAGMENTS fragments, and so many that the largest set of a cell has about FRAGMENT shingles in each, so memory is bounded for texts of any length.
@@ -182,24 +182,21 @@ def _keys(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, n bigint, key binary, keys array<bigint>, hot_keys array<bigint>")
 
 
-def _shared_keys(first: DataFrame) -> DataFrame:
-    """Rows (doc, token, salt, centre) of the keys that several representatives share: centre is the smallest doc with that token and salt. Rows of centres themselves are left out where salt is 0."""
+def _stars(first: DataFrame) -> DataFrame:
+    """Rows (doc, centre): representatives with a common key, doc itself and the smallest of them. Those that share a key share its centre."""
     post = first.select("doc", F.size("keys").alias("n"), F.posexplode(F.concat("keys", "hot_keys")).alias("pos", "token"))
     post = post.select("doc", "token", F.when(F.col("pos") < F.col("n"), 0).otherwise(1 + F.pmod("doc", F.lit(SALTS))).cast("int").alias("salt"))
     run = Window.partitionBy("token", "salt").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return stored(post.withColumn("centre", F.first("doc").over(run)).where("doc <> centre or salt > 0"), "join-runs")
-
-
-def _candidates(runs: DataFrame) -> DataFrame:
-    """Edges (a, b) that join all representatives with a common key."""
-    hot = runs.where("salt > 0").select("token", "centre").distinct()
-    hot = hot.groupBy("token").agg(F.collect_set("centre").alias("c")).where(F.size("c") > 1)  # SALTS at most
-    tied = hot.select(F.explode("c").alias("a"), F.array_min("c").alias("b"))
-    return runs.where("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).unionByName(tied).distinct()
+    runs = stored(post.withColumn("centre", F.first("doc").over(run)).where("doc <> centre or salt > 0"), "join-runs")
+    hot = stored(runs.where("salt > 0").groupBy("token").agg(F.min("centre").alias("least"), F.max("doc").alias("last")).where("least <> last").drop("last"), "join-hot")
+    hot = runs.where("salt > 0").join(small(hot, BROADCAST_DOCS), "token").select("doc", F.col("least").alias("centre"))
+    out = stored(runs.where("salt = 0").select("doc", "centre").unionByName(hot).distinct(), "join-stars")
+    discard(runs)
+    return out
 
 
-def _blocks(cells: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """cells (doc, cell, copies, n) to (doc, block, copies, fragments), and the pairs of blocks that share a key as (block, b1, b2, side); a block that isn't named there meets itself only."""
+def _blocks(cells: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """cells (doc, cell, copies, n) to (doc, block, copies, fragments), and the pairs of blocks that share a centre, as all do that share a key, as (block, b1, b2, side); a block that isn't named there meets itself only."""
     fragments = F.greatest(F.lit(FRAGMENTS), F.ceil(F.max("n") / FRAGMENT)).cast("int").alias("fragments")
     stats = stored(cells.groupBy("cell").agg(F.count("*").alias("m"), fragments), "join-cell-sizes")
     placed = stored(cells.join(stats, "cell").select("doc", "cell", "copies", "fragments", "m"), "join-placed")
@@ -207,7 +204,7 @@ def _blocks(cells: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame | N
     large = placed.where(F.col("m") > BLOCK)
     if not stats.where(F.col("m") > BLOCK).limit(1).count():
         return inside, None
-    both = runs.select("token", "doc", "centre").unionByName(runs.select("token", F.col("centre").alias("doc"), "centre"))
+    both = stars.unionByName(stars.select(F.col("centre").alias("doc"), "centre").distinct()).distinct()
     members = stored(both.join(small(large.select("doc", "cell"), BROADCAST_DOCS), "doc"), "join-members")
     homes = stored(members.groupBy("doc", "cell").agg(F.min("centre").alias("home")), "join-homes")
     sizes = homes.groupBy("cell", "home").agg(F.count("*").alias("c"))
@@ -217,7 +214,7 @@ def _blocks(cells: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame | N
     blocks = homes.join(small(stored(wide, "join-wide"), BROADCAST_DOCS), ["cell", "home"], "left").join(small(stored(narrow, "join-narrow"), BROADCAST_DOCS), "cell", "left")
     name = F.when(F.col("parts").isNotNull(), F.xxhash64("cell", "home", F.pmod(F.xxhash64("doc"), F.col("parts")))).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("home"), F.col("shared"))))
     blocks = stored(blocks.select("doc", name.alias("block")), "join-blocks")
-    met = members.join(small(blocks, BROADCAST_DOCS), "doc").groupBy("token").agg(F.collect_set("block").alias("all"))  # a block for BLOCK documents
+    met = members.join(small(blocks, BROADCAST_DOCS), "doc").groupBy("centre").agg(F.collect_set("block").alias("all"))  # a block for BLOCK documents
     pairs = met.select("all").distinct().select(F.explode("all").alias("b1"), "all").select("b1", F.explode(F.filter("all", lambda x: x >= F.col("b1"))).alias("b2")).distinct()
     sides = F.when(F.col("b1") == F.col("b2"), F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")))).otherwise(
         F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b2").alias("block"), F.lit(1).alias("side")))
@@ -407,13 +404,13 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     several = _for_all_salts(classes.where("copies > 1").select("key", "rep"))
     copied = stored(_salted(heads).join(several, ["key", "salt"]).where("doc <> rep").select("key", "doc").distinct(), "join-copied")
     first = keyed.where("doc is not null").join(small(copied, BROADCAST_DOCS), ["key", "doc"], "left_anti").select("doc", "keys", "hot_keys")
-    runs = _shared_keys(first)
+    stars = _stars(first)
     discard(keyed)
-    inside = components(_candidates(runs)).select(F.col("node").alias("doc"), F.col("component").alias("cell"))
+    inside = components(stars.select(F.col("doc").alias("a"), F.col("centre").alias("b"))).select(F.col("node").alias("doc"), F.col("component").alias("cell"))
     each = classes.groupBy(F.col("rep").alias("doc")).agg(F.max("copies").alias("copies"), F.max("n").alias("n"))
-    cells, pairs = _blocks(stored(inside.join(each, "doc"), "join-cells"), runs)
+    cells, pairs = _blocks(stored(inside.join(each, "doc"), "join-cells"), stars)
     cells = small(stored(cells, "join-dealt"), BROADCAST_DOCS)
-    discard(runs)
+    discard(stars)
     links = stored(_links(docs, cells, pairs, k, percent), "join-links")
     found = components(links.select(F.col("doc").alias("a"), F.col("root").alias("b")))
     per = links.groupBy("doc").agg(F.sum("links").alias("links")).join(found.withColumnRenamed("node", "doc"), "doc")
