@@ -2,7 +2,7 @@
 
 The network is trained here, in numpy, from labelled spans (by default spans that `examples` composes). A text is read in windows
 of WINDOW characters that overlap by half. Every span must hold a trigger (a digit, an at sign or a spelled-out one, in
-any case, with a dot in either form after a bare word), so windows farther than a window from any trigger can't hold part of a span and aren't run; this loses no span of these forms. Each character takes the tag of the window in whose
+any case, with a dot in either form after a bare word), so windows farther than a window from all triggers can't hold part of a span and aren't run; this loses no span of these forms. Each character takes the tag of the window in whose
 middle it lies best, spans are read from the tags of the whole text, checked, and added where no rule's span is.
 
 Nulls and edge cases: a null or empty text has no spans. Long texts are read window by window, in bounded blocks. Repeated
@@ -44,7 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(][Aa][Tt][\])]| [Aa][Tt] \S{1,64}(?: [\[(]?[Dd][Oo][Tt][\])]? |\.[A-Za-z])")
+_TRIGGER = re.compile(r"[0-9@]|[\[(][Aa][Tt][\])]| [Aa][Tt] \S+(?: [\[(]?[Dd][Oo][Tt][\])]? |\.[A-Za-z])")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -313,10 +313,12 @@ def tagged(net: Network, chars: np.ndarray) -> np.ndarray:
 
 
 def _window_numbers(text: str) -> np.ndarray:
-    """Windows on the grid that hold a trigger, or are next to one that does."""
-    at = np.fromiter((m.start() for m in _TRIGGER.finditer(text)), np.int64)
+    """Windows on the grid that hold part of a trigger, or are next to one that does."""
+    at = np.array([m.span() for m in _TRIGGER.finditer(text)], np.int64).reshape(-1, 2)
     last = max(0, -(-(len(text) - WINDOW) // STEP))
-    k = np.unique(at // STEP)
+    first, end = at[:, 0] // STEP, (at[:, 1] - 1) // STEP
+    long = [np.arange(a, b) for a, b in zip(first[end > first + 3].tolist(), end[end > first + 3].tolist())]
+    k = np.unique(np.concatenate([first, end, *long]))
     k = np.unique(np.concatenate([k - 2, k - 1, k, k + 1]))
     return k[(k >= 0) & (k <= last)]
 
