@@ -4,7 +4,7 @@ Grades 0 < 1 < ... < K-1 share one weight for each hashed text feature; ordered
 P(grade <= k) = sigmoid(threshold[k] - w.x). The expected grade and the tail probability P(grade >= SELECT_GRADE) follow, and a
 document is kept if its tail probability is at least SELECT_TAIL.
 
-Fit on at most SAMPLE labelled rows, drawn by a hash of their id; all documents are scored in one scan with
+Fit on at most SAMPLE labelled rows, drawn by a hash of their id, one for each id (that with the least text); all documents are scored in one scan with
 no shuffle. Features: lower-cased words and their beginnings (counts up to 3), shapes of words
 (share of the text's words), repeated neighbours and variety. Only features seen in MIN_DOCS sampled documents have a weight.
 
@@ -63,7 +63,7 @@ class _Features(dict):
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         core = word.lower().strip(b".,;:!?\"'()[]{}#*$%&|<>")
-        shape = _DIGITS.sub(b"9", _LETTERS.sub(b"a", _CAPITALS.sub(b"A", word[:64])))
+        shape = _DIGITS.sub(b"9", _LETTERS.sub(b"a", _CAPITALS.sub(b"A", word)))
         hashed = ((core, 1), (core[:PREFIX], 2), (shape, 3))
         out = tuple(xxhash.xxh32_intdigest(x, seed) % BUCKETS for x, seed in hashed)
         if len(self) >= 400_000:
@@ -109,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
             yield pa.RecordBatch.from_arrays(cols, ["grade", "at", "value"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(drawn), "doc_id")  # `sample` rows at most
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # and one of each id here
     got = rows.select("grade", "text").mapInArrow(run, "grade int, at binary, value binary").collect()
     got = sorted((r["grade"], bytes(r["at"]), bytes(r["value"])) for r in got)
     return train([np.frombuffer(r[1], np.int32) for r in got], [np.frombuffer(r[2], np.float32) for r in got], np.array([r[0] for r in got], np.int64))
