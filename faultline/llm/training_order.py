@@ -1,12 +1,15 @@
 """Training-order materialisation: every sequence gets a global slot by a keyed permutation, and shards hold runs of slots.
 
-Documents are tokenised and cut into sequences of at most STRIDE ids. Sequences are numbered gaplessly as they were stored; a Feistel network on
+Documents are tokenised, each followed by the end token, and laid end to end as they stand in a partition of the input; this stream is cut into sequences
+of STRIDE ids, so only a partition's last sequence is padded. Sequences are numbered gaplessly as they were stored; a Feistel network on
 the smallest even number of bits that holds all numbers permutes them, walking along its cycle until it lands below their count. The slot
-depends on the key, the number and the count alone, so nothing is sorted at random and no table of the order is kept. Shard s holds
-slots s * SHARD_SIZE .. (s + 1) * SHARD_SIZE - 1, in order, each as one record of the same size: STRIDE unsigned 16-bit ids, padded with 0.
-A reader resumes at any slot: shard = slot / SHARD_SIZE, record = slot % SHARD_SIZE.
+depends on the key, the number and the count alone, so nothing is sorted at random and no table of the order is kept.
 
-Nulls and edge cases: a null or empty text is one sequence with the end token. Null ids are kept. Repeated rows are sequences of their own.
+Shard s holds slots s * SHARD_SIZE .. (s + 1) * SHARD_SIZE - 1, in order, as one file `records/shard=<s>/...` of records of the same size: STRIDE unsigned
+16-bit ids, least byte first, padded with 0, and one line end. Each task writes a range of shards. So the record of a slot begins at byte
+(slot % SHARD_SIZE) * RECORD_BYTES of its shard, and a reader resumes there by a seek. The table `index`, in the same ranges, names the documents of each slot.
+
+Nulls and edge cases: a null or empty text is the end token. Null ids are kept. Repeated rows are documents of their own.
 An empty table gives no sequences. Extra columns are dropped. Ids must fit 16 bits, which is checked.
 """
 
@@ -24,7 +27,10 @@ from .shared import bounded_arrow, discard, new_folder, numbered, stored
 from .tokens import END_ID, TOKENIZER, encoder
 
 STRIDE = 512
+RECORD_BYTES = 2 * STRIDE + 1
 SHARD_SIZE = 8192
+#: Tasks that write, at most; each writes a range of shards.
+WRITERS = 20_000
 ROUNDS = 6
 KEY = 20240229
 
@@ -57,37 +63,48 @@ def slots(numbers: np.ndarray, count: int, key: int = KEY, inverse: bool = False
     return x.astype(np.int64)
 
 
+_CUT = "doc_ids array<bigint>, starts array<int>, length int, record binary"
+
+
 def sequences(docs: DataFrame, tokenizer: str = TOKENIZER, stride: int = STRIDE) -> DataFrame:
-    """Rows (doc_id, piece, length, record)."""
+    """Rows (doc_ids, starts, length, record): the documents that a sequence holds parts of, where each part begins, the number of ids before the padding."""
     bounded_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, out, held, parts, ids, starts = encoder(tokenizer), [], 0, [], [], []
         for batch in batches:
-            out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(np.frombuffer(encode(text or ""), "<u4"), END_ID)
-                if ids.max() > 0xFFFF:
+                x = np.append(np.frombuffer(encode(text or ""), "<u4"), END_ID)
+                if x.max() > 0xFFFF:
                     raise ValueError("ids need more than 16 bits")
-                for k, at in enumerate(range(0, len(ids), stride)):
-                    part = ids[at : at + stride].astype("<u2")
-                    out.append((doc, k, len(part), part.tobytes()))
-                    if len(out) >= 4096:
-                        yield _batch(out)
-                        out = []
-            yield _batch(out)
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, piece int, length int, record binary")
+                x, at = x.astype("<u2"), 0
+                while at < len(x):
+                    part = x[at : at + stride - held]
+                    parts.append(part)
+                    ids.append(doc)
+                    starts.append(held)
+                    held, at = held + len(part), at + len(part)
+                    if held == stride:
+                        out.append((ids, starts, held, np.concatenate(parts).tobytes()))
+                        held, parts, ids, starts = 0, [], [], []
+                        if len(out) >= 4096:
+                            yield _batch(out)
+                            out = []
+        if held:
+            out.append((ids, starts, held, np.concatenate([*parts, np.zeros(stride - held, "<u2")]).tobytes()))
+        yield _batch(out)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _CUT)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [()] * 4
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "length", "record"])
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in _CUT.split(", ")])
 
 
 def materialise(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, stride: int = STRIDE, shard_size: int = SHARD_SIZE, key: int = KEY) -> int:
-    """Write the shards below folder; the number of sequences. A shard is one sorted file, written by one task and committed whole."""
+    """Write the shards and their index below folder; the number of sequences. A shard is one file, written by one task and committed whole."""
     cut = sequences(docs, tokenizer, stride).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     cut = stored(cut, "order-sequences", compression="zstd")
     rows, total = numbered(cut)
@@ -96,28 +113,73 @@ def materialise(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, stride
     def slot(number: pd.Series) -> pd.Series:
         return pd.Series(slots(number.to_numpy(), total, key))
 
-    width = 2 * stride
-    rows = rows.withColumn("slot", slot("rank")).withColumn("shard", F.expr(f"slot div {shard_size}"))
     shards = max(1, -(-total // shard_size))
-    rows = rows.select("shard", "slot", "doc_id", "piece", "length", F.col("rank").alias("number"), "record")
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-    padded = F.rpad("record", F.lit(width), F.lit(b"\0"))  # after the shuffle, which moves ids only
-    rows.withColumn("record", padded).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    writers = min(shards, WRITERS)
+    rows = rows.withColumn("slot", slot("rank")).withColumn("shard", F.expr(f"slot div {shard_size}"))
+
+    def in_order(*cols: str) -> DataFrame:
+        ranges = F.expr(f"cast(shard * {writers} div {shards} as int)")
+        return rows.select("shard", "slot", *cols).repartitionById(writers, ranges).sortWithinPartitions("shard", "slot")
+
+    # a string is written as the bytes it has
+    in_order("record").select("shard", F.col("record").cast("string").alias("record")).write.partitionBy("shard").option("lineSep", "\n").text(f"{folder}/records")
+    in_order("length", "doc_ids", "starts", "rank").withColumnRenamed("rank", "number").write.parquet(f"{folder}/index")
     discard(cut)
     return total
 
 
-def read_from(spark: SparkSession, folder: str, slot: int = 0, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """The records from a slot on; earlier shards aren't opened and earlier row groups are skipped."""
-    schema = "slot bigint, doc_id bigint, piece int, length int, number bigint, record binary, shard bigint"
-    return spark.read.schema(schema).parquet(folder).where(f"shard >= {slot // shard_size} and slot >= {slot}")
+def read_index(spark: SparkSession, folder: str, slot: int = 0) -> DataFrame:
+    """Rows (shard, slot, length, doc_ids, starts, number) from a slot on."""
+    schema = "shard bigint, slot bigint, length int, doc_ids array<bigint>, starts array<int>, number bigint"
+    return spark.read.schema(schema).parquet(f"{folder}/index").where(F.col("slot") >= slot)
+
+
+def read_records(spark: SparkSession, folder: str, slot: int, count: int, stride: int = STRIDE, shard_size: int = SHARD_SIZE) -> Iterator[bytes]:
+    """The ids of `count` slots from a slot on, less if the order ends. Shards are opened one after the other, and the first is read from the slot's own byte on."""
+    path, width = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 2 * stride + 1
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while count > 0 and fs.exists(path(f"{folder}/records/shard={slot // shard_size}")):
+        place = slot % shard_size
+        status = next(x for x in fs.listStatus(path(f"{folder}/records/shard={slot // shard_size}")) if x.getPath().getName().startswith("part-"))
+        n = min(count, status.getLen() // width - place)
+        if n <= 0:
+            return
+        stream = fs.open(status.getPath())
+        try:
+            stream.seek(place * width)
+            for start in range(0, n, 1024):
+                data = bytes(stream.readNBytes(width * min(1024, n - start)))
+                yield from (data[a : a + width - 1] for a in range(0, len(data), width))
+        finally:
+            stream.close()
+        slot, count = slot + n, count - n
+
+
+def read_shards(spark: SparkSession, folder: str, stride: int = STRIDE, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """All shards at once: slot, shard, place, record."""
+    width = 2 * stride + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_buffer()
+                n = len(data) // width
+                for start in range(0, n, 4096):
+                    some = range(start, min(n, start + 4096))
+                    cols = [[shard * shard_size + i for i in some], [shard] * len(some), list(some), [data[i * width : (i + 1) * width - 1].to_pybytes() for i in some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["slot", "shard", "place", "record"])
+
+    bounded_arrow(spark)
+    files = spark.read.format("binaryFile").load(f"{folder}/records")
+    return files.select(F.col("shard").cast("bigint"), "content").mapInArrow(run, "slot bigint, shard bigint, place bigint, record binary")
 
 
 def training_order(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Materialise, read the files back, and return one row for each sequence: doc_id, piece, length, number, slot, shard, place, record_bytes, ids_crc32."""
+    """Materialise, read the files back, and return one row for each sequence: slot, shard, place, number, length, doc_ids, starts, record_bytes, record_crc32 (of ids and padding)."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "training-order")
-    materialise(docs, folder)
-    read = read_from(spark, folder)
-    ids = F.expr("substring(record, 1, length * 2)")
-    return read.select("doc_id", "piece", "length", "number", "slot", "shard", F.expr(f"slot % {SHARD_SIZE}").alias("place"), F.octet_length("record").alias("record_bytes"), F.crc32(ids).alias("ids_crc32"))
+    if not materialise(docs, folder):
+        return spark.createDataFrame([], "slot bigint, shard bigint, place bigint, number bigint, length int, doc_ids array<bigint>, starts array<int>, record_bytes int, record_crc32 bigint")
+    read = read_shards(spark, folder).select("slot", "shard", "place", F.octet_length("record").alias("record_bytes"), F.crc32("record").alias("record_crc32"))
+    index = read_index(spark, folder).drop("shard")
+    return read.join(index, "slot").select("slot", "shard", "place", "number", "length", "doc_ids", "starts", "record_bytes", "record_crc32")
