@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +13,13 @@ from pyspark.sql import functions as F
 # Fixed values.
 KEYWORDS = {"if", "else", "for", "while", "do", "switch", "case", "default", "return", "break", "continue", "goto", "sizeof", "typedef", "struct", "union", "enum", "extern", "register", "auto"}
 HEAD = re.compile(r"^(?P<signature>(?:static\s+)?(?:inline\s+)?(?:const\s+)?[\w\s*]+\s+(?P<name>\w+)\s*\([^)]*\))\s*\{", re.MULTILINE)
+UNMATCHED, NONE = "Unmatched braces for function {}", "No functions found (regex fallback mode)"
+
 _BRACE = re.compile("[{}]")
+#: What isn't code: comments, strings, characters, and preprocessor lines with their continuations.
+_OTHER = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|^[ \t]*#(?:[^\n]*\\\n)*[^\n]*", re.DOTALL | re.MULTILINE)
+#: The end of a definition's head: name, parameters, and the declarations of the old style between them and the body.
+_DEFINED = re.compile(r"(?P<name>[A-Za-z_]\w*)\s*\((?P<of>(?:[^()]|\([^()]*\))*)\)(?P<old>(?:\s*[A-Za-z_][\w\s*,\[\]]*;)*)\s*\Z")
 SMALL_LINES = 10
 
 _FUNCTION = "seq:bigint,name:string,start_line:int,end_line:int,signature:string,body:string,byte_range:struct<start_byte:int,end_byte:int>,is_small:boolean"
@@ -25,8 +32,6 @@ def parse_functions(source: str) -> tuple[list[tuple], list[str]]:
     breaks = [i for i, c in enumerate(source) if c == "\n"]
 
     def line(offset: int) -> int:
-        from bisect import bisect_left
-
         return bisect_left(breaks, offset) + 1
 
     for m in HEAD.finditer(source):
@@ -40,32 +45,73 @@ def parse_functions(source: str) -> tuple[list[tuple], list[str]]:
                 end = b.end()
                 break
         if end is None:
-            errors.append(f"Unmatched braces for function {name}")
+            errors.append(UNMATCHED.format(name))
             continue
         first, last = line(m.start()), line(end)
         found.append((name, first, last, m["signature"].strip(), source[m.start() : end], (m.start(), end), last - first + 1 < SMALL_LINES))
     found.sort(key=lambda f: f[1])
     if not found and not errors:
-        errors.append("No functions found (regex fallback mode)")
+        errors.append(NONE)
+    return [(i, *f) for i, f in enumerate(found)], errors
+
+
+def parse_definitions(source: str) -> tuple[list[tuple], list[str]]:
+    """Function rows and errors by syntax: only braces of code count, a definition begins at depth 0, and heads of the old style are read too. In time linear in the source."""
+    code = _OTHER.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    breaks = [i for i, c in enumerate(source) if c == "\n"]
+    found, errors, depth, since, begun = [], [], 0, 0, None
+    for b in _BRACE.finditer(code):
+        if b[0] == "{":
+            if depth == 0:
+                head = code[since : b.start()]
+                m = _DEFINED.search(head[max(0, len(head) - 4000) :])
+                shift = since + max(0, len(head) - 4000)
+                begun = None
+                if m and m["name"] not in KEYWORDS:
+                    # the declaration begins after the last semicolon before its name
+                    start = shift + m.start()
+                    start = max(since, code.rfind(";", since, start) + 1)
+                    start += len(code[start : shift + m.start()]) - len(code[start : shift + m.start()].lstrip())
+                    words = re.findall(r"\w+", code[start : shift + m.start()])
+                    if words and "=" not in code[start : b.start()] and words[0] != "typedef":
+                        begun = start, m["name"], b.start()
+            depth += 1
+        elif depth:
+            depth -= 1
+            if depth == 0:
+                if begun:
+                    start, name, brace = begun
+                    first, last = bisect_left(breaks, start) + 1, bisect_left(breaks, b.end()) + 1
+                    found.append((name, first, last, source[start:brace].strip(), source[start : b.end()], (start, b.end()), last - first + 1 < SMALL_LINES))
+                since, begun = b.end(), None
+    if depth and begun:
+        errors.append(UNMATCHED.format(begun[1]))
     return [(i, *f) for i, f in enumerate(found)], errors
 
 
-def _parse(sources: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+_MODES = {"pattern": parse_functions, "syntax": parse_definitions}
+
+
+def _parse(sources: Iterator[pd.Series], parse=parse_functions) -> Iterator[pd.DataFrame]:
     keys = [x.split(":")[0] for x in ("seq", "name", "start_line", "end_line", "signature", "body", "byte_range", "is_small")]
     for series in sources:
         rows = []
         for source in series:
-            functions, errors = parse_functions(source or "")
+            functions, errors = parse(source or "")
             rows.append(([dict(zip(keys, f)) | {"byte_range": {"start_byte": f[6][0], "end_byte": f[6][1]}} for f in functions], errors))
         yield pd.DataFrame(rows, columns=["functions", "parse_errors"])
 
 
-def parsed_files(sources: DataFrame, path: str = "path", source: str = "source") -> DataFrame:
-    """sources with `functions` and `parse_errors`. Brace matching over arbitrary text needs Python, in Arrow batches."""
-    return sources.withColumn("_p", F.pandas_udf(_parse, _PARSED)(F.col(source))).select("*", "_p.functions", "_p.parse_errors").drop("_p")
+def parsed_files(sources: DataFrame, path: str = "path", source: str = "source", mode: str = "pattern") -> DataFrame:
+    """sources with `functions` and `parse_errors`, by mode pattern or syntax. Brace matching over arbitrary text needs Python, in Arrow batches."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return _parse(texts, _MODES[mode])
+
+    return sources.withColumn("_p", F.pandas_udf(run, _PARSED)(F.col(source))).select("*", "_p.functions", "_p.parse_errors").drop("_p")
 
 
-def functions(sources: DataFrame, path: str = "path", source: str = "source") -> DataFrame:
+def functions(sources: DataFrame, path: str = "path", source: str = "source", mode: str = "pattern") -> DataFrame:
     """One row for each function: file_path and the fields of a function, in order of their first line."""
-    rows = parsed_files(sources, path, source).select(F.col(path).alias("file_path"), F.explode("functions").alias("f"))
+    rows = parsed_files(sources, path, source, mode).select(F.col(path).alias("file_path"), F.explode("functions").alias("f"))
     return rows.select("file_path", "f.*")
