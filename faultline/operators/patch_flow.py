@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .align import fuzzy_patch
 
-FOLDED = "run_id string, file_path string, seq bigint, patch_applied boolean, retained boolean, error string, content string"
+FOLDED = "array<struct<patch_applied:boolean,retained:boolean,error:string,content:string>>"
 
 
-def _fold(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("seq", kind="stable")
-    content, rows = frame["source"].iloc[0] or "", []
-    for r in frame.itertuples():
-        ok, new, error, _, _ = fuzzy_patch(content, r.patch or "")
-        retained = bool(ok and r.build_success)
-        content = new if retained else content
-        rows.append((r.run_id, r.file_path, r.seq, bool(ok), retained, error, content))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in FOLDED.split(", ")])
+def _fold(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for sources, lists in rows:
+        out = []
+        for content, steps in zip(sources, lists):
+            content, done = content or "", []
+            for step in steps:
+                ok, new, error, _, _ = fuzzy_patch(content, step["patch"] or "")
+                retained = bool(ok and step["build_success"])
+                content = new if retained else content
+                done.append({"patch_applied": bool(ok), "retained": retained, "error": error, "content": content})
+            out.append(done)
+        yield pd.Series(out)
 
 
 def patch_fold(patches: DataFrame, sources: DataFrame) -> DataFrame:
     """patches (run_id, file_path, seq, patch, build_success) folded over sources (run_id, file_path, source): whether each applied, whether it
-    was kept, and the file after it. A fold is sequential; runs and files are independent, and a file's patches are bounded by the run's limit."""
-    joined = patches.join(sources, ["run_id", "file_path"]).select("run_id", "file_path", "seq", "patch", F.coalesce("build_success", F.lit(False)).alias("build_success"), "source")
-    return joined.groupBy("run_id", "file_path").applyInPandas(_fold, FOLDED)
+    was kept, and the file after it. A fold is sequential; runs and files are independent, and a file's patches are bounded by the run's limit. A source moves once, to the list of its patches."""
+    step = F.struct("seq", "patch", F.coalesce("build_success", F.lit(False)).alias("build_success"))
+    lists = patches.groupBy("run_id", "file_path").agg(F.sort_array(F.collect_list(step)).alias("p")).join(sources.select("run_id", "file_path", "source"), ["run_id", "file_path"])
+    done = lists.select("run_id", "file_path", F.explode(F.arrays_zip("p", F.pandas_udf(_fold, FOLDED)("source", "p").alias("r"))).alias("x"))
+    return done.select("run_id", "file_path", F.col("x.p.seq").alias("seq"), "x.r.*")
 
 
 def crash_counts(tests: DataFrame, keys: list[str]) -> DataFrame:

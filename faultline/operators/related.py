@@ -1,29 +1,56 @@
-"""Joins between findings, functions and crashes. Interval joins carry an equality on the file, so they hash; containment joins broadcast the small side by size."""
+"""Joins between findings, functions and crashes. Interval joins carry an equality on the file, so they hash; containment looks for all needles at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Crashes or literals that a containment join may broadcast, at most.
+#: Needles that one pass over the traces looks for, at most.
 BROADCAST_ROWS = 100_000
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """rows with a broadcast hint if they are few enough; a containment join has no key to shuffle by, so beyond that Spark pairs partitions."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+def _found_first(traces: DataFrame, needles: list[str]) -> DataFrame:
+    """traces (_seq, _trace) to (needle, _seq): the smallest _seq whose trace holds a needle, of each batch. One automaton of all needles reads a trace once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for n in needles:
+            machine.add_word(n, n)
+        machine.make_automaton()
+        for batch in batches:
+            first: dict[str, int] = {}
+            for seq, trace in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for _, n in machine.iter(trace):
+                    if seq < first.get(n, seq + 1):
+                        first[n] = seq
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(first.values(), pa.int64())], ["needle", "_seq"])
+
+    return traces.mapInArrow(run, "needle string, _seq bigint")
 
 
 def related_crash(findings: DataFrame, crashes: DataFrame, file: str = "file", trace: str = "stack_trace", seq: str = "seq", basename: bool = False) -> DataFrame:
-    """findings with `crash` (struct): the first crash whose trace holds the finding's file, else the first crash, else null.
+    """findings with `crash` (struct): the first crash whose trace holds the finding's file, else the first crash, else null. seq: an integer.
 
-    Each distinct file is looked up once."""
-    c = crashes.select(F.struct(*crashes.columns).alias("_c"), F.col(trace).alias("_trace"), F.col(seq).alias("_seq"))
+    Each distinct file is looked up once, all together in one pass over the traces; BROADCAST_ROWS of them at a time, so many passes as that takes."""
+    c = crashes.select(F.struct(*crashes.columns).alias("_c"), F.col(trace).alias("_trace"), F.col(seq).cast("bigint").alias("_seq"))
     first = c.agg(F.min_by("_c", "_seq").alias("_first"))
-    files = _small(findings.select(file).distinct())
     needle = F.element_at(F.split(file, "/"), -1) if basename else F.col(file)
-    traced = c.where(F.coalesce("_trace", F.lit("")) != "")
-    hit = traced.join(files, F.contains("_trace", needle)).groupBy(file).agg(F.min_by("_c", "_seq").alias("_match"))
+    files = findings.select(F.col(file), needle.alias("needle")).where("needle is not null").distinct()
+    traced = c.where((F.coalesce("_trace", F.lit("")) != "") & F.col("_seq").isNotNull()).select("_seq", "_trace")
+    wanted = files.select("needle").distinct()
+    blocks = max(1, -(-wanted.count() // BROADCAST_ROWS))
+    hits = traced.agg(F.min("_seq").alias("_seq")).select(F.lit("").alias("needle"), "_seq")  # an empty needle is in any trace
+    for k in range(blocks):
+        some = [r[0] for r in wanted.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == k).collect() if r[0]]
+        if some:
+            hits = hits.unionByName(_found_first(traced, some))
+    hits = hits.groupBy("needle").agg(F.min("_seq").alias("_seq")).where("_seq is not null")
+    hit = files.join(hits, "needle").join(c.select("_c", "_seq"), "_seq").groupBy(file).agg(F.min_by("_c", "_seq").alias("_match"))
     return findings.join(hit, file, "left").crossJoin(F.broadcast(first)).withColumn("crash", F.coalesce("_match", "_first")).drop("_match", "_first")  # one row
 
 

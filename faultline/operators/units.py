@@ -2,43 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
 MAX_LINES, MAX_GAP = 50, 5
 
 
-def islands(items: Column, max_lines: int = MAX_LINES, max_gap: int = MAX_GAP) -> Column:
-    """array<array<int>> of places in items (array<struct<seq, start, end, small>>, sorted): runs of small items with gaps up to max_gap and
-    max_lines in sum. A large item ends a run. The sum starts anew with a run, so this is a fold, linear in a group's items but for the copies
-    of its array."""
-    start = F.struct(F.array().cast("array<struct<run:int,at:int>>").alias("out"), F.lit(0).alias("run"), F.lit(0).alias("lines"), F.lit(-1).cast("bigint").alias("last"))
-
-    def state(out: Column, run: Column, lines: Column, last: Column) -> Column:
-        return F.struct(out.alias("out"), run.cast("int").alias("run"), lines.cast("int").alias("lines"), last.cast("bigint").alias("last"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = (x["end"] - x["start"] + 1).cast("int")
-        near = (acc["last"] < 0) | (x["start"] - acc["last"] <= max_gap)
-        joins = near & (acc["lines"] + n <= max_lines)
-        run = F.when(joins, acc["run"]).otherwise(acc["run"] + 1)
-        put = F.concat(acc["out"], F.array(F.struct(run.cast("int").alias("run"), x["at"].cast("int").alias("at"))))
-        return F.when(~x["small"], state(acc["out"], acc["run"] + 1, F.lit(0), x["end"])).otherwise(state(put, run, F.when(joins, acc["lines"] + n).otherwise(n), x["end"]))
-
-    numbered = F.transform(items, lambda x, i: F.struct((i + 1).alias("at"), x["start"].cast("bigint").alias("start"), x["end"].cast("bigint").alias("end"), x["small"].alias("small")))
-    placed = F.aggregate(numbered, start, step, lambda acc: acc["out"])
-    runs = F.array_distinct(F.transform(placed, lambda p: p["run"]))
-    groups = F.transform(runs, lambda r: F.transform(F.filter(placed, lambda p: p["run"] == r), lambda p: p["at"]))
-    return F.filter(groups, lambda g: F.size(g) >= 2)
+def capped_runs(lines: list[int], max_lines: int = MAX_LINES) -> list[list[int]]:
+    """Places of the runs of at least two neighbours whose lines sum to max_lines at most; each run takes as many as it can."""
+    out, held = [[]], 0
+    for i, n in enumerate(lines):
+        if out[-1] and held + n > max_lines:
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += n
+    return [x for x in out if len(x) > 1]
 
 
 def clubbed(rows: DataFrame, keys: list[str], start: str, end: str, seq: str, small: Column, max_lines: int = MAX_LINES, max_gap: int = MAX_GAP) -> DataFrame:
-    """One row for each island of at least two small rows: keys, island (from 0), members (array of seq in order)."""
-    item = F.struct(F.col(start).alias("start"), F.col(seq).alias("seq"), F.col(end).alias("end"), small.alias("small"))
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))  # the functions of one file
-    found = lists.select(*keys, "items", F.posexplode(islands(F.col("items"), max_lines, max_gap)).alias("island", "at"))
-    return found.select(*keys, "island", F.transform("at", lambda i: F.element_at("items", i)["seq"]).alias("members"))
+    """One row for each island of at least two small rows: keys, island (from 0), members (array of seq in order).
+
+    Windows cut a key's rows at gaps over max_gap and at rows that aren't small. What the cap on lines then cuts depends on all cuts before it, so that is
+    a fold in Python over the line counts of one piece, in Arrow batches; nothing is quadratic in a key's rows."""
+
+    def run(lines: pd.Series) -> pd.Series:
+        return pd.Series([capped_runs(list(x), max_lines) for x in lines])
+
+    by = Window.partitionBy(*keys).orderBy(start, seq)
+    near = F.lag(small).over(by) & (F.col(start) - F.lag(end).over(by) <= max_gap)
+    cut = rows.withColumn("_piece", F.when(small & F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("_piece", F.sum("_piece").over(by)).where(small)
+    pieces = cut.groupBy(*keys, "_piece").agg(F.sort_array(F.collect_list(F.struct(F.col(start).alias("start"), F.col(seq).alias("seq"), (F.col(end) - F.col(start) + 1).cast("int").alias("lines")))).alias("x"))
+    pieces = pieces.where(F.size("x") > 1).withColumn("_runs", F.pandas_udf(run, "array<array<int>>")(F.transform("x", lambda x: x["lines"])))
+    members = F.transform("_runs", lambda r: F.transform(r, lambda i: F.get("x", i)["seq"]))  # before rows are made of runs, which would each hold the whole piece
+    found = pieces.select(*keys, "_piece", members.alias("_members")).select(*keys, "_piece", F.posexplode("_members").alias("_k", "members"))
+    island = F.row_number().over(Window.partitionBy(*keys).orderBy("_piece", "_k")) - 1
+    return found.select(*keys, island.cast("int").alias("island"), "members")
 
 
 def analysis_units(functions: DataFrame, files: DataFrame | None = None, root: str = "", snippet_lines: int = 200) -> DataFrame:
