@@ -95,3 +95,10 @@ int open_(void) {
     start = time.monotonic()
     parse_definitions("int f(int a) { a++; }\n" * 20_000)
     assert time.monotonic() - start < 20
+
+
+def test_lines_of_definitions():
+    source = "\n/* int old(int a) { */\n\nstatic long\ntwo_lines(int a)\n{\n    return a;\n}\nint one(void) { return 0; }\n"
+    lines = source.split("\n")
+    got = [(r[1], lines[r[2] - 1], lines[r[3] - 1]) for r in parse_definitions(source)[0]]
+    assert got == [("two_lines", "static long", "}"), ("one", "int one(void) { return 0; }", "int one(void) { return 0; }")]
