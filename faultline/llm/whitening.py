@@ -151,7 +151,7 @@ def _leaves(distinct: DataFrame, dims: int) -> DataFrame:
     return distinct.mapInArrow(run, _SUMMARY)
 
 
-def _merge(key, table: pa.Table) -> pa.Table:
+def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: r["part"])
     return pa.Table.from_batches([_row(key[0].as_py(), merged([_summary(r["n"], r["sums"], r["s"], r["vt"]) for r in rows]))])
 

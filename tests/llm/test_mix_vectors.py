@@ -220,6 +220,17 @@ def test_whitening_against_the_covariance(spark, monkeypatch, fan):
     assert all(signs[3, c] == signs[5000, c] for c in range(1, 5))
 
 
+def test_fit_over_a_tree_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(wh, "FAN", 2)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-300, 300, (500, 7))
+    rows = spark.createDataFrame([(bytearray(b),) for b in wh.packed(x)], "x binary").repartition(11)
+    fit = wh.fitted(rows, 7)
+    assert fit.n == 500 and fit.sums == x.sum(axis=0).tolist()
+    assert np.allclose(fit.s, np.linalg.svd(x - x.mean(axis=0), compute_uv=False), rtol=1e-12) and np.allclose(fit.vt @ fit.vt.T, np.eye(7), atol=1e-12)
+    assert wh.fitted(rows.limit(0), 7) is None
+
+
 def test_merging_is_that_of_all_rows():
     rng = np.random.default_rng(3)
     x = rng.integers(-5000, 5000, (700, 9)) + 10**9
