@@ -1,4 +1,4 @@
-"""Functions in C sources, by pattern and brace matching."""
+"""Functions in C sources: by pattern and plain braces, or by the grammar of definitions."""
 
 from __future__ import annotations
 
@@ -7,86 +7,47 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+from .definitions import KEYWORDS, SMALL_LINES, UNMATCHED, Definition, definitions, function_row, parse_definitions
 
 # Fixed values.
-KEYWORDS = {"if", "else", "for", "while", "do", "switch", "case", "default", "return", "break", "continue", "goto", "sizeof", "typedef", "struct", "union", "enum", "extern", "register", "auto"}
 HEAD = re.compile(r"^(?P<signature>(?:static\s+)?(?:inline\s+)?(?:const\s+)?[\w\s*]+\s+(?P<name>\w+)\s*\([^)]*\))\s*\{", re.MULTILINE)
-UNMATCHED, NONE = "Unmatched braces for function {}", "No functions found (regex fallback mode)"
+NONE = "No functions found (regex fallback mode)"
 
 _BRACE = re.compile("[{}]")
-#: What isn't code: comments, strings, characters, and preprocessor lines with their continuations.
-_OTHER = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|^[ \t]*#(?:[^\n]*\\\n)*[^\n]*", re.DOTALL | re.MULTILINE)
-#: The end of a definition's head: name, parameters, and the declarations of the old style between them and the body.
-_DEFINED = re.compile(r"(?P<name>[A-Za-z_]\w*)\s*\((?P<of>(?:[^()]|\([^()]*\))*)\)(?P<old>(?:\s*[A-Za-z_][\w\s*,\[\]]*;)*)\s*\Z")
-SMALL_LINES = 10
 
 _FUNCTION = "seq:bigint,name:string,start_line:int,end_line:int,signature:string,body:string,byte_range:struct<start_byte:int,end_byte:int>,is_small:boolean"
 _PARSED = f"functions array<struct<{_FUNCTION}>>, parse_errors array<string>"
 
 
+def closing_braces(source: str) -> dict[int, int]:
+    """The place after the brace that closes each one, for those that are closed; all braces count. One pass with a stack."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for b in _BRACE.finditer(source):
+        if b[0] == "{":
+            open_.append(b.start())
+        elif open_:
+            out[open_.pop()] = b.end()
+    return out
+
+
 def parse_functions(source: str) -> tuple[list[tuple], list[str]]:
     """Function rows and errors of one source. Offsets are in characters."""
-    found, errors = [], []
-    breaks = [i for i, c in enumerate(source) if c == "\n"]
-
-    def line(offset: int) -> int:
-        return bisect_left(breaks, offset) + 1
-
-    for m in HEAD.finditer(source):
-        name = m["name"]
-        if name in KEYWORDS:
-            continue
-        depth, end = 1, None
-        for b in _BRACE.finditer(source, m.end()):
-            depth += 1 if b[0] == "{" else -1
-            if depth == 0:
-                end = b.end()
-                break
-        if end is None:
-            errors.append(UNMATCHED.format(name))
-            continue
-        first, last = line(m.start()), line(end)
-        found.append((name, first, last, m["signature"].strip(), source[m.start() : end], (m.start(), end), last - first + 1 < SMALL_LINES))
-    found.sort(key=lambda f: f[1])
-    if not found and not errors:
-        errors.append(NONE)
-    return [(i, *f) for i, f in enumerate(found)], errors
-
-
-def parse_definitions(source: str) -> tuple[list[tuple], list[str]]:
-    """Function rows and errors by syntax: only braces of code count, a definition begins at depth 0, and heads of the old style are read too. In time linear in the source."""
-    code = _OTHER.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    heads = [m for m in HEAD.finditer(source) if m["name"] not in KEYWORDS]
+    closed = closing_braces(source) if heads else {}
+    errors = [UNMATCHED.format(m["name"]) for m in heads if m.end() - 1 not in closed]
     breaks = [i for i, c in enumerate(source) if c == "\n"]
-    found, errors, depth, since, begun = [], [], 0, 0, None
-    for b in _BRACE.finditer(code):
-        if b[0] == "{":
-            if depth == 0:
-                head = code[since : b.start()]
-                m = _DEFINED.search(head[max(0, len(head) - 4000) :])
-                shift = since + max(0, len(head) - 4000)
-                begun = None
-                if m and m["name"] not in KEYWORDS:
-                    # the declaration begins after the last semicolon before its name
-                    start = shift + m.start()
-                    start = max(since, code.rfind(";", since, start) + 1)
-                    start += len(code[start : shift + m.start()]) - len(code[start : shift + m.start()].lstrip())
-                    words = re.findall(r"\w+", code[start : shift + m.start()])
-                    if words and "=" not in code[start : b.start()] and words[0] != "typedef":
-                        begun = start, m["name"], b.start()
-            depth += 1
-        elif depth:
-            depth -= 1
-            if depth == 0:
-                if begun:
-                    start, name, brace = begun
-                    first, last = bisect_left(breaks, start) + 1, bisect_left(breaks, b.end()) + 1
-                    found.append((name, first, last, source[start:brace].strip(), source[start : b.end()], (start, b.end()), last - first + 1 < SMALL_LINES))
-                since, begun = b.end(), None
-    if depth and begun:
-        errors.append(UNMATCHED.format(begun[1]))
-    return [(i, *f) for i, f in enumerate(found)], errors
+    rows = []
+    for m in heads:
+        if end := closed.get(m.end() - 1):
+            first, last = bisect_left(breaks, m.start()) + 1, bisect_left(breaks, end) + 1
+            rows.append((m["name"], first, last, m["signature"].strip(), source[m.start() : end], (m.start(), end), last - first + 1 < SMALL_LINES))
+    rows.sort(key=lambda r: r[1])
+    return [(i, *r) for i, r in enumerate(rows)], errors or ([] if rows else [NONE])
 
 
 _MODES = {"pattern": parse_functions, "syntax": parse_definitions}
@@ -115,3 +76,22 @@ def functions(sources: DataFrame, path: str = "path", source: str = "source", mo
     """One row for each function: file_path and the fields of a function, in order of their first line."""
     rows = parsed_files(sources, path, source, mode).select(F.col(path).alias("file_path"), F.explode("functions").alias("f"))
     return rows.select("file_path", "f.*")
+
+
+@udtf(returnType=_FUNCTION.replace("byte_range:struct<start_byte:int,end_byte:int>", "start_byte:int,end_byte:int"))
+class CFunctions:
+    """The functions of a C source by grammar, as a table function: rows leave one by one, so a file's list is never held."""
+
+    def eval(self, source: str) -> Iterator[tuple]:
+        if source is None:
+            return
+        breaks = [i for i, c in enumerate(source) if c == "\n"]
+        found = (x for x in definitions(source) if not isinstance(x, Definition))
+        for seq, (head, end) in enumerate(found):
+            name, first, last, signature, body, (start, stop), small = function_row(source, breaks, head, end)
+            yield seq, name, first, last, signature, body, start, stop, small
+
+
+def register(spark: SparkSession) -> None:
+    """Makes `c_functions(source)` known to SQL, for `LATERAL`."""
+    spark.udtf.register("c_functions", CFunctions)

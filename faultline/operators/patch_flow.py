@@ -1,41 +1,154 @@
-"""Patches in sequence: each applies to what the ones before it left; a failed build takes its patch back."""
+"""Patches in sequence: each applies to what the ones before it left; a failed build takes its patch back.
+
+A step is put out as the edits that it makes, so a row is as long as its patch, not as its file. Where an edit falls in the first source comes from a piece table:
+the file is a list of runs of lines, each of the first source or of one step. Contents are rebuilt from the edits on demand.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .align import fuzzy_patch
-
-FOLDED = "array<struct<patch_applied:boolean,retained:boolean,error:string,content:string>>"
+from .align import Edit, Failed, joined, patch_edits, plain, replaced
+
+#: at, gone: place and number of the lines that an edit replaces, in what the edits before it left. source_first, source_last: the lines of the first source that go
+#: (half open; an empty span where none do, at the place that follows).
+EDIT = "struct<at:int,gone:int,lines:array<string>,source_first:int,source_last:int>"
+FOLDED = f"array<struct<patch_applied:boolean,retained:boolean,error:string,edits:array<{EDIT}>>>"
+#: Characters of the contents in one batch, about.
+BATCH = 4 << 20
+
+
+class Pieces:
+    """A file as runs of lines: (origin, first, last) with origin None for the first source, else any mark of what brought the lines."""
+
+    def __init__(self, n: int) -> None:
+        self.runs: list[tuple[object, int, int]] = [(None, 0, n)] if n else []
+        self.n = n
+
+    def copy(self) -> Pieces:
+        out = Pieces(0)
+        out.runs, out.n = list(self.runs), self.n
+        return out
+
+    def _cut(self, at: int) -> int:
+        """The index of the run that begins at a place; a run that holds it is cut there."""
+        seen = 0
+        for k, (origin, first, last) in enumerate(self.runs):
+            if seen == at:
+                return k
+            if at < seen + last - first:
+                self.runs[k : k + 1] = [(origin, first, first + at - seen), (origin, first + at - seen, last)]
+                return k + 1
+            seen += last - first
+        return len(self.runs)
+
+    def replace(self, edit: Edit, origin: object) -> tuple[int, int]:
+        """The span of the first source that goes."""
+        a = self._cut(edit.start)
+        b = self._cut(edit.end)
+        own = [(first, last) for o, first, last in self.runs[a:b] if o is None]
+        after = next((first for o, first, _ in self.runs[b:] if o is None), self.n)
+        self.runs[a:b] = [(origin, 0, len(edit.lines))] if edit.lines else []
+        return (own[0][0], own[-1][1]) if own else (after, after)
+
+
+def settled(lines: list[str], ended: bool) -> tuple[Edit | None, bool]:
+    """Between two patches a file is a text: what reading it again changes in its lines, and whether the text ends with an end of line."""
+    if not lines:
+        return (Edit(0, 0, [""]) if ended else None), ended
+    if lines[-1] == "" and len(lines) > 1:
+        return Edit(len(lines) - 1, len(lines), []), True
+    return (Edit(0, 1, []), False) if lines == [""] and not ended else (None, ended)
+
+
+def folded(source: str, steps: list[tuple[str, bool]]) -> list[tuple[bool, bool, str | None, list[tuple]]]:
+    """Of each step (patch, whether it built): applied, retained, error, edits."""
+    lines, ended = source.splitlines(), source.endswith("\n")
+    bare, pieces, out = plain(lines), Pieces(len(lines)), []
+    for k, (patch, built) in enumerate(steps):
+        trial = (lines, bare, pieces) if built else (list(lines), list(bare), pieces.copy())
+        done = patch_edits(*trial[:2], patch)
+        if isinstance(done, Failed):
+            out.append((False, False, done.error, []))
+            continue
+        out.append((True, built, None, [(e.start, e.end - e.start, e.lines, *trial[2].replace(e, k)) for e in done]))
+        if built:
+            edit, ended = settled(lines, ended)
+            if edit:
+                replaced(lines, bare, edit)
+                pieces.replace(edit, k)
+    return out
 
 
 def _fold(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    names = [x.split(":")[0] for x in EDIT[7:-1].split(",")]
     for sources, lists in rows:
         out = []
-        for content, steps in zip(sources, lists):
-            content, done = content or "", []
-            for step in steps:
-                ok, new, error, _, _ = fuzzy_patch(content, step["patch"] or "")
-                retained = bool(ok and step["build_success"])
-                content = new if retained else content
-                done.append({"patch_applied": bool(ok), "retained": retained, "error": error, "content": content})
-            out.append(done)
+        for source, steps in zip(sources, lists):
+            done = folded(source or "", [(s["patch"] or "", bool(s["build_success"])) for s in steps])
+            out.append([{"patch_applied": a, "retained": r, "error": e, "edits": [dict(zip(names, x)) for x in edits]} for a, r, e, edits in done])
         yield pd.Series(out)
 
 
-def patch_fold(patches: DataFrame, sources: DataFrame) -> DataFrame:
-    """patches (run_id, file_path, seq, patch, build_success) folded over sources (run_id, file_path, source): whether each applied, whether it
-    was kept, and the file after it. A fold is sequential; runs and files are independent, and a file's patches are bounded by the run's limit. A source moves once, to the list of its patches."""
+def fold_edits(patches: DataFrame, sources: DataFrame) -> DataFrame:
+    """patches (run_id, file_path, seq, patch, build_success) folded over sources (run_id, file_path, source): whether each applied, whether it was kept, why
+    not, and its edits. A fold is sequential; runs and files are independent. A source moves once, to the list of its patches, which a run's limit bounds."""
     step = F.struct("seq", "patch", F.coalesce("build_success", F.lit(False)).alias("build_success"))
     lists = patches.groupBy("run_id", "file_path").agg(F.sort_array(F.collect_list(step)).alias("p")).join(sources.select("run_id", "file_path", "source"), ["run_id", "file_path"])
     done = lists.select("run_id", "file_path", F.explode(F.arrays_zip("p", F.pandas_udf(_fold, FOLDED)("source", "p").alias("r"))).alias("x"))
     return done.select("run_id", "file_path", F.col("x.p.seq").alias("seq"), "x.r.*")
 
 
+def contents(steps: DataFrame, sources: DataFrame, last: bool = False) -> DataFrame:
+    """steps (of fold_edits) with `content`, the file after each; with last, only the last step of each file. Rows leave one by one: a task holds one file."""
+    lists = steps.groupBy("run_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("seq", "patch_applied", "retained", "error", "edits"))).alias("p"))
+    kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
+    names = ["run_id", "file_path", "seq", "patch_applied", "retained", "error", "content"]
+    schema = ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            size = 0
+            for run_id, path, steps, source in zip(*(c.to_pylist() for c in batch.columns)):
+                text = source or ""
+                lines, ended = text.splitlines(), text.endswith("\n")
+                for k, step in enumerate(steps):
+                    if step["retained"]:
+                        for e in step["edits"]:
+                            lines[e["at"] : e["at"] + e["gone"]] = e["lines"]
+                        text = joined(lines, ended)
+                        edit, ended = settled(lines, ended)
+                        if edit:
+                            lines[edit.start : edit.end] = edit.lines
+                    if last and k < len(steps) - 1:
+                        continue
+                    held.append((run_id, path, step["seq"], step["patch_applied"], step["retained"], step["error"], text))
+                    size += len(text)
+                    if size > BATCH:
+                        yield _rows(held, names, batch)
+                        held, size = [], 0
+            if held:
+                yield _rows(held, names, batch)
+
+    def _rows(held: list[tuple], names: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = {"run_id": batch.column(0).type, "file_path": batch.column(1).type, "seq": batch.column(2).type.value_type.field("seq").type}
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n) or (pa.bool_() if n in ("patch_applied", "retained") else pa.string())) for n, v in zip(names, zip(*held))], names)
+
+    whole = lists.join(sources.select("run_id", "file_path", "source"), ["run_id", "file_path"])
+    return whole.select("run_id", "file_path", "p", "source").mapInArrow(run, schema)
+
+
+def patch_fold(patches: DataFrame, sources: DataFrame) -> DataFrame:
+    """fold_edits with the file after each step instead of the edits."""
+    return contents(fold_edits(patches, sources), sources)
+
+
 def crash_counts(tests: DataFrame, keys: list[str]) -> DataFrame:
     """crashes_fixed and crashes_remaining of each patch."""
     return tests.groupBy(*keys).agg(F.count_if(~F.col("still_crashes")).alias("crashes_fixed"), F.count_if(F.col("still_crashes")).alias("crashes_remaining"))

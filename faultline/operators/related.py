@@ -2,54 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Needles that one pass over the traces looks for, at most.
-BROADCAST_ROWS = 100_000
-
-
-def _found_first(traces: DataFrame, needles: list[str]) -> DataFrame:
-    """traces (_seq, _trace) to (needle, _seq): the smallest _seq whose trace holds a needle, of each batch. One automaton of all needles reads a trace once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for n in needles:
-            machine.add_word(n, n)
-        machine.make_automaton()
-        for batch in batches:
-            first: dict[str, int] = {}
-            for seq, trace in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for _, n in machine.iter(trace):
-                    if seq < first.get(n, seq + 1):
-                        first[n] = seq
-            yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(first.values(), pa.int64())], ["needle", "_seq"])
-
-    return traces.mapInArrow(run, "needle string, _seq bigint")
-
+from .intervals import point_in_interval
+from .substring import first_holders
 
 def related_crash(findings: DataFrame, crashes: DataFrame, file: str = "file", trace: str = "stack_trace", seq: str = "seq", basename: bool = False) -> DataFrame:
     """findings with `crash` (struct): the first crash whose trace holds the finding's file, else the first crash, else null. seq: an integer.
 
-    Each distinct file is looked up once, all together in one pass over the traces; BROADCAST_ROWS of them at a time, so many passes as that takes."""
+    Each distinct file is looked up once, all of them in one pass over the traces (see substring.py)."""
     c = crashes.select(F.struct(*crashes.columns).alias("_c"), F.col(trace).alias("_trace"), F.col(seq).cast("bigint").alias("_seq"))
     first = c.agg(F.min_by("_c", "_seq").alias("_first"))
     needle = F.element_at(F.split(file, "/"), -1) if basename else F.col(file)
     files = findings.select(F.col(file), needle.alias("needle")).where("needle is not null").distinct()
-    traced = c.where((F.coalesce("_trace", F.lit("")) != "") & F.col("_seq").isNotNull()).select("_seq", "_trace")
-    wanted = files.select("needle").distinct()
-    blocks = max(1, -(-wanted.count() // BROADCAST_ROWS))
-    hits = traced.agg(F.min("_seq").alias("_seq")).select(F.lit("").alias("needle"), "_seq")  # an empty needle is in any trace
-    for k in range(blocks):
-        some = [r[0] for r in wanted.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == k).collect() if r[0]]
-        if some:
-            hits = hits.unionByName(_found_first(traced, some))
-    hits = hits.groupBy("needle").agg(F.min("_seq").alias("_seq")).where("_seq is not null")
+    traced = c.where(F.coalesce("_trace", F.lit("")) != "").select("_seq", F.col("_trace").alias("_text"))
+    hits = first_holders(traced, files.select("needle").distinct())
     hit = files.join(hits, "needle").join(c.select("_c", "_seq"), "_seq").groupBy(file).agg(F.min_by("_c", "_seq").alias("_match"))
     return findings.join(hit, file, "left").crossJoin(F.broadcast(first)).withColumn("crash", F.coalesce("_match", "_first")).drop("_match", "_first")  # one row
 
@@ -74,13 +42,6 @@ def crash_at_location(findings: DataFrame, crashes: DataFrame) -> DataFrame:
     return last_write_join(keyed, places, ["file_name", "_line"], ["seq", "pos"], F.struct(*crashes.columns), "crash").drop("file_name", "_line")
 
 
-def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, end: str, seq: str, value: Column, name: str, point_id: list[str]) -> DataFrame:
-    """points with the value of the first interval (by seq) of their keys that holds them, ends included, or null."""
-    pairs = points.select(*keys, point, *point_id).join(intervals, keys).where(F.col(point).between(F.col(start), F.col(end)))
-    hit = pairs.groupBy(*point_id).agg(F.min_by(value, seq).alias(name))
-    return points.join(hit, point_id, "left")
-
-
 def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:
     """Pairs of rows of a and b whose closed intervals meet."""
     return a.join(b, keys).where((F.col(b_range[0]) <= F.col(a_range[1])) & (F.col(b_range[1]) >= F.col(a_range[0])))
@@ -94,10 +55,10 @@ def bucketed_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple
     return interval_overlap(ca, cb, [*keys, "_cell"], a_range, b_range).where(F.col("_cell") == first).drop("_cell")
 
 
-def function_at(points: DataFrame, functions: DataFrame, point_id: list[str]) -> DataFrame:
-    """points (file_path, line) with `function`, the name of the first function that holds the line."""
-    fs = functions.select("file_path", F.col("start_line").alias("_a"), F.col("end_line").alias("_b"), F.col("seq").alias("_s"), F.col("name").alias("_name"))
-    return point_in_interval(points, fs, ["file_path"], "line", "_a", "_b", "_s", F.col("_name"), "function", point_id)
+def function_at(points: DataFrame, functions: DataFrame, point_id: list[str] | None = None) -> DataFrame:
+    """points (file_path, line) with `function`, the name of the first function that holds the line. point_id isn't needed any more."""
+    fs = functions.select("file_path", F.col("start_line").alias("_first"), F.col("end_line").alias("_last"), F.col("seq").alias("_s"), F.col("name").alias("_name"))
+    return point_in_interval(points, fs, ["file_path"], "line", "_first", "_last", "_s", F.col("_name"), "function")
 
 
 def functions_in_range(functions: DataFrame, first: int, last: int) -> DataFrame:
@@ -115,5 +76,7 @@ def verification_grid(patches: DataFrame, crashes: DataFrame, binaries: DataFram
     deduplicated ones, a bounded list by design."""
     rows = crashes.withColumn("harness", F.coalesce(F.nullif(F.col("harness"), F.lit("")), F.lit("unknown")))
     keys = [c for c in ("project", "run_id") if c in patches.columns and c in rows.columns]
-    out = patches.join(rows, keys) if keys else patches.crossJoin(rows)
+    if not keys:
+        raise ValueError("patches and crashes share neither project nor run_id, so every patch would meet every crash")
+    out = patches.join(rows, keys)
     return out if binaries is None else out.join(binaries, "harness", "left")

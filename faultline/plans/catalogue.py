@@ -163,7 +163,7 @@ def point_in_interval(spark, sf_dir):
     ev = _seconds(table(spark, sf_dir, "events"))
     points = ev.where("event_type = 'purchase'").select("user_id", "event_id", "at")
     spans = ev.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span_id"), F.col("at").alias("a"), (F.col("at") + 86400).alias("b"))
-    got = related.point_in_interval(points, spans, ["user_id"], "at", "a", "b", "span_id", F.col("span_id"), "span", ["event_id"])
+    got = related.point_in_interval(points, spans, ["user_id"], "at", "a", "b", "span_id", F.col("span_id"), "span", 1 << 16)
     return got.select("event_id", "span")
 
 
