@@ -1,4 +1,4 @@
-"""Budgets and ordered state as windows over recorded calls. Windows are keyed by run; a run's calls are bounded by its own budgets' scale."""
+"""Budgets and ordered state over recorded calls. Running sums are scans over ranges of a run's order (scan.py), so one run may hold any number of calls."""
 
 from __future__ import annotations
 
@@ -6,14 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import n_words
-
-
-def _before(keys: list[str], seq: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _upto(keys: list[str], seq: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+from .scan import scanned, with_first
 
 
 def review_cutoff(rows: DataFrame, keys: list[str], seq: str, words: str, found: str | None = None, max_calls: int = 20, max_findings: int = 50, max_tokens: int = 32000) -> DataFrame:
@@ -21,18 +14,17 @@ def review_cutoff(rows: DataFrame, keys: list[str], seq: str, words: str, found:
 
     A unit runs while no earlier one was stopped. It is stopped if calls or findings have reached their limit, or its estimate (1.3 a word) would pass the token
     budget; used tokens grow by the whole part of twice the estimate. The unit that breaks the token budget still gives its offline result (status 'offline')."""
-    before, upto = _before(keys, seq), _upto(keys, seq)
-    est = F.col(words) * F.lit(1.3)
-    rows = rows.withColumn("estimate", est).withColumn("calls_before", F.count("*").over(before))
-    rows = rows.withColumn("findings_before", F.coalesce(F.sum(found).over(before), F.lit(0)) if found else F.lit(0))
-    rows = rows.withColumn("used_before", F.coalesce(F.sum((F.col("estimate") * 2).cast("bigint")).over(before), F.lit(0)))
+    rows = rows.withColumn("estimate", F.col(words) * F.lit(1.3))
+    used = (F.col("estimate") * 2).cast("bigint")
+    sums = {"used_before": used} | ({"findings_before": F.col(found).cast("bigint")} if found else {})
+    rows = scanned(rows, keys, [seq], sums, place="_place").withColumn("calls_before", F.col("_place") - 1)
+    rows = rows if found else rows.withColumn("findings_before", F.lit(0))
     reason = (
         F.when(F.col("calls_before") >= max_calls, "calls").when(F.col("findings_before") >= max_findings, "findings").when(F.col("used_before") + F.col("estimate") > max_tokens, "tokens")
     )
-    rows = rows.withColumn("_r", reason).withColumn("stop_reason", F.first("_r", ignorenulls=True).over(upto))
-    earlier = F.coalesce(F.max(F.col("_r").isNotNull()).over(before), F.lit(False))
-    status = F.when(earlier, "skipped").when(F.col("_r") == "tokens", "offline").when(F.col("_r").isNotNull(), "stopped").otherwise("run")
-    return rows.withColumn("status", status).drop("_r")
+    rows = with_first(rows.withColumn("_r", reason), keys, "_place", F.col("_r").isNotNull(), F.col("_r"), "_stop")
+    status = F.when(F.col("_place") > F.col("_stop.at"), "skipped").when(F.col("_r") == "tokens", "offline").when(F.col("_r").isNotNull(), "stopped").otherwise("run")
+    return rows.withColumn("stop_reason", F.when(F.col("_place") >= F.col("_stop.at"), F.col("_stop.value"))).withColumn("status", status).drop("_r", "_stop", "_place")
 
 
 def with_words(rows: DataFrame, prompt: str) -> DataFrame:
@@ -42,9 +34,9 @@ def with_words(rows: DataFrame, prompt: str) -> DataFrame:
 def patch_budget(rows: DataFrame, keys: list[str], seq: str, tokens: str, patched: str | None = None, max_tokens: int = 100_000, max_patches: int = 25) -> DataFrame:
     """rows with used_before, patches_before and `allowed`: the budget is tested before a call with what earlier calls used, and a refused
     call uses nothing."""
-    before = _before(keys, seq)
-    rows = rows.withColumn("used_before", F.coalesce(F.sum(tokens).over(before), F.lit(0)))
-    rows = rows.withColumn("patches_before", F.coalesce(F.sum(F.col(patched).cast("int")).over(before), F.lit(0)) if patched else F.lit(0))
+    sums = {"used_before": F.col(tokens)} | ({"patches_before": F.col(patched).cast("bigint")} if patched else {})
+    rows = scanned(rows, keys, [seq], sums, place="_place").drop("_place")
+    rows = rows if patched else rows.withColumn("patches_before", F.lit(0))
     return rows.withColumn("allowed", (F.col("used_before") < max_tokens) & (F.col("patches_before") < max_patches))
 
 
@@ -60,11 +52,9 @@ def first_success(attempts: DataFrame, keys: list[str], attempt: str, parsed: st
 
 def failure_streaks(rows: DataFrame, keys: list[str], seq: str, ok: str, limit: int = 3) -> DataFrame:
     """rows with `streak` (failures in a row up to here, 0 after a success) and `stopped` (an earlier row or this one reached the limit)."""
-    upto = _upto(keys, seq)
-    rows = rows.withColumn("_island", F.sum(F.col(ok).cast("int")).over(upto))
-    inside = Window.partitionBy(*keys, "_island").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("streak", F.sum((~F.col(ok)).cast("int")).over(inside)).drop("_island")
-    return rows.withColumn("stopped", F.max(F.col("streak") >= limit).over(upto))
+    rows = scanned(rows, keys, [seq], last={"_ok": F.col(ok)}, place="_place").withColumn("streak", F.col("_place") - F.col("_ok"))
+    rows = with_first(rows, keys, "_place", F.col("streak") >= limit, F.col("streak"), "_stop")
+    return rows.withColumn("stopped", F.coalesce(F.col("_place") >= F.col("_stop.at"), F.lit(False))).drop("_ok", "_place", "_stop")
 
 
 def last_good(rows: DataFrame, keys: list[str], seq: str, good: str, value: str) -> DataFrame:

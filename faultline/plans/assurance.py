@@ -6,9 +6,6 @@ operator reads them wrongly. All run over whole tables.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from ..functions import responses as P
 from ..functions import text as T
 from ..functions import traces as R
 from ..operators import align, corpus, dedup, findings, patch_flow, patches, related, reports, selection, units
+from ..scratch import folder
 from ..sources import artifacts, sinks
 from ..streaming import streams
 from .catalogue import query, table
@@ -413,14 +411,6 @@ def findings_by_source(spark, sf_dir):
 # --- artifacts and streams: written to the shared folder, and read back by the scans ---
 
 
-def _folder(spark, label: str) -> str:
-    """A new folder where the session keeps its checkpoints; one of this machine only for a local master without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query(
     """select n_nationkey, 'infer' as tool, case n_nationkey % 3 when 0 then 'UNKNOWN' else 'B' || n_nationkey end as check_id, case n_nationkey % 4 when 0 then 'unknown' else 'src/' || n_name end as file, case n_nationkey % 5 when 0 then 0 else n_nationkey end as line,
     case n_nationkey % 3 when 1 then 'high' else 'low' end as severity, case n_nationkey % 2 when 0 then 'Infer issue' else 'q' end as title from nation"""
@@ -429,10 +419,10 @@ def infer_reports(spark, sf_dir):
     k = F.col("n_nationkey")
     issue = F.to_json(F.struct(F.when(k % 3 != 0, F.concat(F.lit("B"), k.cast("string"))).alias("bug_type"), F.when(k % 2 == 1, "q").alias("qualifier"), F.when(k % 3 == 1, "MAJOR").when(k % 3 == 2, "ERROR").alias("severity"),
         F.when(k % 4 != 0, F.concat(F.lit("src/"), "n_name")).alias("file"), F.when(k % 5 != 0, k).alias("line"), F.col("n_name").alias("key")))
-    folder = _folder(spark, "reports")
+    path = folder(spark, "reports")
     text = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(issue)), ",\n"), F.lit("]"))
-    table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(text.alias("value")).select("value").write.option("maxRecordsPerFile", 1).option("lineSep", " ").text(folder)  # a file for each region
-    issues = artifacts.infer_report(spark, folder)
+    table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(text.alias("value")).select("value").write.option("maxRecordsPerFile", 1).option("lineSep", " ").text(path)  # a file for each region
+    issues = artifacts.infer_report(spark, path)
     named = findings.infer_findings(issues).withColumn("n_name", F.get_json_object("raw_payload", "$.key"))
     return named.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name").select("n_nationkey", "tool", "check_id", "file", "line", "severity", "title")
 
@@ -440,64 +430,64 @@ def infer_reports(spark, sf_dir):
 @query("select user_id, event_type as tool, 'call' as action, event_id::varchar as detail from events where event_id % 2 = 0 union all select user_id, event_type, 'call', event_id::varchar from events where event_id % 2 = 1")
 def tool_call_log(spark, sf_dir):
     """Appended twice, read by the scan."""
-    folder = _folder(spark, "calls")
+    path = folder(spark, "calls")
     rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.lit("p").alias("project"), F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("tool"), F.lit("call").alias("action"), F.col("event_id").cast("string").alias("detail"))
     for k in range(2):
-        sinks.append_tool_calls(rows.where(F.col("detail").cast("bigint") % 2 == k), folder)
-    return artifacts.tool_calls(spark, folder).select(F.col("run_id").cast("bigint").alias("user_id"), "tool", "action", "detail")
+        sinks.append_tool_calls(rows.where(F.col("detail").cast("bigint") % 2 == k), path)
+    return artifacts.tool_calls(spark, path).select(F.col("run_id").cast("bigint").alias("user_id"), "tool", "action", "detail")
 
 
 @query("select o_orderkey, o_orderdate as ts, 'INFO' as level, 'order ' || o_orderkey as message from orders")
 def event_log(spark, sf_dir):
-    folder = _folder(spark, "log")
-    sinks.append_events(table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.lit("info").alias("level"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("message")), folder)
-    rows = reports.log_lines(artifacts.run_log(spark, folder))
+    path = folder(spark, "log")
+    sinks.append_events(table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.lit("info").alias("level"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("message")), path)
+    rows = reports.log_lines(artifacts.run_log(spark, path))
     return rows.select(F.split("message", " ")[1].cast("bigint").alias("o_orderkey"), F.col("ts").cast("timestamp_ntz").alias("ts"), "level", "message")
 
 
 @query("select event_id, 'h' || (user_id % 3) as harness, event_id % 600 as kept from events where event_id % 600 <= 500 union all select event_id, 'h' || (user_id % 3), 500 from events where event_id % 600 > 500")
 def fuzzing_files(spark, sf_dir):
     """Batches by harness with traces cut at 500 characters."""
-    folder = _folder(spark, "fuzzing")
+    path = folder(spark, "fuzzing")
     rows = crashes(spark, sf_dir).withColumn("stack_trace", F.expr("repeat('x', cast(seq % 600 as int))"))
-    sinks.fuzzing_batches(rows, folder)
-    read = spark.read.schema("seq bigint, stack_trace string, harness string").json(folder)
+    sinks.fuzzing_batches(rows, path)
+    read = spark.read.schema("seq bigint, stack_trace string, harness string").json(path)
     return read.select(F.col("seq").alias("event_id"), "harness", F.char_length("stack_trace").cast("bigint").alias("kept"))
 
 
 @query("select sha1(text) as id, sha1(text) as content_hash from documents where doc_id not in (select doc_id from labels) and sha1(text) not in (select sha1(text) from documents where doc_id in (select doc_id from labels)) group by 1")
 def seed_copies(spark, sf_dir):
     """Seeds that a target lacks are written; a second run writes nothing."""
-    folder, docs = _folder(spark, "seeds"), table(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("id"), F.encode("text", "UTF-8").alias("content"))
+    path, docs = folder(spark, "seeds"), table(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("id"), F.encode("text", "UTF-8").alias("content"))
     held = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("id")
     files = docs.groupBy("id").agg(F.min("content").alias("content"))
-    sinks.seeds(files, held, folder)
-    sinks.seeds(files, held.unionByName(spark.read.parquet(folder).select("id")), folder)
-    return spark.read.parquet(folder).select("id", T.content_id(F.col("content")).alias("content_hash"))
+    sinks.seeds(files, held, path)
+    sinks.seeds(files, held.unionByName(spark.read.parquet(path).select("id")), path)
+    return spark.read.parquet(path).select("id", T.content_id(F.col("content")).alias("content_hash"))
 
 
 @query("select date_trunc('day', ts) as day, event_type as tool, count(*) as n from events group by 1, 2")
 def windowed_calls_stream(spark, sf_dir):
     """The stream of tool calls, drained; the watermark is wider than the table, so nothing is late."""
-    folder = _folder(spark, "stream")
+    path = folder(spark, "stream")
     rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("tool"), F.lit("x").alias("action"))
-    rows.write.json(f"{folder}/in")
+    rows.write.json(f"{path}/in")
     last = rows.limit(1).select((F.lit("2999-01-01").cast("timestamp")).alias("timestamp"), F.lit("end").alias("tool"), F.lit("x").alias("action"))
-    calls = streams.windowed_calls(streams.tool_call_stream(spark, f"{folder}/in").select("timestamp", "tool", "action"), "36500 days", "1 day")
-    streams.drained(calls, f"{folder}/state", f"{folder}/out")
-    last.write.mode("append").json(f"{folder}/in")  # moves the watermark past all windows
-    streams.drained(calls, f"{folder}/state", f"{folder}/out")
-    streams.drained(calls, f"{folder}/state", f"{folder}/out")
-    got = spark.read.parquet(f"{folder}/out").where("tool <> 'end'")
+    calls = streams.windowed_calls(streams.tool_call_stream(spark, f"{path}/in").select("timestamp", "tool", "action"), "36500 days", "1 day")
+    streams.drained(calls, f"{path}/state", f"{path}/out")
+    last.write.mode("append").json(f"{path}/in")  # moves the watermark past all windows
+    streams.drained(calls, f"{path}/state", f"{path}/out")
+    streams.drained(calls, f"{path}/state", f"{path}/out")
+    got = spark.read.parquet(f"{path}/out").where("tool <> 'end'")
     return got.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "tool", F.col("count").alias("n"))
 
 
 @query("select user_id, event_type, count(*) as seen, least(count(*), 5) as admitted from events group by 1, 2")
 def capped_buckets_stream(spark, sf_dir):
-    folder = _folder(spark, "buckets")
+    path = folder(spark, "buckets")
     ev = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    ev.repartition(4).write.parquet(f"{folder}/in")
-    rows = spark.readStream.schema("user_id bigint, event_type string, event_id bigint").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    streams.drained(streams.capped_buckets(rows, ["user_id", "event_type"], "event_id", "event_id", 5), f"{folder}/state", f"{folder}/out")
-    admitted = spark.read.parquet(f"{folder}/out").groupBy("user_id", "event_type").agg(F.countDistinct("event_id").alias("admitted"))
+    ev.repartition(4).write.parquet(f"{path}/in")
+    rows = spark.readStream.schema("user_id bigint, event_type string, event_id bigint").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streams.drained(streams.capped_buckets(rows, ["user_id", "event_type"], "event_id", "event_id", 5), f"{path}/state", f"{path}/out")
+    admitted = spark.read.parquet(f"{path}/out").groupBy("user_id", "event_type").agg(F.countDistinct("event_id").alias("admitted"))
     return ev.groupBy("user_id", "event_type").agg(F.count("*").alias("seen")).join(admitted, ["user_id", "event_type"]).select("user_id", "event_type", "seen", "admitted")
