@@ -18,15 +18,15 @@ def signed(crashes: DataFrame) -> DataFrame:
     return rows.withColumn("cluster_key", F.when(empty, F.concat(F.lit("no_trace_"), "dedup_token")).otherwise(F.col("signature.signature_hash")))
 
 
-def clusters(rows: DataFrame, key: str, size: str, seq: str, keep: list[str]) -> DataFrame:
-    """One row for each key: crash_count, first_seq, and `representative` (struct of keep) of the smallest size, earliest on ties."""
+def clusters(rows: DataFrame, key: str, size: str, seq: str, keep: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row for each key, and each of `by`: crash_count, first_seq, and `representative` (struct of keep) of the smallest size, earliest on ties."""
     best = F.min_by(F.struct(*keep), F.struct(F.col(size), F.col(seq)))
-    return rows.groupBy(key).agg(F.count("*").alias("crash_count"), F.min(seq).alias("first_seq"), best.alias("representative"))
+    return rows.groupBy(*(by or []), key).agg(F.count("*").alias("crash_count"), F.min(seq).alias("first_seq"), best.alias("representative"))
 
 
-def crash_clusters(crashes: DataFrame) -> DataFrame:
-    rows = signed(crashes)
-    return clusters(rows, "cluster_key", "input_size", "seq", [*crashes.columns, "signature"])
+def crash_clusters(crashes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Clusters of all crashes, or those of each of `by`, such as a run."""
+    return clusters(signed(crashes), "cluster_key", "input_size", "seq", [*crashes.columns, "signature"], by)
 
 
 def unique_crashes(crashes: DataFrame) -> DataFrame:
@@ -46,15 +46,15 @@ def ranked_clusters(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.desc("crash_count"), "first_seq")
 
 
-def dedup_report(crashes: DataFrame) -> DataFrame:
-    """One row: the summary and its clusters as a sorted array."""
+def dedup_report(crashes: DataFrame, top: int = 1000) -> DataFrame:
+    """One row: the summary and, as a sorted array, the largest clusters, `top` at most. ranked_clusters has them all, and documents.dedup_documents those of each run."""
     groups = crash_clusters(crashes)
     r = F.col("representative")
     one = F.struct(
         (-F.col("crash_count")).alias("rank"), F.col("first_seq"), F.col("cluster_key").alias("signature_hash"), r["signature"]["error_type"].alias("error_type"),
         r["signature"]["frames"].alias("frames"), F.col("crash_count"), r["crash_id"].alias("representative_id"),
     )
-    listed = groups.agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.dropFields("rank", "first_seq")).alias("clusters"))
+    listed = ranked_clusters(groups).limit(top).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.dropFields("rank", "first_seq")).alias("clusters"))
     return summary_of(groups).crossJoin(F.broadcast(listed))  # one row each
 
 
