@@ -70,11 +70,13 @@ def _local(n_keys: int, n_sums: int, n_last: int):
 
 def scanned(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, last: dict[str, Column] | None = None, place: str = "place") -> DataFrame:
     """rows with `place`, the number of a row in its key's order, from 1; for each of sums the sum over the rows before, 0 for the first; for each of last the place of the last row up
-    to this one for which it holds, 0 where none does. Sums are of bigint or double; nulls add nothing and count as false. Null keys are one key. Rows that tie in order come as they come."""
+    to this one for which it holds, 0 where none does. Sums are bigint for whole numbers, else double; nulls add nothing and count as false. Null keys are one key. Rows that tie in order come as they come."""
     sums, last = sums or {}, last or {}
     names = [f"_k{i}" for i in range(len(keys))]
     marks = [f"_v{i}" for i in range(len(sums))] + [f"_f{i}" for i in range(len(last))]
     given = rows.withColumns({n: F.col(k) for n, k in zip(names, keys)} | dict(zip(marks, [*sums.values(), *last.values()])))
+    whole = ("tinyint", "smallint", "int", "bigint")
+    given = given.withColumns({n: F.col(n).cast("bigint" if f.dataType.simpleString() in whole else "double") for f in given.schema if (n := f.name) in marks[: len(sums)]})
     dealt = given.repartitionByRange(*names, *order).sortWithinPartitions(*names, *order)
     wide = dealt.select(*names, *marks, F.struct(*rows.columns).alias("_row"))
     kinds = {f.name: f.dataType.simpleString() for f in wide.schema}
@@ -87,7 +89,7 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     carried = ends.withColumns({f"_c{i}": F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)) for i in range(len(sums))} | {
-        f"_d{i}": F.coalesce(F.max(F.when(F.col(f"_m{i}") > 0, F.col(f"_from") + F.col(f"_m{i}"))).over(before), F.lit(0)) for i in range(len(last))
+        f"_d{i}": F.coalesce(F.max(F.when(F.col(f"_m{i}") > 0, F.col("_from") + F.col(f"_m{i}"))).over(before), F.lit(0)) for i in range(len(last))
     }).where("_from > 0")
     carried = carried.select(F.col("_part").alias("_p"), *[F.col(n).alias(f"_{n}") for n in names], "_from", *[f"_c{i}" for i in range(len(sums))], *[f"_d{i}" for i in range(len(last))])
     same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]

@@ -83,7 +83,9 @@ class ArtifactReader(DataSourceReader):
             for kind, path in self._below(store, run_path, "kind")
         ]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
+    def read(self, partition: Folder | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's one task for a scan without partitions
+            return
         scheme = self.path.partition("://")[0] + "://" if "://" in self.path and not self.path.startswith("file:") else ""
         store, root = _opened(scheme + partition.path) if scheme else (fs.LocalFileSystem(), partition.path)
         for x in _listed(store, root, fs.FileType.File, recursive=True):

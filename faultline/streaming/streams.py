@@ -69,7 +69,8 @@ class Admission(StatefulProcessor):
 
 def capped_buckets(rows: DataFrame, bucket: list[str], id_col: str, order: str, k: int = 5, ttl_ms: int | None = None, held: DataFrame | None = None) -> DataFrame:
     """Admission to buckets of k over a stream, in order within a batch. held: what a stored corpus has already (bucket columns and id_col), from which a stream with a new checkpoint
-    starts; more than k of a bucket may be held, and then it is full. With ttl_ms an id is forgotten so long after its admission, which lets its bucket fill anew."""
+    starts; more than k of a bucket may be held, and then it is full. With ttl_ms an id is forgotten so long after its admission, which lets its bucket fill anew;
+    time then makes batches of its own, so such a stream runs until it is stopped and can't be drained."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     first = held.select(*bucket, F.col(id_col).cast("string").alias(id_col)).distinct().groupBy(*bucket) if held is not None else None
     return rows.groupBy(*bucket).transformWithStateInPandas(Admission(id_col, order, k, ttl_ms), rows.schema, "append", "processingTime" if ttl_ms else "none", first)
