@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 # Fixed values.
 MAX_LINES, MAX_GAP = 50, 5
 
@@ -46,6 +48,7 @@ def analysis_units(functions: DataFrame, files: DataFrame | None = None, root: s
     """Units of files: islands first, then functions whose *name* is in no island of the file, then files without functions whole."""
     from ..functions.text import relative_posix, snippet
 
+    functions = stored(functions, "functions")  # read several times, so sources are parsed once
     groups = clubbed(functions, ["file_path"], "start_line", "end_line", "seq", F.col("is_small"))
     member = groups.select("file_path", "island", F.posexplode("members").alias("pos", "seq"))
     inside = member.join(functions.select("file_path", "seq", "name", "start_line", "end_line", "body"), ["file_path", "seq"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import Run, Target
-from ..operators import producers
+from ..functions import text as T
+from ..operators import producers, selection
 from ..scratch import folder
-from ..sources import documents, files
+from ..sources import artifacts, documents, files
 from ..streaming import streams
 from .catalogue import query, table
 
@@ -143,3 +144,39 @@ def produced_findings(spark, sf_dir):
     got = producers.produced(spark, Run(Target("t", "/s")), {"heuristic": of("error"), "broken": broken, "recorded": of("view")})
     assert list(got.errors) == ["broken"]
     return got.findings.groupBy("producer", "source_seq").agg(F.count("*").alias("n"))
+
+
+_EXT = "case page_id % 9 when 0 then '.c' when 1 then '.CC' when 2 then '.cpp' when 3 then '.cxx' when 4 then '.h' when 5 then '.hpp' when 6 then '.py' when 7 then '.c.txt' else '' end"
+_DIR = "case page_id % 7 when 0 then 'objs/' when 1 then 'src/' when 2 then 'fuzz/' when 3 then 'lib/deep/' when 4 then '' when 5 then 'harness_a/' else 'out/' end"
+
+
+@query(
+    f"""select page_id, case when page_id % 7 in (0, 6) then 'build_artifact' when page_id % 9 in (6, 7, 8) then 'non-cpp' when page_id % 7 = 2 then 'fuzz_target' when page_id % 7 = 5 then 'harness' end as reason, page_id % 9 < 6 as is_c_cpp,
+    case page_id % 9 when 1 then 'cpp' when 2 then 'cpp' when 3 then 'cpp' when 5 then 'cpp' when 6 then 'python' else 'c' end as language from pages"""
+)
+def candidate_paths(spark, sf_dir):
+    """Files of all extensions, in build, source, fuzz and harness folders."""
+    rel = F.concat(F.expr(_DIR), F.lit("f"), F.col("page_id").cast("string"), F.expr(_EXT))
+    rows = table(spark, sf_dir, "pages").select("page_id", rel.alias("rel"), F.concat(F.lit("/w/"), rel).alias("path"))
+    got = selection.candidate_files(rows, "/w/out", ["fuzz"], ["harness_*"])
+    return got.select("page_id", "reason", T.is_c_cpp(F.col("path")).alias("is_c_cpp"), T.language(F.col("path")).alias("language"))
+
+
+@query(
+    """select p_partkey, 'crashes' as kind, 'b' || (p_partkey % 7) as bucket, row_number() over (partition by p_partkey % 7 order by 'id' || p_partkey) - 1 as seq, length(p_name) as size, p_name as source from part
+    union all select o_orderkey, 'log', null, row_number() over (order by o_orderkey) - 1, null, 'order ' || o_orderkey from orders where o_orderkey % 20 = 0"""
+)
+def corpus_and_log_order(spark, sf_dir):
+    """Files of a corpus and lines of a log, written by name, read back with their places."""
+    path = folder(spark, "ordered")
+    p, o = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    key = F.col("p_partkey").cast("string")
+    corpus = p.select(F.concat(F.lit("corpus/h/crashes/b"), (F.col("p_partkey") % 7).cast("string"), F.lit("/id"), key).alias("name"), F.col("p_name").alias("content"))
+    lines = F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("order "), k.cast("string")))
+    log = o.agg(F.array_join(lines, "\n").alias("content")).select(F.lit("run/p/r/logs/run.log").alias("name"), "content")
+    files.write_files(corpus.unionByName(log), path)
+    found = artifacts.corpus(spark, f"{path}/corpus")
+    crashes = artifacts.listed_crashes(found).select("crash_id", "input_size")
+    rows = found.join(crashes, F.col("id") == F.col("crash_id")).select(F.substring("id", 3, 20).cast("bigint").alias("p_partkey"), "kind", "bucket", "seq", F.col("input_size").alias("size"), F.col("content").cast("string").alias("source"))
+    said = artifacts.run_log(spark, f"{path}/run/p/r/logs/run.log")
+    return rows.unionByName(said.select(F.split("value", " ")[1].cast("bigint").alias("p_partkey"), F.lit("log").alias("kind"), F.lit(None).cast("string").alias("bucket"), "seq", F.lit(None).cast("bigint").alias("size"), F.col("value").alias("source")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import scanned
 from ..schemas import COMPILE_COMMANDS, INFER_ISSUES, TOOL_CALLS
 
 _RUN = r"/([^/]+)/([^/]+)/(?:logs|artifacts)/"
@@ -36,25 +38,34 @@ def _quoted(text: str) -> str:
 
 
 def source_text(spark: SparkSession, root: str, pattern: str | None = None, strict: bool = False) -> DataFrame:
-    """path, rel, source of files; invalid UTF-8 becomes the replacement character, or is left out where strict."""
+    """path, rel, source of files; invalid UTF-8 becomes the replacement character, or is left out where strict. A replacement character that stands in a file stays. Spark's source gives no row for an empty file."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     plain = F.regexp_replace("path", r"^file:/+", "/")
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    text = F.replace(text, F.lit("\ufffd"), F.lit("")) if strict else text
+    given = F.col("content").cast("string")
+    text = F.make_valid_utf8(given)
+    if strict:  # bytes are looked at one by one only in the files that need it
+        text = F.when(F.is_valid_utf8(given), text).otherwise(F.pandas_udf(_without_invalid, "string")(F.when(~F.is_valid_utf8(given), F.col("content"))))
     return reader.load(root).select(plain.alias("path"), F.regexp_replace(plain, "^" + _quoted(root.rstrip("/") + "/"), "").alias("rel"), text.alias("source"))
 
 
+def _without_invalid(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+
 def corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a corpus: harness, kind (seeds, crashes, initial), bucket (of crashes), id, length, content, seq by path. Harness is the folder above."""
+    """Files of a corpus: harness, kind (seeds, crashes, initial), bucket (of crashes), id, length, content, path, and seq, from 0 by path within harness, kind and bucket. Harness is the folder above."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     form = r"([^/]+)/(seeds|initial)/([^/]+)$|([^/]+)/(crashes)/([^/]+)/([^/]+)$"
     part = lambda k: F.nullif(F.regexp_extract("path", form, k), F.lit(""))
     rows = rows.select(
         F.coalesce(part(1), part(4)).alias("harness"), F.coalesce(part(2), part(5)).alias("kind"), part(6).alias("bucket"), F.coalesce(part(3), part(7)).alias("id"), "length", "content", "path"
     )
-    return rows.where("kind is not null")
+    rows = rows.where("kind is not null")
+    keys = ["harness", "kind", "bucket"]
+    numbered = scanned(rows.select(*keys, "path"), keys, ["path"], place="_n").select("path", (F.col("_n") - 1).alias("seq"))
+    return rows.join(numbered, "path").select(*rows.columns, "seq")
 
 
 def listed_crashes(files: DataFrame) -> DataFrame:
@@ -89,6 +100,8 @@ def tool_calls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of run logs with project, run_id and their place in the file."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq"))
-    return with_run(rows)
+    """Lines of run logs with project, run_id and seq, their place in the file from 0."""
+    # lines of one part of a file are in order of the id, parts in order of their place
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_part_at"), F.monotonically_increasing_id().alias("_line"))
+    numbered = scanned(rows, ["path"], ["_part_at", "_line"], place="_n")
+    return with_run(numbered.select("value", "path", (F.col("_n") - 1).alias("seq")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.config import Run, Target
 from faultline.operators import producers
-from faultline.sources import documents, files
+from faultline.sources import artifacts, documents, files
 from faultline.streaming import streams
 
 
@@ -145,3 +145,34 @@ def test_producers_that_fail_leave_the_others(spark):
     assert list(got.errors) == ["b", "c"] and "findings need file" in got.errors["b"]
     rows = got.findings.collect()
     assert [(r.producer, r.source_seq, r.file, r.line, r.tool) for r in sorted(rows, key=lambda r: r.source_seq)] == [("a", 0, "a.c", 3, None), ("d", 3, "a.c", 3, None)] and "extra" not in got.findings.columns
+
+
+def test_text_without_invalid_bytes(spark, tmp_path):
+    (tmp_path / "good.c").write_bytes("a\ufffdb".encode())
+    (tmp_path / "bad.c").write_bytes("a\ufffd".encode() + b"\xff\xc3b\xe4\xb8")
+    kept = {r.rel: r.source for r in artifacts.source_text(spark, str(tmp_path), strict=True).collect()}
+    assert kept == {"good.c": "a\ufffdb", "bad.c": "a\ufffdb"}
+    shown = {r.rel: r.source for r in artifacts.source_text(spark, str(tmp_path)).collect()}
+    assert shown["good.c"] == "a\ufffdb" and shown["bad.c"].count("\ufffd") > 2
+
+
+def test_corpus_files_in_order(spark, tmp_path):
+    for rel in ("h/seeds/b", "h/seeds/a", "h/crashes/t/2", "h/crashes/t/10", "h/crashes/u/1", "g/initial/x", "other"):
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_text(rel)
+    got = {(r.harness, r.kind, r.bucket, r.id): (r.seq, bytes(r.content).decode()) for r in artifacts.corpus(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("h", "seeds", None, "a"): (0, "h/seeds/a"), ("h", "seeds", None, "b"): (1, "h/seeds/b"), ("h", "crashes", "t", "10"): (0, "h/crashes/t/10"), ("h", "crashes", "t", "2"): (1, "h/crashes/t/2"),
+        ("h", "crashes", "u", "1"): (0, "h/crashes/u/1"), ("g", "initial", None, "x"): (0, "g/initial/x"),
+    }
+    lines = [f"line {i}" for i in range(5000)]
+    log = tmp_path / "p" / "r" / "logs" / "run.log"
+    log.parent.mkdir(parents=True)
+    log.write_text("\n".join(lines))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = artifacts.run_log(spark, str(log)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [r.value for r in sorted(rows, key=lambda r: r.seq)] == lines and {(r.project, r.run_id) for r in rows} == {("p", "r")} and [r.seq for r in sorted(rows, key=lambda r: r.seq)] == list(range(5000))
