@@ -5,7 +5,7 @@ share are no anchors. A gram of 8 bytes is a 64-bit number, so equal numbers are
 number of needles: their positions are looked up in a bitmap of the anchors, and those that pass are joined with the anchors; pairs of a longer needle with a
 text are then verified where the text is, so a text moves once. The number of pairs is that of true hits and of texts that hold an anchor without its needle.
 
-The index is built when the operator is called: the driver counts the needles and reads the bitmap, 16 MB at most. A fuller bitmap lets more positions through; it loses none.
+The index and the positions that pass are stored when the operator is called: the driver counts the needles and reads the bitmap, 16 MB at most. A fuller bitmap lets more positions through; it loses none.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 Q = 8
 #: Bits of the bitmap: at least, at most, and for each needle.
 BITS_LEAST, BITS_MOST, BITS_EACH = 20, 27, 32
@@ -108,13 +110,13 @@ def _bitmap(index: DataFrame, bits: int) -> np.ndarray:
 def first_holders(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """needle and `_seq`, the smallest _seq of the texts (_seq bigint, _text) that hold it, for needles that some text holds, and for the empty one. Needles are distinct."""
     some = needles.where("needle <> ''")
-    index = anchors(some)
-    count = max(1, some.count())
+    index = stored(anchors(some), "anchors")
+    count = max(1, index.count())
     bits = min(BITS_MOST, max(BITS_LEAST, (BITS_EACH * count).bit_length()))
     bitmap = _bitmap(index, bits)
     qs = sorted(r["q"] for r in index.select("q").distinct().collect())  # 8 at most
     known = texts.where("_seq is not null and _text is not null")
-    met = _gram_rows(known.select("_seq", "_text"), "_seq", qs, bitmap, bits)
+    met = stored(_gram_rows(known.select("_seq", "_text"), "_seq", qs, bitmap, bits), "met")  # short and long needles both start from it
     short = met.where(F.col("q") < Q).groupBy("q", "gram").agg(F.min("_seq").alias("_seq")).join(index, ["q", "gram"]).select("needle", "_seq")
     pairs = met.where(F.col("q") == Q).join(index, ["q", "gram"]).select("needle", "_seq").distinct()
     checked = pairs.join(known.select("_seq", "_text"), "_seq").where(F.contains("_text", "needle")).select("needle", "_seq")
