@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import statistics
 import zlib
 
 import numpy as np
@@ -70,15 +72,71 @@ def test_compression_counts(docs, none):
     assert not any(r.kept and r.base_failed for r in rows) and cb.compression_bands(none).count() == 0
 
 
-def test_compression_verdicts():
-    press, rng = zstandard.ZstdCompressor(level=cb.LEVEL), random.Random(1)
-    fine = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(600)).encode()
-    assert cb.measure(fine, press)[6]
-    assert not cb.measure(b"".join(b"line %d of much the same text over and over\n" % (i % 3) for i in range(300)), press)[6]
-    noise = b" ".join(bytes(rng.randrange(33, 127) for _ in range(8)) for _ in range(4))
-    assert cb.measure(noise * 1, press)[6] is False
-    half = fine[:4096] + b"ab " * 5000
-    assert not cb.measure(half, press)[6]
+def _usual(rng, words):
+    return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(words))
+
+
+def test_compression_bands_reject_both_sides(spark):
+    """Bands fitted to ordinary texts reject repetitive and incompressible ones that pass the base rule, whole or in part, and nothing else; one large group of copies moves no band."""
+    rng = random.Random(1)
+    usual = {i: _usual(rng, rng.randint(60, 1500)) for i in range(3000)}
+    usual |= {i: usual[7] for i in range(3000, 4400)}
+    stock = [f"{w * 4} {w * 5}" for w in _usual(rng, 12).split()]  # pairs, so few windows of three words repeat
+    copied = " ".join(f"{rng.choice(stock)} {_usual(rng, 1)}" for _ in range(150))
+    noise = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(9)) for _ in range(300))
+    half = _usual(rng, 900)[:4096] + " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(9)) for _ in range(450))[:4096]
+    planted = {9000: copied, 9001: noise, 9002: half, 9003: None, 9004: ""}
+    rows = [(i, t) for i, t in (usual | planted).items()]
+    measures = cb.measured(spark.createDataFrame(rows, "doc_id long, text string"))
+    limits = cb.bands(measures)
+    got = {r.doc_id: r for r in cb.judged(measures, limits).collect()}
+    assert {i for i in got if i < 9000 and not got[i].kept} == set()
+    assert not any(got[i].base_failed for i in (9000, 9001, 9002)) and not any(got[i].kept for i in planted)
+    assert got[9000].ratio > got[9000].high and got[9001].ratio < got[9001].low and got[9002].n_bad_chunks >= 1
+
+    # brute force, by plain Python
+    press, by = zstandard.ZstdCompressor(level=cb.LEVEL), collections.defaultdict(collections.Counter)
+
+    def kind(n):
+        return math.floor(math.log(n) / math.log(2) * cb.CLASSES)
+
+    for t in {t for i, t in rows if t and not got[i].base_failed}:
+        b = t.encode()
+        by[kind(len(b))][round(math.log(len(b) / len(press.compress(b))) * cb.BINS)] += 1
+    middles = {}
+    for c, n in by.items():
+        x = sorted(math.exp(b / cb.BINS) for b in n.elements())
+        if len(x) >= cb.CLASS_TEXTS:
+            m = x[(len(x) - 1) // 2]
+            middles[c] = m, sorted(abs(v - m) for v in x)[(len(x) - 1) // 2]
+    assert set(middles) == set(limits) and len(limits) > 5
+    for c, (low, high) in limits.items():
+        near = [middles[d] for d in range(c - cb.NEIGHBOURS, c + cb.NEIGHBOURS + 1) if d in middles]
+        m, w = (statistics.median(x) for x in zip(*near))
+        wide = cb.WIDTH * 1.4826 * w
+        assert low == pytest.approx(m - max(wide, cb.LEAST_BELOW * m)) and high == pytest.approx(m + max(wide, cb.LEAST_ABOVE * m))
+    for i, t in rows:
+        b = (t or "").encode()
+        if got[i].base_failed:
+            assert not got[i].kept
+            continue
+
+        def inside(x):
+            low, high = limits.get(kind(len(x)), cb.WIDE)
+            return low <= len(x) / len(press.compress(x)) <= high
+
+        chunks = [x for x in (b[k : k + cb.CHUNK] for k in range(0, len(b), cb.CHUNK)) if len(x) >= cb.MIN_CHUNK]
+        wrong = sum(not inside(x) for x in chunks)
+        assert (got[i].n_chunks, got[i].n_bad_chunks) == (len(chunks), wrong)
+        assert got[i].kept == (inside(b) and wrong <= cb.CHUNK_SHARE * len(chunks))
+
+
+def test_compression_of_small_tables(spark):
+    """Without enough texts of a length the wide band holds."""
+    rng = random.Random(1)
+    texts = [(1, _usual(rng, 600)), (2, "line of much the same text\n" * 300), (3, None)]
+    got = {r.doc_id: r for r in cb.compression_bands(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1].kept and (got[1].low, got[1].high) == cb.WIDE and not got[2].kept and not got[3].kept and got[3].ratio is None
 
 
 def reference_join(rows, k, percent):
