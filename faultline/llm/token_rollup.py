@@ -90,7 +90,7 @@ class Rollup:
             F.sum(n).cast("bigint").alias("docs"), F.sum(n * F.col("n_tokens")).cast("bigint").alias("tokens"),
             F.sum(F.when(n > 0, n).otherwise(0)).cast("bigint").alias("inserts"), F.sum(F.when(n < 0, -n).otherwise(0)).cast("bigint").alias("deletes"),
         )
-        sums.withColumn("replaces", F.lit(None).cast("string")).coalesce(1).write.mode("overwrite").parquet(self._at(batch))
+        sums.withColumn("replaces", F.lit(None).cast("string")).write.mode("overwrite").parquet(self._at(batch))
         return True
 
     def compact(self, into: str, batches: list[str]) -> None:
@@ -101,7 +101,7 @@ class Rollup:
             rows = self._current(self._rows(named))
             sums = _summed(rows.where("replaces is null")).withColumn("replaces", F.lit(None).cast("string"))
             names = self._rows(named).where("replaces is not null").select("replaces").union(self.spark.createDataFrame([(b,) for b in named], "replaces string")).distinct()
-            sums.unionByName(names, allowMissingColumns=True).coalesce(1).write.mode("overwrite").parquet(self._at(into))
+            sums.unionByName(names, allowMissingColumns=True).write.mode("overwrite").parquet(self._at(into))
         gone = {r[0] for r in self._rows([into]).where(F.col("replaces").isin(named)).select("replaces").collect()} if named else set()
         for b in gone:
             self._fs.delete(self._path(self._at(b)), True)
