@@ -6,6 +6,8 @@ plain lower-cased words, by which a verbatim passage is found however it is capi
 against the benchmark's by one hash join on 64-bit hashes. Windows that meet at one alignment of a document and an item are one
 occurrence; it falls into runs, stretches whose every word is in such a window. A run is consistent if each value of the item stands for one value of the document throughout.
 In one that isn't, windows whose slots differ can't convict, and those that hold a value with several counterparts don't count. A window whose slots are all equal convicts whatever it is made of. A re-parameterised one of placeholders alone can't: one window of such an occurrence needs MIN_FIXED fixed words.
+An item dense in slots, which has no such window ("What is 12 + 30 + ..."), is met as a whole: where a window of it with LEAST_FIXED fixed words is found, the template of
+the whole item is compared with the document's words there, and convicts if it is equal and its slots are consistent. Items with fewer fixed words than that in every window, mere lists of numbers or names, are found by equal values only.
 
 The benchmark's windows are broadcast while they number at most BROADCAST_WINDOWS; beyond that the join shuffles hashes, never texts.
 
@@ -21,7 +23,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import small, stored
 
 WINDOW = 8
 #: Fixed words that one window of a re-parameterised occurrence needs, and that every window whose slots differ needs to take part in the slot check.
@@ -39,8 +41,9 @@ _MARKS = "\ue001-\ue003"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},] \p{Lu})\p{Ll}+(?!\p{L})"
 _NUMBER = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+)*"
 _UNIT = rf"({_NUMBER_MARK}[0-9.,:/]+ ?)({UNITS})(?!\p{{L}})"
-#: Bits of the filter that windows pass before they become rows; a fixed size, as it only spares rows.
-FILTER_BITS = 20
+#: Least and greatest logarithm of the bits of the filter that windows pass before they become rows; 16 bits for each benchmark window
+#: between. It only spares rows: the join decides.
+FILTER_BITS = 16, 23
 
 
 def marked(text: Column) -> Column:
@@ -93,7 +96,7 @@ def _places() -> Column:
 
 def doc_windows(docs: DataFrame, length: int, bits: list[int]) -> DataFrame:
     """One row for each window whose hash is set in the filter: doc_id, at (from 0), hash, slots. A window with slots comes in both forms, the plain one with null for slots."""
-    mask, table = (1 << FILTER_BITS) - 1, F.from_json(F.lit(json.dumps(bits)), "array<bigint>")  # folded to a constant
+    mask, table = 64 * len(bits) - 1, F.from_json(F.lit(json.dumps(bits)), "array<bigint>")  # folded to a constant
 
     def passes(x: Column) -> Column:
         slot = x.bitwiseAND(mask)
@@ -120,30 +123,53 @@ def item_windows(items: DataFrame, length: int, whole: bool) -> DataFrame:
     return rows.select("item_id", "item_at", "x.hash", "x.same", "item_slots", "fixed")
 
 
-def _filter(own: DataFrame) -> list[int]:
-    """The windows' hashes as bits of 64-bit numbers; made from at most 2**FILTER_BITS / 64 rows, one for each number."""
-    mask = (1 << FILTER_BITS) - 1
-    slot = F.col("hash").bitwiseAND(mask)
+def _filter(own: DataFrame, windows: int) -> list[int]:
+    """The windows' hashes as bits of 64-bit numbers; the driver reads a row for each number that isn't 0, 2**FILTER_BITS[1] / 64 at most."""
+    size = 1 << min(max((16 * windows).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    slot = F.col("hash").bitwiseAND(size - 1)
     rows = own.groupBy(F.shiftright(slot, 6).cast("int").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("b")).collect()
-    bits = [0] * (1 << (FILTER_BITS - 6))
+    bits = [0] * (size // 64)
     for r in rows:
         bits[r["k"]] = r["b"]
     return bits
 
 
+def _worded(rows: DataFrame, keep: str) -> DataFrame:
+    """keep, t (a hash of each word's template), v (slot values by word)."""
+    return hashed(rows, keep, 1).select(keep, F.coalesce("t", "p").alias("t"), "v")
+
+
+def whole_items(docs: DataFrame, items: DataFrame, places: DataFrame, window: int) -> DataFrame:
+    """Of places (doc_id, item_id, shift) those at which a document has the template of the whole item, with consistent slots: doc_id, item_id, n, exact, item_windows."""
+    wanted = _worded(items.join(places.select("item_id").distinct(), "item_id", "left_semi"), "item_id").select("item_id", F.col("t").alias("item_t"), F.col("v").alias("item_v"))
+    held = _worded(docs.join(small(stored(places.select("doc_id").distinct(), "held")), "doc_id", "left_semi"), "doc_id")
+    at, n = F.col("shift") + 1, F.size("item_t")
+    rows = places.where("shift >= 0").join(wanted, "item_id").join(held, "doc_id").where(F.slice("t", at, n) == F.col("item_t"))
+    pairs = F.arrays_zip(F.col("item_v").alias("b"), F.slice("v", at, n).alias("d"))
+    pairs = F.array_distinct(F.filter(pairs, lambda p: p["b"].isNotNull()))
+    rows = rows.where(F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == F.size(pairs))
+    windows = (n - window + 1).cast("bigint")
+    return rows.select("doc_id", "item_id", windows.alias("n"), F.lit(False).alias("exact"), windows.alias("item_windows"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each document and item that meet: doc_id, item_id, n_windows (consistent ones of the best alignment), item_windows, exact (no slot differs)."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
     size = F.size(_words(marked(F.col("text"))))
     lengths = [r[0] for r in items.where("text is not null").select(F.least(size, F.lit(window)).alias("n")).distinct().collect()]  # `window` values at most
-    found = None
+    found = dense = None
     for length in sorted(lengths):
         own = item_windows(items, length, whole=length < window)
-        own = own.withColumn("strong", F.col("fixed") >= min(MIN_FIXED, -(-length // 2))).where(F.col("same") | F.col("strong") | (F.col("fixed") >= LEAST_FIXED)).drop("fixed")
+        own = own.withColumn("strong", F.col("fixed") >= min(MIN_FIXED, -(-length // 2)))
+        own = own.withColumn("dense", ~F.bool_or("strong").over(Window.partitionBy("item_id"))).where(F.col("same") | F.col("strong") | (F.col("fixed") >= LEAST_FIXED)).drop("fixed")
         own = stored(own.withColumn("item_windows", F.count_if("same").over(Window.partitionBy("item_id"))), "items")
-        bits = _filter(own)
-        if own.count() <= BROADCAST_WINDOWS:
+        n = own.count()
+        bits = _filter(own, n)
+        if length == window:
+            dense = own.where("dense and not same").select("item_id").distinct()
+        own = own.drop("dense")
+        if n <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
         hit = doc_windows(docs, length, bits).join(own, "hash")
         # a plain hit has the item's own values; a template hit with these is found as a plain one too
@@ -152,6 +178,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).cast("bigint").alias("n_windows"), F.lit(0).cast("bigint").alias("item_windows"), F.lit(True).alias("exact")).where("false")
+    whole = None
+    if dense is not None and dense.limit(1).count():
+        found = stored(found, "hits")
+        places = stored(found.where("not x.same").select("doc_id", "item_id", "shift").distinct().join(dense, "item_id", "left_semi"), "places")
+        whole = whole_items(docs, items, places, window)
     # an occurrence has a window for each place of the item at most, repeated documents included
     one = found.groupBy("doc_id", "item_id", "shift").agg(F.max("item_windows").alias("item_windows"), F.collect_set("x").alias("x"))
     rows = one.select("doc_id", "item_id", "shift", "item_windows", F.explode("x").alias("x")).select("doc_id", "item_id", "shift", "item_windows", "x.*")
@@ -167,5 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     met = F.exists("x", lambda x: x["same"]) | ((F.size("clash") == 0) & F.exists("x", lambda x: x["strong"]))
     runs = runs.withColumns({"n": F.size(F.array_distinct(F.transform(kept, lambda x: x["item_at"]))).cast("bigint"), "met": met, "exact": F.forall("x", lambda x: x["same"])})
     one = runs.groupBy("doc_id", "item_id", "shift").agg(F.sum("n").alias("n"), F.bool_and("exact").alias("exact"), F.max("item_windows").alias("item_windows"), F.bool_or("met").alias("met")).where("met")
+    if whole is not None:
+        one = one.select("doc_id", "item_id", "n", "exact", "item_windows").unionByName(whole)
     best = F.max(F.struct("n", "exact", "item_windows"))
     return one.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", F.col("item_id").cast("bigint"), F.col("b.n").alias("n_windows"), F.col("b.item_windows").alias("item_windows"), F.col("b.exact").alias("exact"))

@@ -63,7 +63,7 @@ def test_escape_is_reversible(spark):
 def test_round_trip(spark):
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", "system", None, "[INST]"]), rng.choice(HARD + [None])) for c in [*range(40), None] for t in range(rng.randint(1, 9))]
-    rows += [(99, 1, "user", "same"), (99, 1, "user", "same"), (99, None, "user", "first")]
+    rows += [(99, 1, "user", "same"), (99, 1, "user", "same"), (99, None, "user", "first"), (98, 1, "user", "</s>b"), (98, 1, "user", "<a")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn int, role string, text string, formatted string").repartition(3)
     talk = collections.defaultdict(list)
     for c, t, role, text in rows:
@@ -71,7 +71,6 @@ def test_round_trip(spark):
     chats = chat_format(df)
     back = {r.conv_id: [tuple(x) for x in r.t] for r in chats.select("conv_id", read_back(F.col("formatted")).alias("t")).collect()}
     want = {c: [(r, x) for _, r, x in sorted(v)] for c, v in talk.items()}
-    # escaped texts sort as the plain ones unless they hold control strings on equal turns, which these rows don't
     assert back == want
     for r in digest(chats).collect():
         turns = want[r.conv_id]
@@ -83,7 +82,10 @@ def test_round_trip(spark):
 
 def test_adjacent_turns_are_one_block(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id bigint, turn int, role string, text string")
-    assert chat_format(df).first().formatted == "[INST] user [/INST]a[PART]b</s>[INST] assistant [/INST]c</s>"
+    chat = chat_format(df).first()
+    assert chat.formatted == "[INST] user [/INST]a[PART]b</s>[INST] assistant [/INST]c</s>"
+    assert "".join(x.text for x in chat.segments) == chat.formatted and [x.text for x in chat.segments if x.loss] == ["c"]
+    assert [x.text for x in chat_format(df, loss_role="user").first().segments if x.loss] == ["a", "b"]
 
 
 @pytest.fixture
@@ -157,11 +159,15 @@ def test_verbatim_passages_whose_capitals_or_lines_differ(spark):
     assert got == {(1, 1): (n, True), (2, 1): (n, True), (3, 2): (m, True), (4, 1): (n, True), (5, 1): (n, True)}
 
 
-def test_exact_copies_of_items_dense_in_slots(spark):
-    sums = "What is 12 + 30 + 45 + 60 + 75 + 90 + 11"
-    docs = [(1, f"Sums. {sums} and so on"), (2, f"Sums. {sums.replace('45', '46').replace('12', '13')} and so on"), (3, PLAIN), (4, "1 2 3 4 5 6 7 8 9 10")]
+def test_items_dense_in_slots(spark):
+    """Found with other numbers too if the whole template is there, its slots consistent; lists of numbers by equal values only."""
+    sums = "What is 12 + 30 + 45 + 60 + 75 + 90 + 12"
+    other = sums.replace("45", "46").replace("12", "13")
+    docs = [(1, f"Sums. {sums} and so on"), (2, f"Sums. {other} and so on"), (3, PLAIN), (4, "1 2 3 4 5 6 7 8 9 10"), (5, sums.replace("75 + 90 + 12", "75 + 90 + 13")[:-1]), (2, f"again {other}")]
+    docs += [(6, f"{other[:-5]} and 13"), (7, other[8:]), (8, sums.replace("What is 12", "What is 14"))]
     n = len(PLAIN.split()) - 7
-    assert met(spark, docs, [(1, sums), (2, PLAIN.title())]) == {(1, 1): (2, True), (3, 2): (n, True)}
+    numbers = "3 4 5 6 7 8 9 10 11"
+    assert met(spark, docs, [(1, sums), (2, PLAIN.title()), (3, numbers)]) == {(1, 1): (2, True), (2, 1): (2, False), (3, 2): (n, True), (4, 3): (1, True), (5, 1): (1, True)}  # of 5 the first window is equal; in 8 one 12 became 14
 
 
 def judged(doc, item):
@@ -191,6 +197,12 @@ def judged(doc, item):
             convicts |= any(hits[a][0] or not clash and hits[a][1] for a in run)
         if convicts:
             best.append((n, all(h[0] for h in hits.values())))
+        fixed = [sum(not slot(w) for w in item[a : a + 8]) for a in range(len(item) - 7)]
+        there = doc[shift : shift + len(item)] if shift >= 0 else []
+        pairs = {(x, y) for x, y in zip(item, there) if slot(x)}
+        whole = [slot(w) or w for w in there] == [slot(w) or w for w in item] and len({x for x, _ in pairs}) == len(pairs)
+        if max(fixed) < 4 and whole and any(fixed[a] >= 2 and not hits[a][0] for a in hits):
+            best.append((len(item) - 7, False))
     return max(best, default=None)
 
 
