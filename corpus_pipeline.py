@@ -29,27 +29,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return selected(docs, fit(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with `_row`, a number of each row that stays, as ids may be missing or shared."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of each row that stays, as ids may be missing or shared, and the name of its column, which no column of docs has."""
+    row, taken = "_row", {c.lower() for c in docs.columns}
+    while row in taken:
+        row += "_"
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    named = rows.where("doc_id is not null")
+    rows, row = _numbered(docs)
+    named = rows.where("doc_id is not null").select(F.col(row).alias("_row"), "doc_id", "text")
     groups = ngram_join(named.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY_PERCENT)
     others = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"), "component_id"), "others")
     linked = stored(others.unionByName(others.select(F.col("component_id").alias("_row"), "component_id").distinct()), "linked")
     linked = stored(named.select("_row", "doc_id").join(small(linked), "_row"), "ids")
     heads = stored(linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("head")), "heads")
-    gone = stored(linked.join(small(heads), "component_id").where("_row <> head").select("_row"), "gone")
-    return rows.join(small(gone), "_row", "left_anti").select(*docs.columns)
+    gone = stored(linked.join(small(heads), "component_id").where("_row <> head").select(F.col("_row").alias(row)), "gone")
+    return rows.join(small(gone), row, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered(docs)
-    met = met_items(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(small(stored(met, "met")), "_row", "left_anti").select(*docs.columns)
+    rows, row = _numbered(docs)
+    met = met_items(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(small(stored(met, "met")), row, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
