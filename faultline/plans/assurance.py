@@ -148,7 +148,7 @@ def source_functions_by_syntax(spark, sf_dir):
 
 @query("select 'dir/u' || user_id || '.c' as path, case when user_id % 10 = 0 then 'Unmatched braces for function open_' end as error from (select distinct user_id from events)")
 def source_errors(spark, sf_dir):
-    return C.parsed_files(sources(spark, sf_dir)).select("path", F.try_element_at("parse_errors", F.lit(1)).alias("error"))
+    return C.parse_errors(sources(spark, sf_dir)).select("path", F.try_element_at("parse_errors", F.lit(1)).alias("error"))
 
 
 @query(
