@@ -1,13 +1,19 @@
-"""Scans of run artifacts. Paths are read by Spark alone, so any store that Spark reads will do; schemas are declared, never inferred."""
+"""Scans of run artifacts. Paths are read by Spark alone, so any store that Spark reads will do, but for corpora of many small files (`corpus`); schemas are declared, never inferred."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scan import scanned
 from ..schemas import COMPILE_COMMANDS, INFER_ISSUES, TOOL_CALLS
+from .files import BATCH, ROWS, TASKS, hidden, opened, read_file, scheme_of, walked
 
 _RUN = r"/([^/]+)/([^/]+)/(?:logs|artifacts)/"
 
@@ -54,18 +60,59 @@ def _without_invalid(contents: pd.Series) -> pd.Series:
     return contents.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
 
 
+def _corpus_folders(root: str) -> list[str]:
+    """The folders below a root whose files may be of a corpus: those named seeds or initial, and buckets. What is in them isn't listed here."""
+    store, top = opened(root)
+    if store.get_file_info(top).type != fs.FileType.Directory:
+        return []
+    found, left = [], [top.rstrip("/")]
+    while left:
+        path = left.pop()
+        names = path.split("/")
+        if names[-1] in ("seeds", "initial") or names[-2:-1] == ["crashes"]:
+            found.append(path)
+        else:
+            left += [x.path for x in store.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.Directory and not hidden(x.base_name)]
+    return found
+
+
 def corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a corpus: harness, kind (seeds, crashes, initial), bucket (of crashes), id, length, content, path, and seq, from 0 by path within harness, kind and bucket. Harness is the folder above."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """Files of a corpus: harness, kind (seeds, crashes, initial), bucket (of crashes), id, length, content, path, and seq, from 0 by path within harness, kind and bucket. Harness is the folder above.
+
+    Folders are listed by tasks, the numbered files are dealt out by place, and each is read once, if its content is asked for. Paths are what pyarrow's file systems open."""
+    before = scheme_of(root)
+    prefix = before or "file:"
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = opened(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                files = walked(store, folder)
+                while some := list(islice(files, ROWS)):
+                    sizes = [x.size for x in store.get_file_info(some)]
+                    yield pa.RecordBatch.from_arrays([pa.array([prefix + x for x in some], pa.string()), pa.array(sizes, pa.int64())], ["path", "length"])
+
+    def read(paths: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        store, _ = opened(root)
+        for some in paths:
+            held, size = [], 0
+            for path in some:
+                held.append(read_file(store, path.as_py().removeprefix(prefix)))
+                size += len(held[-1])
+                if size > BATCH:
+                    yield pa.array(held, pa.binary())
+                    held, size = [], 0
+            yield pa.array(held, pa.binary())
+
+    folders = _corpus_folders(root)
+    given = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(max(1, min(len(folders), TASKS)))
+    rows = given.mapInArrow(listed, "path string, length bigint")
     form = r"([^/]+)/(seeds|initial)/([^/]+)$|([^/]+)/(crashes)/([^/]+)/([^/]+)$"
     part = lambda k: F.nullif(F.regexp_extract("path", form, k), F.lit(""))
-    rows = rows.select(
-        F.coalesce(part(1), part(4)).alias("harness"), F.coalesce(part(2), part(5)).alias("kind"), part(6).alias("bucket"), F.coalesce(part(3), part(7)).alias("id"), "length", "content", "path"
-    )
-    rows = rows.where("kind is not null")
-    keys = ["harness", "kind", "bucket"]
-    numbered = scanned(rows.select(*keys, "path"), keys, ["path"], place="_n").select("path", (F.col("_n") - 1).alias("seq"))
-    return rows.join(numbered, "path").select(*rows.columns, "seq")
+    rows = rows.select(F.coalesce(part(1), part(4)).alias("harness"), F.coalesce(part(2), part(5)).alias("kind"), part(6).alias("bucket"), F.coalesce(part(3), part(7)).alias("id"), "length", "path")
+    numbered = scanned(rows.where("kind is not null"), ["harness", "kind", "bucket"], ["path"], place="_n")
+    content = F.arrow_udf(read, "binary")(F.col("path"))
+    return numbered.select("harness", "kind", "bucket", "id", "length", content.alias("content"), "path", (F.col("_n") - 1).alias("seq"))
 
 
 def listed_crashes(files: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Run artifacts as a Spark data source: a scan with a partition for each folder of a run, and a writer that puts one named file for each row.
+"""Run artifacts as a Spark data source: a scan of the folders of runs, and a writer that puts one named file for each row.
 
     register(spark)
     spark.read.format("artifact_files").load(workspace).where("project = 'p' and kind = 'logs'")
-    rows.select("name", "content").write.format("artifact_files").mode("append").save(folder)
+    write_files(rows.select("name", "content"), folder)
 
 Scan: files below <workspace>/<project>/<run_id>/<kind>/, in order of their path within a folder. Filters on project, run_id and kind choose folders before anything in them is listed.
+A partition is a folder, or many of them where there are more than TASKS; a folder on a mounted disk with more than LARGE files is dealt to several. Beyond FEW runs the executors list what is in them.
 Mode bits are read by the executors, where the folder is a mounted one; elsewhere they are null. Option content=false leaves contents out.
 
-Writer: rows (name, content as string or binary). Tasks write below a folder of their own; the driver moves files to their names when all tasks are done, so a failed
-task or job leaves none, and writing the same rows again changes nothing. Names may hold folders. A name that comes twice, is empty, null or leads out of the folder fails the write. A null
-content is an empty file. Paths are what pyarrow's file systems open (mounted folders, hdfs, object stores).
+write_files: rows (name, content as string or binary) are stored; when all are made and their names known to be good and unique, tasks write the files, each under a hidden name first. So nothing but counts reaches
+the driver, rows that fail leave no files, no file is ever seen in part, and writing the same rows again changes nothing. A name that comes twice, is empty, null or leads out of the folder fails the write. A null
+content is an empty file. Paths are what pyarrow's file systems open (mounted folders, hdfs, object stores). The data source writes by the same rules into a folder beside, and its driver moves the files: for some
+thousand of them.
 """
 
 from __future__ import annotations
@@ -18,38 +20,92 @@ import logging
 import os
 import posixpath
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..scratch import stored
+
 log = logging.getLogger(__name__)
 
 FILES = "project string, run_id string, kind string, rel string, name string, length bigint, mode int, executable boolean, content binary"
+_ARROW = pa.schema([(n, pa.string()) for n in ("project", "run_id", "kind", "rel", "name")] + [("length", pa.int64()), ("mode", pa.int32()), ("executable", pa.bool_()), ("content", pa.binary())])
 _FOLDERS = ("project", "run_id", "kind")
 _STAGED = "_staged-"
+#: Tasks of a scan of many folders; runs whose folders the driver lists; files of a folder that one task reads; parts of a larger one.
+TASKS, FEW, LARGE, PARTS = 256, 1000, 20_000, 64
+#: Bytes of contents and files in one batch, about.
+BATCH, ROWS = 4 << 20, 4096
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path)
 
 
-def _listed(store: fs.FileSystem, path: str, kind: fs.FileType, recursive: bool = False) -> list[fs.FileInfo]:
-    found = store.get_file_info(fs.FileSelector(path, recursive=recursive, allow_not_found=True))
-    return sorted((x for x in found if x.type == kind and not x.base_name.startswith(("_", "."))), key=lambda x: x.path)
+def scheme_of(path: str) -> str:
+    """What stands before a path of a store that isn't mounted."""
+    return path.partition("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
+
+
+def hidden(name: str) -> bool:
+    return name.startswith(("_", "."))
+
+
+def _listed(store: fs.FileSystem, path: str, kind: fs.FileType) -> list[fs.FileInfo]:
+    found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return sorted((x for x in found if x.type == kind and not hidden(x.base_name)), key=lambda x: x.path)
+
+
+def _entries(store: fs.FileSystem, path: str) -> list[tuple[str, bool]]:
+    """Names in a folder, and whether each is a folder, in order of the paths below them."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(path) as found:
+            names = [(x.name, x.is_dir()) for x in found]
+    else:
+        names = [(x.base_name, x.type == fs.FileType.Directory) for x in store.get_file_info(fs.FileSelector(path))]
+    return sorted(names, key=lambda x: x[0] + "/" * x[1])
+
+
+def walked(store: fs.FileSystem, path: str) -> Iterator[str]:
+    """Paths of the files below a folder, in order, but for those with a hidden name. One folder's names are held at a time, and those of the folders above it."""
+    for name, is_folder in _entries(store, path):
+        if is_folder:
+            yield from walked(store, f"{path}/{name}")
+        elif not hidden(name):
+            yield f"{path}/{name}"
+
+
+def _many(path: str) -> bool:
+    """Whether a mounted folder holds more than LARGE files; counting ends there."""
+    seen = 0
+    for _, _, names in os.walk(path):
+        seen += len(names)
+        if seen > LARGE:
+            return True
+    return False
+
+
+def read_file(store: fs.FileSystem, path: str) -> bytes:
+    with store.open_input_stream(path) as f:
+        return f.read()
 
 
 @dataclass
-class Folder(InputPartition):
-    project: str
-    run_id: str
-    kind: str
-    path: str
+class Folders(InputPartition):
+    """Folders (project, run_id, kind, or None for all kinds) and, of their files, those of one part of `parts`."""
+
+    folders: list[tuple[str, str, str | None]]
+    part: int = 0
+    parts: int = 1
 
 
 class ArtifactReader(DataSourceReader):
@@ -74,27 +130,75 @@ class ArtifactReader(DataSourceReader):
             if chosen is None or x.base_name in chosen:
                 yield x.base_name, x.path
 
-    def partitions(self) -> list[Folder]:
-        store, root = _opened(self.path)
-        return [
-            Folder(project, run_id, kind, path)
-            for project, project_path in self._below(store, root, "project")
-            for run_id, run_path in self._below(store, project_path, "run_id")
-            for kind, path in self._below(store, run_path, "kind")
-        ]
+    def partitions(self) -> list[Folders]:
+        store, root = opened(self.path)
+        runs = [(project, run_id) for project, path in self._below(store, root, "project") for run_id, _ in self._below(store, path, "run_id")]
+        if len(runs) <= FEW:
+            found = [(project, run_id, kind) for project, run_id in runs for kind, _ in self._below(store, posixpath.join(root, project, run_id), "kind")]
+        else:
+            found = [(project, run_id, None) for project, run_id in runs]
+        if len(found) > TASKS:
+            return [Folders(found[k * len(found) // TASKS : (k + 1) * len(found) // TASKS]) for k in range(TASKS)]
+        out = []
+        for x in found:
+            many = len(found) < PARTS and isinstance(store, fs.LocalFileSystem) and _many(posixpath.join(root, *x))
+            out += [Folders([x], k, PARTS) for k in range(PARTS)] if many else [Folders([x])]
+        return out
 
-    def read(self, partition: Folder | None) -> Iterator[tuple]:
+    def read(self, partition: Folders | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's one task for a scan without partitions
             return
-        scheme = self.path.partition("://")[0] + "://" if "://" in self.path and not self.path.startswith("file:") else ""
-        store, root = _opened(scheme + partition.path) if scheme else (fs.LocalFileSystem(), partition.path)
-        for x in _listed(store, root, fs.FileType.File, recursive=True):
-            mode = os.stat(x.path).st_mode & 0o7777 if isinstance(store, fs.LocalFileSystem) else None
-            content = None
-            if self.content:
-                with store.open_input_stream(x.path) as f:
-                    content = f.read()
-            yield partition.project, partition.run_id, partition.kind, posixpath.relpath(x.path, root), x.base_name, x.size, mode, None if mode is None else bool(mode & 0o111), content
+        store, root = opened(self.path)
+        rows, size = [], 0
+        for row in self._rows(store, root, partition):
+            rows.append(row)
+            size += len(row[-1] or b"")
+            if size > BATCH or len(rows) >= ROWS:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, store: fs.FileSystem, root: str, partition: Folders) -> Iterator[tuple]:
+        local = isinstance(store, fs.LocalFileSystem)
+        for project, run_id, only in partition.folders:
+            run = posixpath.join(root, project, run_id)
+            for kind in [only] if only is not None else [kind for kind, _ in self._below(store, run, "kind")]:
+                folder = posixpath.join(run, kind)
+                for path in walked(store, folder):
+                    rel = path[len(folder) + 1 :]
+                    if partition.parts > 1 and zlib.crc32(rel.encode("utf-8", "surrogateescape")) % partition.parts != partition.part:
+                        continue
+                    state = os.stat(path) if local else None
+                    content = read_file(store, path) if self.content else None
+                    mode = None if state is None else state.st_mode & 0o7777
+                    yield project, run_id, kind, rel, posixpath.basename(path), state.st_size if local else store.get_file_info(path).size, mode, None if mode is None else bool(mode & 0o111), content
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
+def _clean(name: str | None) -> str:
+    clean = posixpath.normpath(name or "")
+    if clean in ("", ".") or clean.startswith(("/", "..")) or clean.split("/")[0].startswith(_STAGED):
+        raise ValueError(f"{name!r} is no name of a file below the folder")
+    return clean
+
+
+def _bytes(content: str | bytes | None) -> bytes:
+    return content.encode() if isinstance(content, str) else bytes(content or b"")
+
+
+def _staged_files(rows: Iterable[tuple], store: fs.FileSystem, folder: str) -> Iterator[tuple[str, str]]:
+    """Each row (name, content) put into a file of a folder: where it is and the name it is to have."""
+    store.create_dir(folder, recursive=True)
+    for k, (name, content) in enumerate(rows):
+        clean = _clean(name)
+        place = posixpath.join(folder, f"{k:09d}")
+        with store.open_output_stream(place) as f:
+            f.write(_bytes(content))
+        yield place, clean
 
 
 @dataclass
@@ -110,31 +214,21 @@ class ArtifactWriter(DataSourceWriter):
         self.staged = f"{_STAGED}{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> Written:
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         folder = posixpath.join(root, self.staged, uuid.uuid4().hex)  # of this attempt
-        store.create_dir(folder, recursive=True)
-        out = []
-        for k, row in enumerate(iterator):
-            name, content = (row[i] for i in self.at)
-            clean = posixpath.normpath(name or "")
-            if clean in ("", ".") or clean.startswith(("/", "..")) or clean.split("/")[0].startswith(_STAGED):
-                raise ValueError(f"{name!r} is no name of a file below the folder")
-            place = posixpath.join(folder, f"{k:09d}")
-            with store.open_output_stream(place) as f:
-                f.write(content.encode() if isinstance(content, str) else bytes(content or b""))
-            out.append((place, clean))
-        return Written(out)
+        return Written(list(_staged_files(((row[self.at[0]], row[self.at[1]]) for row in iterator), store, folder)))
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         files = [x for m in messages if m for x in m.files]
         names = [name for _, name in files]
         if len(set(names)) < len(names):
             self.abort(messages)
             raise ValueError(f"{len(names) - len(set(names))} names come more than once")
+        kept = set(names)
         if self.overwrite:
             for x in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
-                if x.type == fs.FileType.File and posixpath.relpath(x.path, root) not in set(names) and not posixpath.relpath(x.path, root).startswith(_STAGED):
+                if x.type == fs.FileType.File and posixpath.relpath(x.path, root) not in kept and not posixpath.relpath(x.path, root).startswith(_STAGED):
                     store.delete_file(x.path)
         for folder in sorted({posixpath.dirname(posixpath.join(root, name)) for name in names}):
             store.create_dir(folder, recursive=True)
@@ -144,7 +238,7 @@ class ArtifactWriter(DataSourceWriter):
         log.info("wrote %d files to %s", len(files), self.path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         staged = posixpath.join(root, self.staged)
         if store.get_file_info(staged).type == fs.FileType.Directory:
             store.delete_dir(staged)
@@ -176,7 +270,88 @@ def artifact_files(spark: SparkSession, workspace: str, content: bool = True) ->
     return spark.read.format("artifact_files").option("content", str(content).lower()).load(workspace)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches one by one."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in batch.columns)
+
+
+def _pairs(rows: Iterable[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[str, str]] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], ["place", "name"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], ["place", "name"])
+
+
 def write_files(rows: DataFrame, folder: str, mode: str = "append") -> None:
     """One file for each row (name, content) of rows; with mode overwrite, other files of the folder go."""
-    register(rows.sparkSession)
-    rows.select("name", "content").write.format("artifact_files").mode(mode).save(folder)
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"mode {mode} isn't append or overwrite")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([_clean(x) for x in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([names, batch.column(1)], ["name", "content"])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        made: set[str] = set()
+        for batch in batches:
+            for name, content in _slices([batch]):
+                target = posixpath.join(root, name)
+                if (above := posixpath.dirname(target)) not in made:
+                    store.create_dir(above, recursive=True)
+                    made = (made if len(made) < ROWS else set()) | {above}
+                part = f"{above}/.{uuid.uuid4().hex}"  # a move within a folder needs no lock of the whole disk
+                try:
+                    with store.open_output_stream(part) as f:
+                        f.write(_bytes(content))
+                    store.move(part, target)
+                except BaseException:
+                    if store.get_file_info(part).type == fs.FileType.File:
+                        store.delete_file(part)
+                    raise
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    kind = rows.schema["content"].dataType.simpleString()
+    put = stored(rows.select("name", "content").mapInArrow(checked, f"name string, content {kind}"), "files")
+    more = put.groupBy("name").count().where("count > 1").agg(F.sum(F.col("count") - 1)).first()[0]
+    if more:
+        raise ValueError(f"{more} names come more than once")
+    if mode == "overwrite":
+        _others_deleted(rows.sparkSession, folder, put)
+    count = put.mapInArrow(written, "n bigint").agg(F.sum("n")).first()[0]
+    log.info("wrote %d files to %s", count or 0, folder)
+
+
+def _others_deleted(spark: SparkSession, folder: str, kept: DataFrame) -> None:
+    """Files below a folder whose names aren't among the kept ones go; each entry of the folder is walked by one task."""
+    store, root = opened(folder)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        for (top,) in _slices(batches):
+            path = posixpath.join(root, top)
+            files = _files(store, path) if store.get_file_info(path).type == fs.FileType.Directory else [path]
+            yield from _pairs((x, posixpath.relpath(x, root)) for x in files)
+
+    def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = opened(folder)
+        for batch in batches:
+            for (place,) in _slices([batch]):
+                store.delete_file(place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    tops = [(x.base_name,) for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if not x.base_name.startswith(_STAGED)]
+    others = spark.createDataFrame(tops, "top string").mapInArrow(found, "place string, name string").join(kept.select("name"), "name", "left_anti")
+    others.select("place").mapInArrow(deleted, "n bigint").agg(F.sum("n")).first()
+
+
+def _files(store: fs.FileSystem, path: str) -> Iterator[str]:
+    for name, is_folder in _entries(store, path):
+        yield from _files(store, f"{path}/{name}") if is_folder else [f"{path}/{name}"]
