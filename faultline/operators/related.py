@@ -37,9 +37,14 @@ def last_write_join(left: DataFrame, right: DataFrame, keys: list[str], order: l
 
 def crash_at_location(findings: DataFrame, crashes: DataFrame) -> DataFrame:
     """findings with `crash`: the last crash whose trace names its file's base name and line."""
-    places = trace_locations(crashes).withColumnRenamed("line", "_line")
     keyed = findings.withColumns({"file_name": F.element_at(F.split("file", "/"), -1), "_line": F.col("line")})
-    return last_write_join(keyed, places, ["file_name", "_line"], ["seq", "pos"], F.struct(*crashes.columns), "crash").drop("file_name", "_line")
+    named = lambda rows: trace_locations(rows).withColumnRenamed("line", "_line")
+    at = ["file_name", "_line"]
+    # whole crashes are taken up only where they are last at a place that is asked for; until then a place has a number
+    last = named(crashes.select("seq", "stack_trace")).join(keyed.select(*at).distinct(), at, "left_semi").groupBy(*at).agg(F.max("seq").alias("_last"))
+    held = crashes.join(last.select("_last").distinct(), F.col("seq").eqNullSafe(F.col("_last")), "left_semi")
+    places = named(held).join(last.withColumnsRenamed({"file_name": "_f", "_line": "_l"}), (F.col("file_name") == F.col("_f")) & (F.col("_line") == F.col("_l")) & F.col("seq").eqNullSafe(F.col("_last")))
+    return last_write_join(keyed, places, at, ["seq", "pos"], F.struct(*crashes.columns), "crash").drop("file_name", "_line")
 
 
 def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:

@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultline.functions import code
+from faultline.operators import related
 
 
 # --- functions of many and long sources ---
@@ -45,3 +46,17 @@ def test_functions_equal_those_of_parsed_files(spark):
         got = code.functions(rows, mode=mode)
         assert got.schema["file_path"].dataType.simpleString() == "int" and sorted(got.collect()) == sorted(want) and len(want) == 3
         assert sorted(code.parse_errors(rows, mode=mode).select("path", "parse_errors").collect()) == sorted(arrays.select("path", "parse_errors").collect())
+
+
+# --- the last crash at a place ---
+
+
+def test_whole_crashes_are_taken_up_only_where_they_are_last(spark):
+    """Of 60 crashes that name the place only the last ones reach the aggregate that holds whole crashes."""
+    crashes = spark.range(60).select((F.col("id") % 30).alias("seq"), F.concat(F.lit("c"), "id").alias("crash_id"), F.when(F.col("id") == 29, "x /z.c:1 a.c:7").otherwise("#0 /a.c:7").alias("stack_trace"))
+    odd = spark.createDataFrame([(None, "n", "only.c:3")], "seq bigint, crash_id string, stack_trace string")
+    findings = spark.createDataFrame([(1, "src/a.c", 7), (2, "b.c", 7), (3, "only.c", 3), (4, None, 7), (5, "a.c", 7)], "id int, file string, line int")
+    got = {r.id: r.crash and r.crash.crash_id for r in related.crash_at_location(findings, crashes.unionByName(odd)).collect()}
+    assert got == {1: "c29", 2: None, 3: "n", 4: None, 5: "c29"}  # of two with the last number, the one that names it later in its trace
+    plan = related.crash_at_location(findings, crashes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(seq" in plan and plan.index("max_by") < plan.index("LeftSemi")
