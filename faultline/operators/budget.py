@@ -17,14 +17,14 @@ def review_cutoff(rows: DataFrame, keys: list[str], seq: str, words: str, found:
     rows = rows.withColumn("estimate", F.col(words) * F.lit(1.3))
     used = (F.col("estimate") * 2).cast("bigint")
     sums = {"used_before": used} | ({"findings_before": F.col(found).cast("bigint")} if found else {})
-    rows = scanned(rows, keys, [seq], sums, place="_place").withColumn("calls_before", F.col("_place") - 1)
+    rows = scanned(rows, keys, [seq], sums, place="_place", part="_range").withColumn("calls_before", F.col("_place") - 1)
     rows = rows if found else rows.withColumn("findings_before", F.lit(0))
     reason = (
         F.when(F.col("calls_before") >= max_calls, "calls").when(F.col("findings_before") >= max_findings, "findings").when(F.col("used_before") + F.col("estimate") > max_tokens, "tokens")
     )
-    rows = with_first(rows.withColumn("_r", reason), keys, "_place", F.col("_r").isNotNull(), F.col("_r"), "_stop")
+    rows = with_first(rows.withColumn("_r", reason), keys, "_place", "_range", F.col("_r").isNotNull(), F.col("_r"), "_stop")
     status = F.when(F.col("_place") > F.col("_stop.at"), "skipped").when(F.col("_r") == "tokens", "offline").when(F.col("_r").isNotNull(), "stopped").otherwise("run")
-    return rows.withColumn("stop_reason", F.when(F.col("_place") >= F.col("_stop.at"), F.col("_stop.value"))).withColumn("status", status).drop("_r", "_stop", "_place")
+    return rows.withColumn("stop_reason", F.when(F.col("_place") >= F.col("_stop.at"), F.col("_stop.value"))).withColumn("status", status).drop("_r", "_stop", "_place", "_range")
 
 
 def with_words(rows: DataFrame, prompt: str) -> DataFrame:
@@ -52,9 +52,9 @@ def first_success(attempts: DataFrame, keys: list[str], attempt: str, parsed: st
 
 def failure_streaks(rows: DataFrame, keys: list[str], seq: str, ok: str, limit: int = 3) -> DataFrame:
     """rows with `streak` (failures in a row up to here, 0 after a success) and `stopped` (an earlier row or this one reached the limit)."""
-    rows = scanned(rows, keys, [seq], last={"_ok": F.col(ok)}, place="_place").withColumn("streak", F.col("_place") - F.col("_ok"))
-    rows = with_first(rows, keys, "_place", F.col("streak") >= limit, F.col("streak"), "_stop")
-    return rows.withColumn("stopped", F.coalesce(F.col("_place") >= F.col("_stop.at"), F.lit(False))).drop("_ok", "_place", "_stop")
+    rows = scanned(rows, keys, [seq], last={"_ok": F.col(ok)}, place="_place", part="_range").withColumn("streak", F.col("_place") - F.col("_ok"))
+    rows = with_first(rows, keys, "_place", "_range", F.col("streak") >= limit, F.col("streak"), "_stop")
+    return rows.withColumn("stopped", F.coalesce(F.col("_place") >= F.col("_stop.at"), F.lit(False))).drop("_ok", "_place", "_stop", "_range")
 
 
 def last_good(rows: DataFrame, keys: list[str], seq: str, good: str, value: str) -> DataFrame:

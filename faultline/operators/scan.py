@@ -68,9 +68,10 @@ def _local(n_keys: int, n_sums: int, n_last: int):
     return run
 
 
-def scanned(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, last: dict[str, Column] | None = None, place: str = "place") -> DataFrame:
+def scanned(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, last: dict[str, Column] | None = None, place: str = "place", part: str | None = None) -> DataFrame:
     """rows with `place`, the number of a row in its key's order, from 1; for each of sums the sum over the rows before, 0 for the first; for each of last the place of the last row up
-    to this one for which it holds, 0 where none does. Sums are bigint for whole numbers, else double; nulls add nothing and count as false. Null keys are one key. Rows that tie in order come as they come."""
+    to this one for which it holds, 0 where none does. Sums are bigint for whole numbers, else double; nulls add nothing and count as false. Null keys are one key. Rows that tie in order come as they come.
+    part: a column for the number of the range that a row lies in, as with_first takes it."""
     sums, last = sums or {}, last or {}
     names = [f"_k{i}" for i in range(len(keys))]
     marks = [f"_v{i}" for i in range(len(sums))] + [f"_f{i}" for i in range(len(last))]
@@ -98,11 +99,14 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     columns = [(F.col("_place") + zero("_from")).alias(place)]
     columns += [(F.col(f"_s{i}") + zero(f"_c{i}")).alias(n) for i, n in enumerate(sums)]
     columns += [F.when(F.col(f"_l{i}") > 0, F.col(f"_l{i}") + zero("_from")).otherwise(zero(f"_d{i}")).alias(n) for i, n in enumerate(last)]
-    return out.select("_row.*", *columns)
+    return out.select("_row.*", *columns, *([F.col("_part").alias(part)] if part else []))
 
 
-def with_first(rows: DataFrame, keys: list[str], place: str, test: Column, value: Column, name: str) -> DataFrame:
-    """rows with `name`, struct<at, value> of the first place of their key for which the test holds, or null: one row for each key, by partial aggregates."""
+def with_first(rows: DataFrame, keys: list[str], place: str, part: str, test: Column, value: Column, name: str) -> DataFrame:
+    """rows (of scanned, with `part`) with `name`, struct<at, value> of the first place of their key for which the test holds, or null. Each range of a key has a row of its own to be joined
+    with, so a join by key and range leaves no more than a range to one task, however long the key."""
     names = [f"_k{i}" for i in range(len(keys))]
-    hit = rows.where(test).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.min_by(F.struct(F.col(place).alias("at"), value.alias("value")), place).alias(name))
-    return rows.join(hit, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], "left").drop(*names) if keys else rows
+    one = F.struct(F.col(place).alias("at"), value.alias("value"))
+    ends = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(part).alias("_p")).agg(F.min_by(F.when(test, one), F.when(test, F.col(place))).alias("_first"))
+    hit = ends.withColumn(name, F.min_by("_first", "_first.at").over(Window.partitionBy(*names))).drop("_first")
+    return rows.join(hit, [F.col(part) == F.col("_p"), *[F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]], "left").drop(*names, "_p")

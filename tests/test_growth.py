@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultline.functions import code
-from faultline.operators import related
+from faultline.operators import budget, related
 
 
 # --- functions of many and long sources ---
@@ -60,3 +60,25 @@ def test_whole_crashes_are_taken_up_only_where_they_are_last(spark):
     assert got == {1: "c29", 2: None, 3: "n", 4: None, 5: "c29"}  # of two with the last number, the one that names it later in its trace
     plan = related.crash_at_location(findings, crashes)._jdf.queryExecution().optimizedPlan().toString()
     assert "max(seq" in plan and plan.index("max_by") < plan.index("LeftSemi")
+
+
+# --- the first place of a long key ---
+
+
+def test_a_long_run_is_joined_with_its_stop_by_ranges(spark):
+    """Without a broadcast join, no task gets the run: rows meet the place where it stops range by range."""
+    rows = spark.range(20_000).select(F.lit("r").alias("run"), F.col("id").alias("seq"), F.lit(1).alias("words"), (F.col("id") != 15_000).alias("ok"))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    kept = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        cut = budget.review_cutoff(rows, ["run"], "seq", "words", max_calls=12_000, max_tokens=10**9)
+        streaks = budget.failure_streaks(rows.withColumn("ok", ~F.col("ok")), ["run"], "seq", "ok", 9_000)
+        per = [max(r["count"] for r in x.groupBy(F.spark_partition_id()).count().collect()) for x in (cut, streaks)]
+        got = {r.status: r.n for r in cut.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        stopped = streaks.where("stopped").agg(F.count("*"), F.min("seq")).first()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert max(per) < 15_000 and got == {"run": 12_000, "stopped": 1, "skipped": 7_999} and tuple(stopped) == (11_001, 8_999)
