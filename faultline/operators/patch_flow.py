@@ -2,25 +2,29 @@
 
 A step is put out as the edits that it makes, so a row is as long as its patch, not as its file. Where an edit falls in the first source comes from a piece table:
 the file is a list of runs of lines, each of the first source or of one step. Contents are rebuilt from the edits on demand.
+A step finds its place by an index of how lines begin (LongFile), so a long file isn't read again for each patch.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .align import Edit, Failed, joined, patch_edits, plain, replaced
+from .align import GAP, REACH, Edit, Failed, Lines, beginnings, joined, patch_edits, plain, scores
 
 #: at, gone: place and number of the lines that an edit replaces, in what the edits before it left. source_first, source_last: the lines of the first source that go
 #: (half open; an empty span where none do, at the place that follows).
 EDIT = "struct<at:int,gone:int,lines:array<string>,source_first:int,source_last:int>"
-FOLDED = f"array<struct<patch_applied:boolean,retained:boolean,error:string,edits:array<{EDIT}>>>"
-#: Characters of the contents in one batch, about.
-BATCH = 4 << 20
+_EDITS = pa.list_(pa.struct([("at", pa.int32()), ("gone", pa.int32()), ("lines", pa.list_(pa.string())), ("source_first", pa.int32()), ("source_last", pa.int32())]))
+#: Characters of the contents in one batch, about, and rows of a fold.
+BATCH, ROWS = 4 << 20, 4096
 
 
 class Pieces:
@@ -57,51 +61,291 @@ class Pieces:
         return (own[0][0], own[-1][1]) if own else (after, after)
 
 
-def settled(lines: list[str], ended: bool) -> tuple[Edit | None, bool]:
+class Part:
+    """A run of items of Blocks, and its number among the parts."""
+
+    __slots__ = ("items", "number")
+
+    def __init__(self, items: list, number: int) -> None:
+        self.items, self.number = items, number
+
+
+class Blocks:
+    """A long list in parts of about the square root of its length, so that an edit moves few of its items."""
+
+    LEAST = 512
+
+    def __init__(self, items: list) -> None:
+        self.size = max(self.LEAST, math.isqrt(len(items)))
+        self.parts = [Part(items[k : k + self.size], n) for n, k in enumerate(range(0, max(1, len(items)), self.size))]
+        self._count()
+
+    def _count(self) -> None:
+        *self.starts, self.n = accumulate((len(p.items) for p in self.parts), initial=0)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator:
+        return chain.from_iterable(p.items for p in self.parts)
+
+    def place(self, k: int) -> tuple[Part, int]:
+        part = self.parts[bisect_right(self.starts, k) - 1]
+        return part, k - self.starts[part.number]
+
+    def __getitem__(self, k: int) -> object:
+        part, at = self.place(k if k >= 0 else self.n + k)
+        return part.items[at]
+
+    def after(self, k: int) -> Iterator:
+        """The items from k on."""
+        part, at = self.place(k)
+        return chain(islice(part.items, at, None), *([chain.from_iterable(p.items for p in islice(self.parts, part.number + 1, None))]))
+
+    def replace(self, start: int, end: int, items: list) -> tuple[list, list[Part]]:
+        """The items that go, and the parts that have got others."""
+        part, at = self.place(start)
+        gone = part.items[at : at + end - start]
+        changed = [part]
+        part.items[at : at + end - start] = items
+        for p in islice(self.parts, part.number + 1, None):
+            if len(gone) == end - start:
+                break
+            left = end - start - len(gone)
+            gone += p.items[:left]
+            del p.items[:left]
+        if len(part.items) > 2 * self.size:
+            pieces = [part.items[k : k + self.size] for k in range(0, len(part.items), self.size)]
+            part.items = pieces[0]
+            changed += [Part(x, 0) for x in pieces[1:]]
+            self.parts[part.number + 1 : part.number + 1] = changed[1:]
+            for n, p in enumerate(self.parts):
+                p.number = n
+        self._count()
+        return gone, changed
+
+
+class Traced(Lines):
+    """Lines that know which of them are of the first source: each has a number, its place there, or a negative one if a step has brought it."""
+
+    def __init__(self, lines: list[str]) -> None:
+        super().__init__(lines)
+        self.first, self.ids = len(lines), list(range(len(lines)))
+        self.spans: list[tuple[int, int]] = []
+
+    def _span(self, gone: list[int], rest: Iterator[int]) -> tuple[int, int]:
+        """The span of the first source that goes."""
+        own = [k for k in gone if k >= 0]
+        after = own[0] if own else next((k for k in rest if k >= 0), self.first)
+        return (own[0], own[-1] + 1) if own else (after, after)
+
+    def replace(self, edit: Edit) -> tuple:
+        gone = self.ids[edit.start : edit.end]
+        self.spans.append(self._span(gone, islice(self.ids, edit.end, None)))
+        self.ids[edit.start : edit.end] = [-1] * len(edit.lines)
+        return super().replace(edit), gone
+
+    def back(self, old: tuple) -> None:
+        edit, gone = old
+        self.ids[edit.start : edit.end] = gone
+        super().replace(edit)
+
+
+class LongFile(Traced):
+    """Traced lines of a long file that takes many patches. Lines are found by what they begin with: those of the first source by sorted hashes, those of steps in a dictionary. So a
+    patch costs what its candidates cost, not what the file does."""
+
+    #: From so many lines on, for files with so many patches.
+    LINES, PATCHES = 2000, 4
+    #: Hashes with more lines than this keep them by text.
+    MANY = 32
+
+    def __init__(self, lines: list[str]) -> None:
+        self.first, self.spans = len(lines), []
+        self.given = lines
+        self.given_bare = [b if b != x else x for x, b in zip(lines, plain(lines))]
+        hashes = np.fromiter((hash(x[:-REACH]) for x in self.given_bare), np.int64, len(lines))
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+        self.blocks = Blocks(list(range(len(lines))))
+        #: The part that a line is in, None for one that went.
+        self.home: list[Part | None] = [p for p in self.blocks.parts for _ in p.items]
+        self.brought: dict[int, tuple[str, str]] = {}  # lines of steps and their plain forms
+        self.brought_home: dict[int, Part] = {}
+        self.begun: dict[str, dict[str, dict[int, None]]] = {}
+        self.texts: dict[str, dict[str, list[int]]] = {}
+        self.last = 0
+
+    def __len__(self) -> int:
+        return len(self.blocks)
+
+    def __getitem__(self, k: int) -> str:
+        n = self.blocks[k]
+        return self.given[n] if n >= 0 else self.brought[n][0]
+
+    def __iter__(self) -> Iterator[str]:
+        return (self.given[n] if n >= 0 else self.brought[n][0] for n in self.blocks)
+
+    def _put(self, start: int, end: int, ids: list[int]) -> list[int]:
+        gone, parts = self.blocks.replace(start, end, ids)
+        for k in gone:
+            if k >= 0:
+                self.home[k] = None
+            else:
+                del self.brought_home[k]
+                bare = self.brought[k][1]
+                del self.begun[bare[:-REACH]][bare][k]
+        for k in ids:
+            if k < 0:
+                bare = self.brought[k][1]
+                self.begun.setdefault(bare[:-REACH], {}).setdefault(bare, {})[k] = None
+        for part in parts:
+            for k in ids if len(parts) == 1 else part.items:
+                if k >= 0:
+                    self.home[k] = part
+                else:
+                    self.brought_home[k] = part
+        return gone
+
+    def replace(self, edit: Edit) -> tuple:
+        ids = list(range(self.last - 1, self.last - 1 - len(edit.lines), -1))
+        self.last -= len(ids)
+        self.brought.update(zip(ids, zip(edit.lines, plain(edit.lines))))
+        gone = self._put(edit.start, edit.end, ids)
+        self.spans.append(self._span(gone, self.blocks.after(edit.start + len(ids))))
+        return edit.start, edit.start + len(ids), gone
+
+    def back(self, old: tuple) -> None:
+        for k in self._put(*old):
+            del self.brought[k]
+
+    def _candidates(self, head: str) -> Iterator[tuple[str, list[int]]]:
+        """Plain lines of the first source that begin so, with their numbers; some that don't may be among them, and some that have gone."""
+        low, high = (int(np.searchsorted(self.hashes, hash(head), side)) for side in ("left", "right"))
+        if high - low <= self.MANY:
+            yield from ((self.given_bare[k], [k]) for k in self.order[low:high].tolist())
+            return
+        if head not in self.texts:
+            texts = self.texts[head] = {}
+            for k in self.order[low:high].tolist():
+                texts.setdefault(self.given_bare[k], []).append(k)
+        yield from self.texts[head].items()
+
+    def told(self, patch: list[str]) -> dict[int, tuple[float, ...]]:
+        whole = [*patch, GAP]
+        begun = beginnings(whole)
+        hits: dict[int, tuple[float, ...]] = {}
+        for head in begun:
+            for text, ids in chain(self._candidates(head), self.begun.get(head, {}).items()):
+                if ids and (row := scores(text, whole, begun)):
+                    hits.update(dict.fromkeys((k for k in ids if k < 0 or self.home[k] is not None), row))
+        if len(hits) * self.blocks.size > 8 * len(self):
+            return {at: hits[k] for at, k in enumerate(self.blocks) if k in hits}
+        found = {}
+        for k, row in hits.items():
+            part = self.home[k] if k >= 0 else self.brought_home[k]
+            found[self.blocks.starts[part.number] + part.items.index(k)] = row
+        return dict(sorted(found.items()))
+
+
+def settled(lines: Traced | Blocks, ended: bool) -> tuple[Edit | None, bool]:
     """Between two patches a file is a text: what reading it again changes in its lines, and whether the text ends with an end of line."""
-    if not lines:
+    if not len(lines):
         return (Edit(0, 0, [""]) if ended else None), ended
     if lines[-1] == "" and len(lines) > 1:
         return Edit(len(lines) - 1, len(lines), []), True
-    return (Edit(0, 1, []), False) if lines == [""] and not ended else (None, ended)
+    return (Edit(0, 1, []), False) if len(lines) == 1 and lines[0] == "" and not ended else (None, ended)
 
 
-def folded(source: str, steps: list[tuple[str, bool]]) -> list[tuple[bool, bool, str | None, list[tuple]]]:
-    """Of each step (patch, whether it built): applied, retained, error, edits."""
+def steps_of(source: str, steps: list[tuple[str, bool]]) -> Iterator[tuple[bool, bool, str | None, list[tuple], Traced, bool]]:
+    """Of each step (patch, whether it built): applied, retained, error, edits; the file after it, and whether that ends with an end of line."""
     lines, ended = source.splitlines(), source.endswith("\n")
-    bare, pieces, out = plain(lines), Pieces(len(lines)), []
-    for k, (patch, built) in enumerate(steps):
-        trial = (lines, bare, pieces) if built else (list(lines), list(bare), pieces.copy())
-        done = patch_edits(*trial[:2], patch)
+    file = LongFile(lines) if len(lines) >= LongFile.LINES and len(steps) >= LongFile.PATCHES else Traced(lines)
+    settles = None
+    for patch, built in steps:
+        if settles:
+            file.replace(settles)
+            settles = None
+        file.spans = []
+        done = patch_edits(file, patch)
         if isinstance(done, Failed):
-            out.append((False, False, done.error, []))
+            yield False, False, done.error, [], file, ended
             continue
-        out.append((True, built, None, [(e.start, e.end - e.start, e.lines, *trial[2].replace(e, k)) for e in done]))
+        edits, undone = done
+        made = [(e.start, e.end - e.start, e.lines, *span) for e, span in zip(edits, file.spans)]
+        if not built:
+            for old in reversed(undone):
+                file.back(old)
+        yield True, built, None, made, file, ended
         if built:
-            edit, ended = settled(lines, ended)
-            if edit:
-                replaced(lines, bare, edit)
-                pieces.replace(edit, k)
-    return out
+            settles, ended = settled(file, ended)
+
+
+def folded(source: str, steps: list[tuple[str, bool]]) -> list[tuple[bool, bool, str | None, list[tuple]]]:
+    """Of each step (patch, whether it built): applied, retained, error, edits."""
+    return [x[:4] for x in steps_of(source, steps)]
 
 
-def _fold(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    names = [x.split(":")[0] for x in EDIT[7:-1].split(",")]
-    for sources, lists in rows:
-        out = []
-        for source, steps in zip(sources, lists):
-            done = folded(source or "", [(s["patch"] or "", bool(s["build_success"])) for s in steps])
-            out.append([{"patch_applied": a, "retained": r, "error": e, "edits": [dict(zip(names, x)) for x in edits]} for a, r, e, edits in done])
-        yield pd.Series(out)
+def _lists(patches: DataFrame, sources: DataFrame) -> DataFrame:
+    """A row for each file: run_id, file_path, source, its patches in order. Files are dealt to all partitions, as a few of them, small by bytes, may be the work of a whole run."""
+    step = F.struct("seq", "patch", F.coalesce("build_success", F.lit(False)).alias("build_success"))
+    dealt = patches.repartition(int(patches.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run_id", "file_path")
+    lists = dealt.groupBy("run_id", "file_path").agg(F.sort_array(F.collect_list(step)).alias("p"))
+    return lists.join(sources.select("run_id", "file_path", "source").hint("merge"), ["run_id", "file_path"]).select("run_id", "file_path", "source", "p")
+
+
+def _files(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, list[tuple[str, bool]]]]:
+    """Of each row of a batch of _lists: its place, source, where its patches begin among those of the batch, and these."""
+    lists = batch.column(3)
+    offsets, flat = lists.offsets.to_pylist(), lists.values
+    first, texts = offsets[0] if offsets else 0, flat.field("patch").to_pylist()
+    built = flat.field("build_success").to_pylist()
+    for k in range(batch.num_rows):
+        a, b = offsets[k], offsets[k + 1]
+        yield k, batch.column(2)[k].as_py() or "", a, [(texts[n] or "", built[n]) for n in range(a, b)]
+
+
+def _folding(patches: DataFrame, sources: DataFrame, whole: bool) -> DataFrame:
+    """Files folded: of each step its edits, or with `whole` the file after it. Rows leave by BATCH characters or ROWS steps, also within one file."""
+    lists = _lists(patches, sources)
+    kinds = {f.name: f.dataType.simpleString() for f in [*lists.schema, patches.schema["seq"]]}
+    last, kind = ("content", pa.string()) if whole else ("edits", _EDITS)
+    names = ["run_id", "file_path", "seq", "patch_applied", "retained", "error", last]
+
+    def rows_of(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        rows, places, applied, retained, errors, values = zip(*held)
+        at = pa.array(rows)
+        keys = [batch.column(0).take(at), batch.column(1).take(at), batch.column(3).values.field("seq").take(pa.array(places))]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(applied), pa.array(retained), pa.array(errors, pa.string()), pa.array(values, kind)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            size = 0
+            for row, source, first, steps in _files(batch):
+                text = source
+                for n, (applied, retained, error, edits, file, ended) in enumerate(steps_of(source, steps), first):
+                    text = joined(file, ended) if whole and retained else text
+                    held.append((row, n, applied, retained, error, text if whole else edits))
+                    size += len(text) if whole else sum(len(x) for e in edits for x in e[2])
+                    if size > BATCH or len(held) >= ROWS:
+                        yield rows_of(batch, held)
+                        held, size = [], 0
+            if held:
+                yield rows_of(batch, held)
+
+    return lists.mapInArrow(run, f"run_id {kinds['run_id']}, file_path {kinds['file_path']}, seq {kinds['seq']}, patch_applied boolean, retained boolean, error string, {last} {'string' if whole else f'array<{EDIT}>'}")
 
 
 def fold_edits(patches: DataFrame, sources: DataFrame) -> DataFrame:
     """patches (run_id, file_path, seq, patch, build_success) folded over sources (run_id, file_path, source): whether each applied, whether it was kept, why
     not, and its edits. A fold is sequential; runs and files are independent. A source moves once, to the list of its patches, which a run's limit bounds."""
-    step = F.struct("seq", "patch", F.coalesce("build_success", F.lit(False)).alias("build_success"))
-    lists = patches.groupBy("run_id", "file_path").agg(F.sort_array(F.collect_list(step)).alias("p")).join(sources.select("run_id", "file_path", "source"), ["run_id", "file_path"])
-    done = lists.select("run_id", "file_path", F.explode(F.arrays_zip("p", F.pandas_udf(_fold, FOLDED)("source", "p").alias("r"))).alias("x"))
-    return done.select("run_id", "file_path", F.col("x.p.seq").alias("seq"), "x.r.*")
+    return _folding(patches, sources, False)
+
+
+def patch_fold(patches: DataFrame, sources: DataFrame) -> DataFrame:
+    """fold_edits with the file after each step instead of the edits."""
+    return _folding(patches, sources, True)
 
 
 def contents(steps: DataFrame, sources: DataFrame, last: bool = False) -> DataFrame:
@@ -116,18 +360,19 @@ def contents(steps: DataFrame, sources: DataFrame, last: bool = False) -> DataFr
             held: list[tuple] = []
             size = 0
             for run_id, path, steps, source in zip(*(c.to_pylist() for c in batch.columns)):
-                text = source or ""
-                lines, ended = text.splitlines(), text.endswith("\n")
+                text: str | None = source or ""
+                lines, ended, settles = Blocks(text.splitlines()), text.endswith("\n"), None
                 for k, step in enumerate(steps):
                     if step["retained"]:
+                        if settles:
+                            lines.replace(*settles)
                         for e in step["edits"]:
-                            lines[e["at"] : e["at"] + e["gone"]] = e["lines"]
-                        text = joined(lines, ended)
-                        edit, ended = settled(lines, ended)
-                        if edit:
-                            lines[edit.start : edit.end] = edit.lines
+                            lines.replace(e["at"], e["at"] + e["gone"], e["lines"])
+                        text, whole = None, ended
+                        settles, ended = settled(lines, ended)
                     if last and k < len(steps) - 1:
                         continue
+                    text = joined(lines, whole) if text is None else text
                     held.append((run_id, path, step["seq"], step["patch_applied"], step["retained"], step["error"], text))
                     size += len(text)
                     if size > BATCH:
@@ -144,11 +389,6 @@ def contents(steps: DataFrame, sources: DataFrame, last: bool = False) -> DataFr
     return whole.select("run_id", "file_path", "p", "source").mapInArrow(run, schema)
 
 
-def patch_fold(patches: DataFrame, sources: DataFrame) -> DataFrame:
-    """fold_edits with the file after each step instead of the edits."""
-    return contents(fold_edits(patches, sources), sources)
-
-
 def crash_counts(tests: DataFrame, keys: list[str]) -> DataFrame:
     """crashes_fixed and crashes_remaining of each patch."""
     return tests.groupBy(*keys).agg(F.count_if(~F.col("still_crashes")).alias("crashes_fixed"), F.count_if(F.col("still_crashes")).alias("crashes_remaining"))

@@ -1,10 +1,13 @@
 """Steps whose cost must not grow faster than their input: long batches, long lists."""
 
+import random
+import time
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultline.functions import code
-from faultline.operators import budget, related
+from faultline.operators import align, budget, patch_flow, related
 
 
 # --- functions of many and long sources ---
@@ -82,3 +85,37 @@ def test_a_long_run_is_joined_with_its_stop_by_ranges(spark):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert max(per) < 15_000 and got == {"run": 12_000, "stopped": 1, "skipped": 7_999} and tuple(stopped) == (11_001, 8_999)
+
+
+# --- many patches of a long file ---
+
+
+def test_a_long_file_is_patched_as_a_short_one(monkeypatch):
+    """The indexed form of a file gives the edits, spans and errors of the plain one, also where builds fail and lines are common."""
+    rng = random.Random(5)
+    words = ["", "}", "  else {", "a", align.GAP, align.NEW]
+    line = lambda: rng.choice(words) if rng.random() < 0.3 else f"stmt_{rng.randint(0, 12)}(x);" if rng.random() < 0.5 else f"  y = {rng.randint(0, 300)}; // long"
+    cases = []
+    for _ in range(200):
+        lines = [line() for _ in range(rng.choice([0, 1, 5, 40, 100]))]
+        steps = []
+        for k in range(6):
+            at = rng.randint(0, max(0, len(lines) - 1))
+            body = [rng.choice(" -+") + (lines[at + i] if at + i < len(lines) and rng.random() < 0.8 else line()) for i in range(rng.randint(1, 5))]
+            steps.append((f"@@ -{at + 1} +1 @@\n" + "\n".join(body) + (f"\n@@ -{at + 1} +1 @@\n" + "\n".join(body[::-1]) if k % 3 == 0 else ""), rng.random() < 0.7))
+        cases.append(("\n".join(lines) + rng.choice(["", "\n", "\n\n"]), steps))
+    plain = [patch_flow.folded(*x) for x in cases]
+    for owner, name, value in ((patch_flow.LongFile, "LINES", 0), (patch_flow.LongFile, "PATCHES", 0), (patch_flow.LongFile, "MANY", 2), (patch_flow.Blocks, "LEAST", 3)):
+        monkeypatch.setattr(owner, name, value)
+    assert [patch_flow.folded(*x) for x in cases] == plain
+    assert sum(a for x in plain for a, *_ in x) > 200
+
+
+def test_patches_of_a_long_file_cost_no_pass_over_it():
+    """4000 patches of 200,000 lines: 800 million lines, were each to read the file."""
+    lines = [f"row {i * 7} of customer {i % 977};" for i in range(200_000)]
+    steps = [(f"@@ -{40 * k + 1} +1 @@\n {lines[40 * k]}\n-{lines[40 * k + 1]}\n+new {k}\n {lines[40 * k + 2]}", k % 4 != 1) for k in range(4000)]
+    start = time.monotonic()
+    done = patch_flow.folded("\n".join(lines), steps)
+    assert time.monotonic() - start < 60
+    assert all(edits[0][3:] == (40 * k, 40 * k + 3) for k, (_, _, _, edits) in enumerate(done))
