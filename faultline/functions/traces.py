@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,11 +33,16 @@ def error_type(trace: Column) -> Column:
     return F.coalesce(named, first_of([(trace.contains("SEGV"), "SEGV"), (trace.contains("SIGABRT"), "SIGABRT")], F.lit("unknown")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used: within lambdas Spark computes each mention anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_internal_frame(func: Column, location: Column) -> Column:
     """Runtime and harness frames: by exact name before a bracket, or by a part of name and place."""
     base = F.trim(F.split_part(F.lower(func), F.lit("("), F.lit(1)))
     both = F.concat(F.lower(func), F.lit(" "), F.lower(location))
-    return base.isin(INTERNAL_FUNCTIONS) | _any([both.contains(p) for p in INTERNAL_PATTERNS])
+    return base.isin(INTERNAL_FUNCTIONS) | bound(both, lambda x: _any([x.contains(p) for p in INTERNAL_PATTERNS]))
 
 
 def file_line(location: Column) -> Column:
@@ -50,22 +56,25 @@ def frames(trace: Column, n: int = 3) -> Column:
     start = F.struct(F.lit(False).alias("on"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("got"))
 
     def step(acc: Column, line: Column) -> Column:
-        func, place = F.regexp_extract(line, FRAME, 1), F.trim(F.regexp_extract(line, FRAME, 2))
-        label = F.concat_ws("@", func, file_line(place))
+        frame = F.struct(F.regexp_extract(line, FRAME, 1).alias("func"), F.trim(F.regexp_extract(line, FRAME, 2)).alias("place"))
         opens = line.contains("ERROR:") & line.contains("Sanitizer")
-        closes = _any([F.lower(line).contains(m) for m in STOP_MARKERS])
-        takes = (func != "") & ~is_internal_frame(func, place)
+        closes = bound(F.lower(line), lambda low: _any([low.contains(m) for m in STOP_MARKERS]))
 
         def state(on: Column, over: Column, got: Column) -> Column:
             return F.struct(on.alias("on"), over.alias("over"), got.alias("got"))
 
+        def taken(x: Column) -> Column:
+            label = F.concat_ws("@", x["func"], file_line(x["place"]))
+            takes = (x["func"] != "") & ~is_internal_frame(x["func"], x["place"])
+            return F.when(takes, state(F.lit(True), F.lit(False), F.concat(acc["got"], F.array(label)))).otherwise(acc)
+
         return (
             F.when(acc["over"], acc)
             .when(opens, state(F.lit(True), F.lit(False), acc["got"]))
             .when(~acc["on"], acc)
             .when(closes | (F.size(acc["got"]) >= n), state(F.lit(True), F.lit(True), acc["got"]))
-            .when(takes, state(F.lit(True), F.lit(False), F.concat(acc["got"], F.array(label))))
-            .otherwise(acc)
+            .when(~line.contains("#"), acc)
+            .otherwise(bound(frame, taken))
         )
 
     return F.aggregate(F.split(trace, "\n", -1), start, step, lambda acc: acc["got"])
@@ -76,8 +85,8 @@ def signature(kind: Column, top: Column) -> Column:
 
 
 def crash_signature(trace: Column, n: int = 3) -> Column:
-    kind, top = error_type(trace), frames(trace, n)
-    return F.struct(kind.alias("error_type"), top.alias("frames"), signature(kind, top).alias("signature_hash"))
+    both = F.struct(error_type(trace).alias("error_type"), frames(trace, n).alias("frames"))
+    return bound(both, lambda x: F.struct(x["error_type"].alias("error_type"), x["frames"].alias("frames"), signature(x["error_type"], x["frames"]).alias("signature_hash")))
 
 
 def isolated_trace(output: Column, limit: int = 60) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.traces import crash_signature
+from ..scratch import stored
 
 
 def signed(crashes: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def ranked_clusters(groups: DataFrame) -> DataFrame:
 
 def dedup_report(crashes: DataFrame, top: int = 1000) -> DataFrame:
     """One row: the summary and, as a sorted array, the largest clusters, `top` at most. ranked_clusters has them all, and documents.dedup_documents those of each run."""
-    groups = crash_clusters(crashes)
+    groups = stored(crash_clusters(crashes), "clusters")  # read three times: for the summary, by the sort's sample and by the sort
     r = F.col("representative")
     one = F.struct(
         (-F.col("crash_count")).alias("rank"), F.col("first_seq"), F.col("cluster_key").alias("signature_hash"), r["signature"]["error_type"].alias("error_type"),
