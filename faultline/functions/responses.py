@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from .text import valid_severity
 FENCED_JSON = r"(?U)```(?:json)?\s*\n?([\s\S]*?)\n?```"
 BRACES = r"(\{[\s\S]*\})"
 PATCH_BLOCKS = [r"(?is)```yaml\s*(.*?)```", r"(?is)```yml\s*(.*?)```", r"(?is)```\s*(analysis:.*?)```"]
+#: Keys with a plain line or a block each, in ASCII, which libyaml and PyYAML read alike; they differ in some tags, flow items, tabs and marks.
+ALIKE = re.compile(r"(?:[A-Za-z_]+: (?:[A-Za-z0-9_][A-Za-z0-9_ ./(),;'+=<>-]*\n|[|>][-+]?\n(?: [\x20-\x7e]*\n|\n)*))+")
 DIFF_HUNK = r"(?s)(@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@.*?)(?=\n@@ |\n```|\z)"
 
 #: One item of a findings list; everything is read as a string, as models mix types.
@@ -63,6 +66,18 @@ def patch_text(response: Column) -> Column:
     return F.coalesce(first, F.when(response.contains("analysis:") & response.contains("patch:"), response))
 
 
+def loaded(text: str) -> object:
+    """yaml.safe_load, by libyaml where it is there and the text is of the usual form; what it refuses is left to the other."""
+    import yaml
+
+    if yaml.__with_libyaml__ and ALIKE.fullmatch(text if text.endswith("\n") else f"{text}\n"):
+        try:
+            return yaml.load(text, Loader=yaml.CSafeLoader)
+        except yaml.YAMLError:
+            pass
+    return yaml.safe_load(text)
+
+
 def _yaml(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     import yaml
 
@@ -73,7 +88,7 @@ def _yaml(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             row: list = [None] * 4
             if text is not None:
                 try:
-                    got = yaml.safe_load(text)
+                    got = loaded(text)
                 except yaml.YAMLError:
                     got = None
                 if isinstance(got, dict) and all(n in got for n in names):

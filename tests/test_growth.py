@@ -4,10 +4,12 @@ import random
 import time
 
 import pyarrow as pa
+import pytest
+import yaml
 from pyspark.sql import functions as F
 
-from faultline.functions import code
-from faultline.operators import align, budget, patch_flow, related
+from faultline.functions import code, responses, traces
+from faultline.operators import align, budget, dedup, patch_flow, related
 
 
 # --- functions of many and long sources ---
@@ -119,3 +121,38 @@ def test_patches_of_a_long_file_cost_no_pass_over_it():
     done = patch_flow.folded("\n".join(lines), steps)
     assert time.monotonic() - start < 60
     assert all(edits[0][3:] == (40 * k, 40 * k + 3) for k, (_, _, _, edits) in enumerate(done))
+
+
+# --- expressions and readers of many rows ---
+
+
+def test_a_report_reads_its_crashes_once(spark):
+    """The clusters are stored: the plan of the report holds no crash any more."""
+    rows = spark.range(50).select(F.col("id").alias("seq"), F.concat(F.lit("c"), "id").alias("crash_id"), F.lit(1).alias("input_size"), F.lit("t").alias("dedup_token"), F.lit("==1==ERROR: AddressSanitizer: SEGV\n #0 0x1 in f /a.c:1").alias("stack_trace"))
+    report = dedup.dedup_report(rows)
+    assert "Range" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert report.first()["total_crashes"] == 50 and report.first()["clusters"][0]["frames"] == ["f@a.c:1"]
+
+
+def test_a_frame_is_matched_once_for_all_its_tests(spark):
+    """The two parts of a frame are each mentioned once in the fold over lines, not once for each internal pattern."""
+    plan = spark.range(1).select(traces.frames(F.col("id").cast("string"))).alias("x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("0x[0-9a-f]+") <= 4
+
+
+@pytest.mark.parametrize("text", ["analysis: a\nfix_strategy: 012\nfile_path: yes\npatch: |\n  @@ -1 +1 @@\n  -a: [?\n  +!b\n", "analysis: |#x\n  y", "a:\tb", "a: !", "{a: b ? c}", "analysis: é\npatch: >-\n  x\n\n  y", "a: 2001-01-01", "p: |\n\tx", "a: ''", "", "x"])
+def test_libyaml_reads_as_the_other(text):
+    def got(read):
+        try:
+            return repr(read(text))
+        except yaml.YAMLError:
+            return "error"
+
+    assert got(responses.loaded) == got(yaml.safe_load)
+
+
+def test_usual_responses_are_read_by_libyaml(monkeypatch):
+    if not yaml.__with_libyaml__:
+        pytest.skip("no libyaml")
+    monkeypatch.setattr(yaml, "safe_load", None)
+    assert responses.loaded("analysis: it's bad, so (maybe) fix\npatch: |\n  @@ -1 +1 @@\n  -a\n  +b") == {"analysis": "it's bad, so (maybe) fix", "patch": "@@ -1 +1 @@\n-a\n+b"}
