@@ -42,25 +42,38 @@ class Admission(StatefulProcessor):
         self.ids = handle.getListState("ids", StructType().add("id", StringType()), self.ttl_ms)
 
     def _held(self) -> set[str]:
-        return {x[0] for x in self.ids.get()} if self.ids.exists() else set()
+        return {x[0] for x in self.ids.get()}
+
+    def _texts(self, frame: pd.DataFrame) -> list[str]:
+        ids = frame[self.id_col]
+        return [str(x) for x in ids.tolist()] if ids.dtype.kind in "iuO" else ids.astype(str).tolist()
 
     def handleInitialState(self, key: tuple[Any, ...], initialState: pd.DataFrame, timerValues: Any) -> None:
         held = self._held()
-        for x in initialState[self.id_col].astype(str):
-            if x not in held:
-                held.add(x)
-                self.ids.appendValue((x,))
+        fresh = [x for x in dict.fromkeys(self._texts(initialState)) if x not in held]
+        if fresh:
+            self.ids.appendList([(x,) for x in fresh])
 
     def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        """One call to read a bucket's state and one to write it, and few of pandas: most buckets have few rows, so these are the cost of a stream."""
         held = self._held()
+        room = self.k - len(held)
         best: pd.DataFrame | None = None
-        for frame in rows:  # k rows are kept while reading, whatever the batch holds
-            frame = frame[~frame[self.id_col].astype(str).isin(held)]
-            both = frame if best is None else pd.concat([best, frame])
-            best = both.sort_values(self.order, kind="stable").drop_duplicates(self.id_col).head(max(0, self.k - len(held)))
-        if best is not None and len(best):
-            for x in best[self.id_col].astype(str):
-                self.ids.appendValue((x,))
+        fresh: list[str] = []
+        if room > 0:  # rows of a full bucket aren't looked at
+            for frame in rows:  # k rows are kept while reading, whatever the batch holds
+                both = frame if best is None else pd.concat([best, frame])
+                order, texts = both[self.order], self._texts(both)
+                places = order.to_numpy().argsort(kind="stable").tolist() if order.dtype.kind in "iu" else order.reset_index(drop=True).sort_values(kind="stable").index.tolist()
+                taken: dict[str, int] = {}
+                for n in places:
+                    if texts[n] not in held and texts[n] not in taken:
+                        taken[texts[n]] = n
+                        if len(taken) == room:
+                            break
+                best, fresh = both.iloc[list(taken.values())], list(taken)
+        if fresh:
+            self.ids.appendList([(x,) for x in fresh])
             yield best
 
     def close(self) -> None:

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 import yaml
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import code, responses, traces
 from faultline.operators import align, budget, dedup, patch_flow, related
+from faultline.streaming import streams
 
 
 # --- functions of many and long sources ---
@@ -156,3 +158,39 @@ def test_usual_responses_are_read_by_libyaml(monkeypatch):
         pytest.skip("no libyaml")
     monkeypatch.setattr(yaml, "safe_load", None)
     assert responses.loaded("analysis: it's bad, so (maybe) fix\npatch: |\n  @@ -1 +1 @@\n  -a\n  +b") == {"analysis": "it's bad, so (maybe) fix", "patch": "@@ -1 +1 @@\n-a\n+b"}
+
+
+# --- admission to many buckets ---
+
+
+class State:
+    """A list state that counts its calls."""
+
+    def __init__(self, ids=()):
+        self.ids, self.calls = [(x,) for x in ids], 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "get":
+                return iter(self.ids)
+            if name == "exists":
+                return bool(self.ids)
+            self.ids += args[0] if name == "appendList" else [args[0]]
+
+        return call
+
+
+@pytest.mark.parametrize("orders", [[3, 1, 2, 0, 1, 9], ["c", "a", "b", None, "a", "z"], [3.0, 1.0, 2.0, None, 1.0, 9.0]])
+def test_admission_asks_for_its_state_twice(orders):
+    admission = streams.Admission("id", "order", 4, None)
+    frame = pd.DataFrame({"id": [30, 10, 20, 0, 10, 90], "order": orders, "n": range(6)})
+    admission.ids = State(["20"])
+    got = pd.concat(admission.handleInputRows((), iter([frame.iloc[:3], frame.iloc[3:]]), None))
+    want = frame[frame["id"] != 20].sort_values("order", kind="stable").drop_duplicates("id").head(3)
+    assert got.n.tolist() == want.n.tolist() and admission.ids.calls == 2
+    assert admission.ids.ids == [("20",), *((str(x),) for x in want["id"])]
+    assert list(admission.handleInputRows((), iter([frame]), None)) == [] and admission.ids.calls == 3
+    admission.ids = State(["10"])
+    admission.handleInitialState((), pd.DataFrame({"id": ["10", "11", "11", "12"]}), None)
+    assert admission.ids.ids == [("10",), ("11",), ("12",)] and admission.ids.calls == 2
