@@ -1,7 +1,7 @@
 """Patches in sequence: each applies to what the ones before it left; a failed build takes its patch back.
 
-A step is put out as the edits that it makes, so a row is as long as its patch, not as its file. Where an edit falls in the first source comes from a piece table:
-the file is a list of runs of lines, each of the first source or of one step. Contents are rebuilt from the edits on demand.
+A step is put out as the edits that it makes, so a row is as long as its patch, not as its file. Where an edit falls in the first source comes from
+the numbers of its lines: each is a place in the first source, or of one step. Contents are rebuilt from the edits on demand.
 A step finds its place by an index of how lines begin (LongFile), so a long file isn't read again for each patch.
 """
 
@@ -28,7 +28,7 @@ BATCH, ROWS = 4 << 20, 4096
 
 
 class Pieces:
-    """A file as runs of lines: (origin, first, last) with origin None for the first source, else any mark of what brought the lines."""
+    """A file as runs of lines: (origin, first, last) with origin None for the first source, else any mark of what brought the lines. Folds number lines instead (Traced)."""
 
     def __init__(self, n: int) -> None:
         self.runs: list[tuple[object, int, int]] = [(None, 0, n)] if n else []
