@@ -1,4 +1,4 @@
-"""Scans of run artifacts. Paths are read by Spark alone, so any store that Spark reads will do; schemas are declared, never inferred."""
+"""Scans of run artifacts. Paths are read by Spark, so any store that Spark reads will do (a corpus in a mounted folder by tasks of its own); schemas are declared, never inferred."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scan import scanned
 from ..schemas import COMPILE_COMMANDS, INFER_ISSUES, TOOL_CALLS
+from . import files
 
 _RUN = r"/([^/]+)/([^/]+)/(?:logs|artifacts)/"
 
@@ -54,23 +55,32 @@ def _without_invalid(contents: pd.Series) -> pd.Series:
     return contents.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
 
 
-def corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a corpus: harness, kind (seeds, crashes, initial), bucket (of crashes), id, length, content, path, and seq, from 0 by path within harness, kind and bucket. Harness is the folder above."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    form = r"([^/]+)/(seeds|initial)/([^/]+)$|([^/]+)/(crashes)/([^/]+)/([^/]+)$"
-    part = lambda k: F.nullif(F.regexp_extract("path", form, k), F.lit(""))
-    rows = rows.select(
-        F.coalesce(part(1), part(4)).alias("harness"), F.coalesce(part(2), part(5)).alias("kind"), part(6).alias("bucket"), F.coalesce(part(3), part(7)).alias("id"), "length", "content", "path"
+def corpus(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+    """Files of a corpus: harness, kind (seeds, crashes, initial), bucket (of crashes), id, length, content, path, and seq, from 0 by path within harness, kind and bucket. Harness is the folder above.
+    Without contents no file is opened; with_content adds them. A mounted folder is listed by tasks, any other by Spark's source."""
+    rows = files.listed(spark, root) if files.mounted(spark, root) else _binary(spark, root).select("path", "length")
+    at = lambda k: F.try_element_at("_parts", F.lit(k))
+    crash = F.coalesce((at(-3) == "crashes") & (at(-4) != "") & (at(-2) != "") & (at(-1) != ""), F.lit(False))
+    kept = at(-2).isin("seeds", "initial") & (at(-3) != "") & (at(-1) != "")
+    rows = rows.withColumn("_parts", F.split("path", "/")).select(
+        F.when(crash, at(-4)).when(kept, at(-3)).alias("harness"), F.when(crash, at(-3)).when(kept, at(-2)).alias("kind"), F.when(crash, at(-2)).alias("bucket"), F.when(crash | kept, at(-1)).alias("id"), "length", "path"
     )
-    rows = rows.where("kind is not null")
-    keys = ["harness", "kind", "bucket"]
-    numbered = scanned(rows.select(*keys, "path"), keys, ["path"], place="_n").select("path", (F.col("_n") - 1).alias("seq"))
-    return rows.join(numbered, "path").select(*rows.columns, "seq")
+    numbered = scanned(rows.where("kind is not null"), ["harness", "kind", "bucket"], ["path"], place="_n").withColumn("seq", F.col("_n") - 1).drop("_n")
+    return with_content(spark, root, numbered).select("harness", "kind", "bucket", "id", "length", "content", "path", "seq") if content else numbered
 
 
-def listed_crashes(files: DataFrame) -> DataFrame:
+def with_content(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """rows of a corpus, or of a join or choice of them, with the contents of their files. Each run of the result reads them again."""
+    return files.with_content(rows) if files.mounted(spark, root) else rows.join(_binary(spark, root).select("path", "content"), "path")
+
+
+def _binary(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+
+def listed_crashes(found: DataFrame) -> DataFrame:
     """Crashes as a corpus lists them: sizes from the file, no time and no trace."""
-    return files.where("kind = 'crashes'").select(
+    return found.where("kind = 'crashes'").select(
         F.col("id").alias("crash_id"), F.col("path").alias("input_path"), F.col("length").alias("input_size"), F.col("bucket").alias("dedup_token"), "harness",
         F.lit(None).cast("timestamp").alias("timestamp"), F.lit("").alias("stack_trace"), F.lit("").alias("signal"),
     )
@@ -100,8 +110,10 @@ def tool_calls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of run logs with project, run_id and seq, their place in the file from 0."""
+    """Lines of run logs with project, run_id and seq, their place in the log from 0. A log is a file, or the files <log>.part-<number>, in order."""
     # lines of one part of a file are in order of the id, parts in order of their place
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_part_at"), F.monotonically_increasing_id().alias("_line"))
-    numbered = scanned(rows, ["path"], ["_part_at", "_line"], place="_n")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part_at"), F.monotonically_increasing_id().alias("_line"))
+    part = F.regexp_extract("_file", r"\.part-(\d+)$", 1)
+    rows = rows.withColumns({"path": F.regexp_replace("_file", r"\.part-\d+$", ""), "_file_at": F.when(part != "", part.cast("bigint")).otherwise(0)}).drop("_file")
+    numbered = scanned(rows, ["path"], ["_file_at", "_part_at", "_line"], place="_n")
     return with_run(numbered.select("value", "path", (F.col("_n") - 1).alias("seq")))

@@ -8,8 +8,12 @@ Scan: files below <workspace>/<project>/<run_id>/<kind>/, in order of their path
 A partition is a folder, or many of them where there are more than TASKS; a folder on a mounted disk with more than LARGE files is dealt to several. Beyond FEW runs the executors list what is in them.
 Mode bits are read by the executors, where the folder is a mounted one; elsewhere they are null. Option content=false leaves contents out.
 
-write_files: rows (name, content as string or binary) are stored; when all are made and their names known to be good and unique, tasks write the files, each under a hidden name first. So nothing but counts reaches
-the driver, rows that fail leave no files, no file is ever seen in part, and writing the same rows again changes nothing. A name that comes twice, is empty, null or leads out of the folder fails the write. A null
+listed, with_content: files of any layout below a mounted folder. Tasks list a level of folders at a time, so the driver holds no list of files; contents are read by path, after rows are numbered, joined or chosen.
+
+log_parts: lines of logs of any length as rows for write_files; a log's parts are files <name>.part-<number>, in order.
+
+write_files: rows (name, content as string or binary) are stored; when all are made and their names known to be good and unique, tasks write the files, each under a hidden name first. Few rows or partitions are dealt
+to all tasks, as a file costs its time however short it is. So nothing but counts reaches the driver, rows that fail leave no files, no file is ever seen in part, and writing the same rows again changes nothing. A name that comes twice, is empty, null or leads out of the folder fails the write. A null
 content is an empty file. Paths are what pyarrow's file systems open (mounted folders, hdfs, object stores). The data source writes by the same rules into a folder beside, and its driver moves the files: for some
 thousand of them.
 """
@@ -23,14 +27,16 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, In, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ..operators.scan import scanned
 from ..scratch import stored
 
 log = logging.getLogger(__name__)
@@ -43,12 +49,16 @@ _STAGED = "_staged-"
 TASKS, FEW, LARGE, PARTS = 256, 1000, 20_000, 64
 #: Bytes of contents and files in one batch, about.
 BATCH, ROWS = 4 << 20, 4096
+#: Lines in a part of a log.
+LOG_LINES = 50_000
+
+
+def plain_path(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(plain_path(path))
 
 
 def scheme_of(path: str) -> str:
@@ -300,18 +310,24 @@ def write_files(rows: DataFrame, folder: str, mode: str = "append") -> None:
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = opened(folder)
-        made: set[str] = set()
+        local = isinstance(store, fs.LocalFileSystem)
+        task, made = uuid.uuid4().hex, set()
         for batch in batches:
-            for name, content in _slices([batch]):
+            for k, (name, content) in enumerate(_slices([batch])):
                 target = posixpath.join(root, name)
                 if (above := posixpath.dirname(target)) not in made:
                     store.create_dir(above, recursive=True)
-                    made = (made if len(made) < ROWS else set()) | {above}
-                part = f"{above}/.{uuid.uuid4().hex}"  # a move within a folder needs no lock of the whole disk
+                    if len(made) >= ROWS:
+                        made.clear()
+                    made.add(above)
+                part = f"{above}/.{task}-{k}"  # a move within a folder needs no lock of the whole disk
                 try:
-                    with store.open_output_stream(part) as f:
+                    with open(part, "wb", 0) if local else store.open_output_stream(part) as f:
                         f.write(_bytes(content))
-                    store.move(part, target)
+                    if local:
+                        os.replace(part, target)
+                    else:
+                        store.move(part, target)
                 except BaseException:
                     if store.get_file_info(part).type == fs.FileType.File:
                         store.delete_file(part)
@@ -325,6 +341,8 @@ def write_files(rows: DataFrame, folder: str, mode: str = "append") -> None:
         raise ValueError(f"{more} names come more than once")
     if mode == "overwrite":
         _others_deleted(rows.sparkSession, folder, put)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    put = put.repartition(tasks) if put.rdd.getNumPartitions() < tasks else put
     count = put.mapInArrow(written, "n bigint").agg(F.sum("n")).first()[0]
     log.info("wrote %d files to %s", count or 0, folder)
 
@@ -355,3 +373,70 @@ def _others_deleted(spark: SparkSession, folder: str, kept: DataFrame) -> None:
 def _files(store: fs.FileSystem, path: str) -> Iterator[str]:
     for name, is_folder in _entries(store, path):
         yield from _files(store, f"{path}/{name}") if is_folder else [f"{path}/{name}"]
+
+
+def mounted(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one of a mounted folder, without a pattern, so that tasks can list it themselves."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:"
+    return not set(path) & set("*?[{") and (path.startswith("file:") or path.startswith("/") and default.startswith("file:"))
+
+
+def _left_out(name: str) -> bool:
+    """Names that Spark's sources pass over."""
+    out = name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+    return out and not name.startswith(("_common_metadata", "_metadata"))
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path and length of all files below a mounted folder, but for those that Spark's sources pass over. A folder's names are listed by one task, level by level."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[str, int | None]]:
+            for (path,) in _slices(batches):
+                with os.scandir(plain_path(path)) as names:
+                    for x in names:
+                        if not _left_out(x.name):
+                            yield f"{path}/{x.name}", None if x.is_dir() else x.stat().st_size
+
+        held = found()
+        while rows := list(islice(held, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64()))], ["path", "length"])
+
+    top = plain_path(root).rstrip("/")
+    if not os.path.isdir(top):
+        raise FileNotFoundError(f"{root} is no folder")
+    folders, out, tasks = spark.createDataFrame([(f"file:{top}",)], "path string"), None, spark.sparkContext.defaultParallelism
+    while not folders.isEmpty():
+        level = stored(folders.repartition(tasks).mapInArrow(entries, "path string, length bigint"), "listed")
+        files = level.where("length is not null")
+        out = files if out is None else out.unionByName(files)
+        folders = level.where("length is null").select("path")
+    return out
+
+
+def with_content(rows: DataFrame) -> DataFrame:
+    """rows (with the path of files of a mounted folder) with `content`. Rows leave by BATCH bytes."""
+    schema = StructType([*rows.schema.fields, StructField("content", BinaryType())])
+    at, names = rows.columns.index("path"), schema.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, size, held = 0, 0, []
+            for k, path in enumerate(batch.column(at).to_pylist()):
+                with open(plain_path(path), "rb", 0) as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size > BATCH or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns, pa.array(held, pa.binary())], names)
+                    first, size, held = k + 1, 0, []
+
+    return rows.mapInArrow(read, schema)
+
+
+def log_parts(lines: DataFrame, order: str, size: int = LOG_LINES) -> DataFrame:
+    """lines (name, line and a column for their order) as rows (name, content) for write_files: parts of so many lines, named <name>.part-<number>. No task holds more than a part."""
+    numbered = scanned(lines.select("name", F.col(order).alias("_o"), "line"), ["name"], ["_o"], place="_n")
+    part = F.expr(f"(_n - 1) div {size}")
+    parts = numbered.groupBy("name", part.alias("_part")).agg(F.sort_array(F.collect_list(F.struct("_n", "line"))).alias("x"))
+    number = F.col("_part").cast("string")
+    return parts.select(F.concat("name", F.lit(".part-"), F.lpad(number, 9, "0")).alias("name"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("content"))

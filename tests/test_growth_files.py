@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from faultline.sources import files
+from faultline.sources import artifacts, files
 
 
 def listed(folder):
@@ -42,3 +42,37 @@ def test_a_scan_has_few_partitions(tmp_path, monkeypatch):
     one.chosen = {"run_id": {"r00"}}
     parts = one.partitions()
     assert len(parts) == files.PARTS and len(rows(one, parts)) == 51 and max(len(rows(one, [x])) for x in parts) < 10
+
+
+def test_a_corpus_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Spark's source lists every file on the driver and opens a task for a few; a mounted corpus doesn't go by it. The same files and places come out."""
+    for rel in ("h/seeds/b", "h/seeds/a", "h/crashes/seeds/2", "h/crashes/t/10", "h/crashes/t/.x", "h/crashes/t/_y", "h/crashes/t/_y=", "h/crashes/crashes/z/1", "g/initial/x", "seeds/q", "other", "h/crashes/deep"):
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_text(rel)
+    shown = lambda rows: sorted((r.path, r.harness, r.kind, r.bucket, r.id, r.length, r.seq, bytes(r.content).decode()) for r in rows.collect())
+    with monkeypatch.context() as m:
+        m.setattr(files, "mounted", lambda *_: False)
+        want = shown(artifacts.corpus(spark, str(tmp_path)))
+    monkeypatch.setattr(artifacts, "_binary", None)
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"file:{tmp_path}"):
+        assert shown(artifacts.corpus(spark, root)) == want and len(want) == 8
+    found = artifacts.corpus(spark, str(tmp_path), content=False)
+    assert "content" not in found.columns and shown(artifacts.with_content(spark, str(tmp_path), found)) == want
+
+
+def test_contents_leave_in_bounded_batches(spark, tmp_path, monkeypatch):
+    (tmp_path / "h/seeds").mkdir(parents=True)
+    for k in range(20):
+        (tmp_path / f"h/seeds/s{k:02d}").write_bytes(bytes([k]) * 10)
+    monkeypatch.setattr(files, "BATCH", 25)
+    assert {r.id: bytes(r.content) for r in artifacts.corpus(spark, str(tmp_path)).collect()} == {f"s{k:02d}": bytes([k]) * 10 for k in range(20)}
+
+
+def test_logs_in_parts(spark, tmp_path):
+    """A log of any length is written in parts, none of them longer than a part, and read as one."""
+    lines = spark.range(1000, numPartitions=5).select(F.concat(F.lit("p/r"), F.col("id") % 2, F.lit("/logs/run.log")).alias("name"), (-F.col("id")).alias("at"), F.concat(F.lit("line "), "id").alias("line"))
+    parts = files.log_parts(lines, "at", 9)
+    assert max(r.content.count("\n") for r in parts.collect()) == 8
+    files.write_files(parts, str(tmp_path))
+    got = artifacts.run_log(spark, f"{tmp_path}/p/*/logs/run.log.part-*").collect()
+    assert sorted((r.run_id, r.seq, r.value) for r in got) == sorted((f"r{k % 2}", n, f"line {k}") for half in (0, 1) for n, k in enumerate(range(998 + half, -1, -2)))
