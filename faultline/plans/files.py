@@ -164,19 +164,20 @@ def candidate_paths(spark, sf_dir):
 
 @query(
     """select p_partkey, 'crashes' as kind, 'b' || (p_partkey % 7) as bucket, row_number() over (partition by p_partkey % 7 order by 'id' || p_partkey) - 1 as seq, length(p_name) as size, p_name as source from part
-    union all select o_orderkey, 'log', null, row_number() over (order by o_orderkey) - 1, null, 'order ' || o_orderkey from orders where o_orderkey % 20 = 0"""
+    union all select o_orderkey, 'log', null, row_number() over (order by o_orderkey) - 1, null, 'order ' || o_orderkey from orders"""
 )
 def corpus_and_log_order(spark, sf_dir):
     """Files of a corpus and lines of a log, written by name, read back with their places."""
     path = folder(spark, "ordered")
-    p, o = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    p, o = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
     key = F.col("p_partkey").cast("string")
     corpus = p.select(F.concat(F.lit("corpus/h/crashes/b"), (F.col("p_partkey") % 7).cast("string"), F.lit("/id"), key).alias("name"), F.col("p_name").alias("content"))
-    lines = F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit("order "), k.cast("string")))
-    log = o.agg(F.array_join(lines, "\n").alias("content")).select(F.lit("run/p/r/logs/run.log").alias("name"), "content")
-    files.write_files(corpus.unionByName(log), path)
-    found = artifacts.corpus(spark, f"{path}/corpus")
+    lines = o.select(F.lit("run/p/r/logs/run.log").alias("name"), "o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("line"))
+    files.write_files(corpus.unionByName(files.log_parts(lines, "o_orderkey")), path)
+    root = f"{path}/corpus"
+    found = artifacts.corpus(spark, root, content=False)
     crashes = artifacts.listed_crashes(found).select("crash_id", "input_size")
-    rows = found.join(crashes, F.col("id") == F.col("crash_id")).select(F.substring("id", 3, 20).cast("bigint").alias("p_partkey"), "kind", "bucket", "seq", F.col("input_size").alias("size"), F.col("content").cast("string").alias("source"))
-    said = artifacts.run_log(spark, f"{path}/run/p/r/logs/run.log")
+    whole = artifacts.with_content(spark, root, found.join(crashes, F.col("id") == F.col("crash_id")))
+    rows = whole.select(F.substring("id", 3, 20).cast("bigint").alias("p_partkey"), "kind", "bucket", "seq", F.col("input_size").alias("size"), F.col("content").cast("string").alias("source"))
+    said = artifacts.run_log(spark, f"{path}/run/p/r/logs/run.log.part-*")
     return rows.unionByName(said.select(F.split("value", " ")[1].cast("bigint").alias("p_partkey"), F.lit("log").alias("kind"), F.lit(None).cast("string").alias("bucket"), "seq", F.lit(None).cast("bigint").alias("size"), F.col("value").alias("source")))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from faultline.plans.files import corpus_and_log_order
 from faultline.sources import artifacts, files
 
 
@@ -76,3 +77,10 @@ def test_logs_in_parts(spark, tmp_path):
     files.write_files(parts, str(tmp_path))
     got = artifacts.run_log(spark, f"{tmp_path}/p/*/logs/run.log.part-*").collect()
     assert sorted((r.run_id, r.seq, r.value) for r in got) == sorted((f"r{k % 2}", n, f"line {k}") for half in (0, 1) for n, k in enumerate(range(998 + half, -1, -2)))
+
+
+def test_the_log_holds_all_orders(spark, tmp_path):
+    spark.range(3).selectExpr("id as p_partkey", "'n' || id as p_name").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1, 60, 7).selectExpr("id as o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted((r.seq, r.p_partkey, r.source) for r in corpus_and_log_order(spark, str(tmp_path)).where("kind = 'log'").collect())
+    assert got == [(n, k, f"order {k}") for n, k in enumerate(range(1, 60, 7))]
