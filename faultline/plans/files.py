@@ -44,8 +44,7 @@ def run_documents(spark, sf_dir):
     static = batches.select("project", "run_id", "summary").distinct()
     rows = documents.fuzzing_documents(batches, crashes).unionByName(documents.dedup_documents(crashes)).unionByName(documents.crash_logs(crashes, F.lit("2025-01-01T00:00:00+00:00"))).unionByName(documents.static_documents(static, found))
     logs = static.select(F.concat("project", F.lit("/"), "run_id", F.lit("/logs/run.log")).alias("name"), F.lit("x").alias("content"))
-    for _ in range(2):
-        files.write_files(rows.unionByName(logs), path)
+    files.write_files(rows.unionByName(logs), path, packed=True, times=2)
     got = files.artifact_files(spark, path).where("kind = 'artifacts' and project = 'p'").select(F.col("run_id").cast("bigint").alias("user_id"), "rel", F.col("content").cast("string").alias("c"))
     value = lambda json: F.get_json_object("c", json)
     of = lambda name: F.col("rel").endswith(name)

@@ -35,12 +35,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _target(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    store, target = _target(spark, path)
+    return store.getContentSummary(target).getLength()
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """A folder that nothing reads any more goes before the process ends."""
+    store, target = _target(spark, path)
+    store.delete(target, True)
+
+
 @atexit.register
 def clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            dropped(spark, path)
         except Exception:  # the session may have ended
             return

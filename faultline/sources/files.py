@@ -12,14 +12,15 @@ listed, with_content: files of any layout below a mounted folder. Tasks list a l
 
 log_parts: lines of logs of any length as rows for write_files; a log's parts are files <name>.part-<number>, in order.
 
-write_files: rows (name, content as string or binary) are stored; when all are made and their names known to be good and unique, tasks write the files, each under a hidden name first. Few rows or partitions are dealt
-to all tasks, as a file costs its time however short it is. So nothing but counts reaches the driver, rows that fail leave no files, no file is ever seen in part, and writing the same rows again changes nothing. A name that comes twice, is empty, null or leads out of the folder fails the write. A null
+write_files: rows (name, content as string or binary) are stored; when all are made and their names known to be good and unique, tasks write the files, each under a hidden name first. Short ones are dealt to
+all tasks first, as a file costs its time however short it is; the stored rows go when the files are there. So nothing but counts reaches the driver, rows that fail leave no files, no file is ever seen in part, and writing the same rows again changes nothing. A name that comes twice, is empty, null or leads out of the folder fails the write. A null
 content is an empty file. Paths are what pyarrow's file systems open (mounted folders, hdfs, object stores). The data source writes by the same rules into a folder beside, and its driver moves the files: for some
 thousand of them.
 """
 
 from __future__ import annotations
 
+import gzip
 import logging
 import os
 import posixpath
@@ -37,7 +38,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators.scan import scanned
-from ..scratch import stored
+from ..scratch import dropped, stored, stored_bytes
+from ..scratch import folder as scratch
 
 log = logging.getLogger(__name__)
 
@@ -45,6 +47,8 @@ FILES = "project string, run_id string, kind string, rel string, name string, le
 _ARROW = pa.schema([(n, pa.string()) for n in ("project", "run_id", "kind", "rel", "name")] + [("length", pa.int64()), ("mode", pa.int32()), ("executable", pa.bool_()), ("content", pa.binary())])
 _FOLDERS = ("project", "run_id", "kind")
 _STAGED = "_staged-"
+#: The end of the names of files that are written compressed. The scan shows them by the name and with the content and length that were given.
+PACKED = ".packed.gz"
 #: Tasks of a scan of many folders; runs whose folders the driver lists; files of a folder that one task reads; parts of a larger one.
 TASKS, FEW, LARGE, PARTS = 256, 1000, 20_000, 64
 #: Bytes of contents and files in one batch, about.
@@ -105,7 +109,7 @@ def _many(path: str) -> bool:
 
 
 def read_file(store: fs.FileSystem, path: str) -> bytes:
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
@@ -180,9 +184,13 @@ class ArtifactReader(DataSourceReader):
                     if partition.parts > 1 and zlib.crc32(rel.encode("utf-8", "surrogateescape")) % partition.parts != partition.part:
                         continue
                     state = os.stat(path) if local else None
-                    content = read_file(store, path) if self.content else None
+                    size, packed = state.st_size if local else store.get_file_info(path).size, rel.endswith(PACKED)
+                    content = read_file(store, path) if self.content or packed else None
+                    if packed:
+                        rel, content = rel.removesuffix(PACKED), gzip.decompress(content)
+                        size, content = len(content), content if self.content else None
                     mode = None if state is None else state.st_mode & 0o7777
-                    yield project, run_id, kind, rel, posixpath.basename(path), state.st_size if local else store.get_file_info(path).size, mode, None if mode is None else bool(mode & 0o111), content
+                    yield project, run_id, kind, rel, posixpath.basename(rel), size, mode, None if mode is None else bool(mode & 0o111), content
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -206,7 +214,7 @@ def _staged_files(rows: Iterable[tuple], store: fs.FileSystem, folder: str) -> I
     for k, (name, content) in enumerate(rows):
         clean = _clean(name)
         place = posixpath.join(folder, f"{k:09d}")
-        with store.open_output_stream(place) as f:
+        with store.open_output_stream(place, compression=None) as f:
             f.write(_bytes(content))
         yield place, clean
 
@@ -298,14 +306,16 @@ def _pairs(rows: Iterable[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], ["place", "name"])
 
 
-def write_files(rows: DataFrame, folder: str, mode: str = "append") -> None:
-    """One file for each row (name, content) of rows; with mode overwrite, other files of the folder go."""
+def write_files(rows: DataFrame, folder: str, mode: str = "append", packed: bool = False, times: int = 1) -> None:
+    """One file for each row (name, content) of rows; with mode overwrite, other files of the folder go. packed: files are compressed, which artifact_files doesn't show.
+    times: so many writes one after another, of rows that are made once."""
     if mode not in ("append", "overwrite"):
         raise ValueError(f"mode {mode} isn't append or overwrite")
+    end = PACKED if packed else ""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = pa.array([_clean(x) for x in batch.column(0).to_pylist()], pa.string())
+            names = pa.array([_clean(x) + end for x in batch.column(0).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([names, batch.column(1)], ["name", "content"])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +332,8 @@ def write_files(rows: DataFrame, folder: str, mode: str = "append") -> None:
                     made.add(above)
                 part = f"{above}/.{task}-{k}"  # a move within a folder needs no lock of the whole disk
                 try:
-                    with open(part, "wb", 0) if local else store.open_output_stream(part) as f:
-                        f.write(_bytes(content))
+                    with open(part, "wb") if local else store.open_output_stream(part, compression=None) as f:
+                        f.write(gzip.compress(_bytes(content), 1, mtime=0) if packed else _bytes(content))
                     if local:
                         os.replace(part, target)
                     else:
@@ -335,16 +345,22 @@ def write_files(rows: DataFrame, folder: str, mode: str = "append") -> None:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     kind = rows.schema["content"].dataType.simpleString()
-    put = stored(rows.select("name", "content").mapInArrow(checked, f"name string, content {kind}"), "files")
-    more = put.groupBy("name").count().where("count > 1").agg(F.sum(F.col("count") - 1)).first()[0]
-    if more:
-        raise ValueError(f"{more} names come more than once")
-    if mode == "overwrite":
-        _others_deleted(rows.sparkSession, folder, put)
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    put = put.repartition(tasks) if put.rdd.getNumPartitions() < tasks else put
-    count = put.mapInArrow(written, "n bigint").agg(F.sum("n")).first()[0]
-    log.info("wrote %d files to %s", count or 0, folder)
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "files")
+    try:
+        rows.select("name", "content").mapInArrow(checked, f"name string, content {kind}").write.parquet(path)
+        put = spark.read.schema(f"name string, content {kind}").parquet(path)
+        more = put.groupBy("name").count().where("count > 1").agg(F.sum(F.col("count") - 1)).first()[0]
+        if more:
+            raise ValueError(f"{more} names come more than once")
+        if mode == "overwrite":
+            _others_deleted(spark, folder, put)
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = put.repartition(tasks) if stored_bytes(spark, path) < tasks * BATCH else put  # many short files lie in few partitions; long ones needn't move again
+        for _ in range(times):
+            count = dealt.mapInArrow(written, "n bigint").agg(F.sum("n")).first()[0]
+            log.info("wrote %d files to %s", count or 0, folder)
+    finally:
+        dropped(spark, path)
 
 
 def _others_deleted(spark: SparkSession, folder: str, kept: DataFrame) -> None:

@@ -1,7 +1,10 @@
 """Many files: written and scanned by tasks."""
 
+import os
+
 from pyspark.sql import functions as F
 
+from faultline import scratch
 from faultline.plans.files import corpus_and_log_order
 from faultline.sources import artifacts, files
 
@@ -84,3 +87,18 @@ def test_the_log_holds_all_orders(spark, tmp_path):
     spark.range(1, 60, 7).selectExpr("id as o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
     got = sorted((r.seq, r.p_partkey, r.source) for r in corpus_and_log_order(spark, str(tmp_path)).where("kind = 'log'").collect())
     assert got == [(n, k, f"order {k}") for n, k in enumerate(range(1, 60, 7))]
+
+
+def test_packed_files_take_less_disk(spark, tmp_path):
+    """Files of a run can be written compressed; the scan shows the names, lengths and contents that were given, and no stored rows stay behind."""
+    rows = spark.range(40).select(F.concat(F.lit("p/r"), F.col("id") % 3, F.lit("/artifacts/f/d"), "id", F.lit(".json")).alias("name"), F.concat(F.repeat(F.lit("text "), 5000), F.col("id").cast("string")).alias("content"))
+    size = lambda folder: sum(len(x) for x in listed(folder).values())
+    shown = {}
+    before = set(scratch._made)
+    for packed in (False, True):
+        files.write_files(rows, str(tmp_path / f"w{packed}"), packed=packed, times=2)
+        for content in (True, False):
+            shown[packed, content] = sorted((r.project, r.run_id, r.kind, r.rel, r.name, r.length, r.content and bytes(r.content)) for r in files.artifact_files(spark, str(tmp_path / f"w{packed}"), content).collect())
+    assert shown[True, True] == shown[False, True] and shown[True, False] == shown[False, False] and len(shown[True, True]) == 40
+    assert size(tmp_path / "wTrue") * 20 < size(tmp_path / "wFalse")
+    assert not [path for _, path in set(scratch._made) - before if "/files-" in path and os.path.exists(files.plain_path(path))]
