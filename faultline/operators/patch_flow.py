@@ -287,11 +287,15 @@ def folded(source: str, steps: list[tuple[str, bool]]) -> list[tuple[bool, bool,
 
 
 def _lists(patches: DataFrame, sources: DataFrame) -> DataFrame:
-    """A row for each file: run_id, file_path, source, its patches in order. Files are dealt to all partitions, as a few of them, small by bytes, may be the work of a whole run."""
+    """A row for each file: run_id, file_path, source, its patches in order. Patches and sources meet in one shuffle, and files are dealt to all partitions, as a few of them, small by bytes, may be the work of
+    a whole run."""
     step = F.struct("seq", "patch", F.coalesce("build_success", F.lit(False)).alias("build_success"))
-    dealt = patches.repartition(int(patches.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run_id", "file_path")
-    lists = dealt.groupBy("run_id", "file_path").agg(F.sort_array(F.collect_list(step)).alias("p"))
-    return lists.join(sources.select("run_id", "file_path", "source").hint("merge"), ["run_id", "file_path"]).select("run_id", "file_path", "source", "p")
+    keys = ["run_id", "file_path"]
+    given = sources.select(*[F.col(k).cast(patches.schema[k].dataType) for k in keys], F.struct("source").alias("_s"), F.lit(None).cast(patches.select(step).schema[0].dataType).alias("_p"))
+    rows = patches.select(*keys, F.lit(None).cast(given.schema["_s"].dataType).alias("_s"), step.alias("_p")).unionByName(given)
+    dealt = rows.dropna(subset=keys).repartition(int(patches.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    lists = dealt.groupBy(*keys).agg(F.collect_list("_s").alias("_s"), F.sort_array(F.collect_list("_p")).alias("p")).where("size(p) > 0")
+    return lists.select(*keys, F.explode("_s").alias("_s"), "p").select(*keys, "_s.source", "p")
 
 
 def _files(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, list[tuple[str, bool]]]]:

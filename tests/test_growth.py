@@ -194,3 +194,43 @@ def test_admission_asks_for_its_state_twice(orders):
     admission.ids = State(["10"])
     admission.handleInitialState((), pd.DataFrame({"id": ["10", "11", "11", "12"]}), None)
     assert admission.ids.ids == [("10",), ("11",), ("12",)] and admission.ids.calls == 2
+
+
+# --- folds of many short files ---
+
+
+def test_alignments_follow_from_scores_and_are_made_once(monkeypatch):
+    """Files of one form cost one table for each form of a patch, not one each; what is remembered equals what is computed."""
+    made = []
+    fill = align.Grid._fill
+    monkeypatch.setattr(align.Grid, "_fill", lambda self, *a: made.append(1) or fill(self, *a))
+    align._remembered.cache_clear()
+    for k in range(1000, 1060):
+        steps = [(f"@@ -1,2 +1,2 @@\n a{k}\n-original line\n+first\n omega_line", True), ("@@ -1,2 +1,2 @@\n-nothing like it is left here\n+third", True)]
+        (one, two) = patch_flow.folded(f"a{k}\noriginal line\nomega_line\nthe end of it", steps)
+        assert one == (True, True, None, [(0, 3, [f"a{k}", "first", "omega_line"], 0, 3)]) and two[:2] == (False, False) and "No good matches" in two[2]
+    assert len(made) <= 4
+    rng = random.Random(8)
+    for _ in range(2000):
+        text = lambda n: [rng.choice(["aaaa", "aaab", "bbbbbbbb", "", align.NEW, "aaaa1"]) for _ in range(rng.randint(1, n))]
+        source, patch, stated = text(8), text(5), rng.choice([None, 1, 4])
+        outcomes = []
+        for f in (lambda: align.aligned(source, patch, stated), lambda: align._placed(len(source), *align.scored(source, patch), stated)):
+            try:
+                outcomes.append(f())
+            except align.Unmatched as why:
+                outcomes.append(str(why))
+        assert outcomes[0] == outcomes[1]
+        whole = [*patch, align.GAP]
+        begun = align.beginnings(whole)
+        assert align.told(source, patch) == {k: row for k, x in enumerate(source) if (row := align.scores(x, whole, begun))}
+
+
+def test_patches_and_sources_meet_in_one_shuffle(spark):
+    patches = spark.createDataFrame([("r", "f", 1, "p1", True), ("r", "f", 0, "p0", None), ("r", "g", 0, "x", True), (None, "f", 0, "x", True)], "run_id string, file_path string, seq bigint, patch string, build_success boolean")
+    sources = spark.createDataFrame([("r", "f", "text"), ("r", "h", "alone"), (None, "f", "none"), ("s", "f", None)], "run_id string, file_path string, source string")
+    lists = patch_flow._lists(patches.unionByName(patches.where("file_path = 'f'").withColumn("run_id", F.lit("s"))), sources)
+    assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    steps = lambda r: [(x.seq, x.patch, x.build_success) for x in r.p]
+    got = {(r.run_id, r.file_path, r.source): steps(r) for r in lists.collect()}
+    assert got[("r", "f", "text")] == [(0, "p0", False), (1, "p1", True)] and set(got) == {("r", "f", "text"), ("s", "f", None)} and len(got[("s", "f", None)]) == 3
