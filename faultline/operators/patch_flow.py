@@ -7,7 +7,9 @@ A step finds its place by an index of how lines begin (LongFile), so a long file
 
 from __future__ import annotations
 
+import hashlib
 import math
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain, islice
@@ -75,7 +77,7 @@ class Blocks:
 
     LEAST = 512
 
-    def __init__(self, items: list) -> None:
+    def __init__(self, items: list | array) -> None:
         self.size = max(self.LEAST, math.isqrt(len(items)))
         self.parts = [Part(items[k : k + self.size], n) for n, k in enumerate(range(0, max(1, len(items)), self.size))]
         self._count()
@@ -125,6 +127,48 @@ class Blocks:
         return gone, changed
 
 
+class Kept:
+    """The lines of a text that comes in blocks, in Arrow arrays: a line costs its bytes and 8, where a str costs 50 more."""
+
+    LINES = 8192
+
+    def __init__(self) -> None:
+        self.chunks: list[pa.Array] = []
+        self.starts: list[int] = []
+        self.n, self.blocks, self.held, self.open = 0, 0, [], None
+        self.digest = hashlib.sha256()
+
+    def add(self, block: str) -> None:
+        """The next block; between two blocks stands an end of line."""
+        if self.open is not None:
+            self._take((self.open + "\n").splitlines())
+        self.digest.update((("\n" if self.blocks else "") + block).encode())
+        self.open, self.blocks = block, self.blocks + 1
+
+    def _take(self, lines: list[str], last: bool = False) -> None:
+        self.held += lines
+        if self.held and (last or len(self.held) >= self.LINES):
+            self.starts.append(self.n)
+            self.chunks.append(pa.array(self.held, pa.large_string()))
+            self.n, self.held = self.n + len(self.held), []
+
+    def end(self) -> bool:
+        """After the last block: whether the text ends with an end of line."""
+        ended = self.open.endswith("\n") or not self.open and self.blocks > 1
+        self._take(self.open.splitlines(), True)
+        return ended
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: int) -> str:
+        at = bisect_right(self.starts, k) - 1
+        return self.chunks[at][k - self.starts[at]].as_py()
+
+    def __iter__(self) -> Iterator[str]:
+        return chain.from_iterable(c.to_pylist() for c in self.chunks)
+
+
 class Traced(Lines):
     """Lines that know which of them are of the first source: each has a number, its place there, or a negative one if a step has brought it."""
 
@@ -160,14 +204,14 @@ class LongFile(Traced):
     #: Hashes with more lines than this keep them by text.
     MANY = 32
 
-    def __init__(self, lines: list[str]) -> None:
+    def __init__(self, lines: list[str] | Kept) -> None:
         self.first, self.spans = len(lines), []
         self.given = lines
-        self.given_bare = [b if b != x else x for x, b in zip(lines, plain(lines))]
-        hashes = np.fromiter((hash(x[:-REACH]) for x in self.given_bare), np.int64, len(lines))
+        self.spaced: dict[int, str] = {}  # plain forms of lines that aren't plain
+        hashes = np.fromiter(self._hashes(), np.int64, len(lines))
         self.order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.order]
-        self.blocks = Blocks(list(range(len(lines))))
+        self.blocks = Blocks(array("q", range(len(lines))))
         #: The part that a line is in, None for one that went.
         self.home: list[Part | None] = [p for p in self.blocks.parts for _ in p.items]
         self.brought: dict[int, tuple[str, str]] = {}  # lines of steps and their plain forms
@@ -176,6 +220,16 @@ class LongFile(Traced):
         self.texts: dict[str, dict[str, list[int]]] = {}
         self.last = 0
 
+    def _hashes(self) -> Iterator[int]:
+        for k, x in enumerate(self.given):
+            bare = " ".join(x.split())
+            if bare != x:
+                self.spaced[k] = bare
+            yield hash(bare[:-REACH])
+
+    def _bare(self, k: int) -> str:
+        return self.spaced[k] if k in self.spaced else self.given[k]
+
     def __len__(self) -> int:
         return len(self.blocks)
 
@@ -186,8 +240,8 @@ class LongFile(Traced):
     def __iter__(self) -> Iterator[str]:
         return (self.given[n] if n >= 0 else self.brought[n][0] for n in self.blocks)
 
-    def _put(self, start: int, end: int, ids: list[int]) -> list[int]:
-        gone, parts = self.blocks.replace(start, end, ids)
+    def _put(self, start: int, end: int, ids: list[int] | array) -> array:
+        gone, parts = self.blocks.replace(start, end, array("q", ids))
         for k in gone:
             if k >= 0:
                 self.home[k] = None
@@ -223,12 +277,12 @@ class LongFile(Traced):
         """Plain lines of the first source that begin so, with their numbers; some that don't may be among them, and some that have gone."""
         low, high = (int(np.searchsorted(self.hashes, hash(head), side)) for side in ("left", "right"))
         if high - low <= self.MANY:
-            yield from ((self.given_bare[k], [k]) for k in self.order[low:high].tolist())
+            yield from ((self._bare(k), [k]) for k in self.order[low:high].tolist())
             return
         if head not in self.texts:
             texts = self.texts[head] = {}
             for k in self.order[low:high].tolist():
-                texts.setdefault(self.given_bare[k], []).append(k)
+                texts.setdefault(self._bare(k), []).append(k)
         yield from self.texts[head].items()
 
     def told(self, patch: list[str]) -> dict[int, tuple[float, ...]]:
@@ -259,26 +313,54 @@ def settled(lines: Traced | Blocks, ended: bool) -> tuple[Edit | None, bool]:
 
 def steps_of(source: str, steps: list[tuple[str, bool]]) -> Iterator[tuple[bool, bool, str | None, list[tuple], Traced, bool]]:
     """Of each step (patch, whether it built): applied, retained, error, edits; the file after it, and whether that ends with an end of line."""
-    lines, ended = source.splitlines(), source.endswith("\n")
-    file = LongFile(lines) if len(lines) >= LongFile.LINES and len(steps) >= LongFile.PATCHES else Traced(lines)
-    settles = None
-    for patch, built in steps:
-        if settles:
-            file.replace(settles)
-            settles = None
-        file.spans = []
-        done = patch_edits(file, patch)
-        if isinstance(done, Failed):
-            yield False, False, done.error, [], file, ended
-            continue
-        edits, undone = done
-        made = [(e.start, e.end - e.start, e.lines, *span) for e, span in zip(edits, file.spans)]
-        if not built:
-            for old in reversed(undone):
-                file.back(old)
-        yield True, built, None, made, file, ended
-        if built:
-            settles, ended = settled(file, ended)
+    return Fold(source.splitlines(), source.endswith("\n"), len(steps)).steps(steps)
+
+
+class Fold:
+    """A file that takes patches in turn."""
+
+    def __init__(self, lines: list[str] | Kept, ended: bool, patches: int) -> None:
+        long = len(lines) >= LongFile.LINES and patches >= LongFile.PATCHES
+        self.file = LongFile(lines) if long else Traced(list(lines))
+        self.ended = ended
+        #: What the last retained step left, if any: whether it ended with an end of line, and what takes back that it was read again.
+        self.left: tuple[bool, tuple | None] | None = None
+
+    def steps(self, steps: list[tuple[str, bool]]) -> Iterator[tuple[bool, bool, str | None, list[tuple], Traced, bool]]:
+        file, settles = self.file, None
+        for patch, built in steps:
+            if settles:
+                self.left = self.left[0], file.replace(settles)
+                settles = None
+            file.spans = []
+            done = patch_edits(file, patch)
+            if isinstance(done, Failed):
+                yield False, False, done.error, [], file, self.ended
+                continue
+            edits, undone = done
+            made = [(e.start, e.end - e.start, e.lines, *span) for e, span in zip(edits, file.spans)]
+            if not built:
+                for old in reversed(undone):
+                    file.back(old)
+            yield True, built, None, made, file, self.ended
+            if built:
+                self.left = self.ended, None
+                settles, self.ended = settled(file, self.ended)
+
+    def last(self) -> str | None:
+        """The SHA-256 of the file after the last step, or None where no step was retained. No step may follow."""
+        if self.left is None:
+            return None
+        ended, read_again = self.left
+        if read_again:
+            self.file.back(read_again)
+        out, lines, last, n = hashlib.sha256(), iter(self.file), None, 0
+        while some := list(islice(lines, Kept.LINES)):
+            out.update(("\n" * (n > 0) + "\n".join(some)).encode())
+            last, n = some[-1], n + len(some)
+        if ended and not (n > 1 and last == ""):
+            out.update(b"\n")
+        return out.hexdigest()
 
 
 def folded(source: str, steps: list[tuple[str, bool]]) -> list[tuple[bool, bool, str | None, list[tuple]]]:
@@ -352,6 +434,58 @@ def patch_fold(patches: DataFrame, sources: DataFrame) -> DataFrame:
     return _folding(patches, sources, True)
 
 
+def fold_blocks(patches: DataFrame, blocks: DataFrame) -> DataFrame:
+    """fold_edits for files that are too long to be one value: blocks (run_id, file_path, block, text) in order, with an end of line between two, are the text of a file. `last`, on the row of a
+    file's last step, is the SHA-256 of the file after it. A file's blocks and patches stream to one task in order, which holds its lines as Arrow arrays and an index of them, and nothing twice."""
+    keys, kinds = ["run_id", "file_path"], {f.name: f.dataType.simpleString() for f in patches.schema}
+    given = blocks.select(*[F.col(k).cast(kinds[k]) for k in keys], F.lit(0).alias("_kind"), F.col("block").cast("bigint").alias("_at"), F.lit(None).cast(kinds["seq"]).alias("seq"), F.col("text").alias("_text"), F.lit(False).alias("_built"))
+    steps = patches.select(*keys, F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_at"), "seq", F.col("patch").alias("_text"), F.coalesce("build_success", F.lit(False)).alias("_built"))
+    rows = given.unionByName(steps).dropna(subset=keys).repartition(int(patches.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "_kind", "_at", "seq", "_text", "_built")
+    names = [*keys, "seq", "patch_applied", "retained", "error", "edits", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, source, steps, types = None, Kept(), [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not source.blocks or not steps:
+                return
+            fold = Fold(source, source.end(), len(steps))
+            held, size = [], 0
+            for n, (applied, retained, error, edits, _, _) in enumerate(fold.steps([x[1:] for x in steps])):
+                held.append((steps[n][0], applied, retained, error, edits))
+                size += sum(len(x) for e in edits for x in e[2])
+                if (size > BATCH or len(held) >= ROWS) and n < len(steps) - 1:
+                    yield out(held, None)
+                    held, size = [], 0
+            yield out(held, fold.last() or source.digest.hexdigest())
+
+        def out(held: list[tuple], last: str | None) -> pa.RecordBatch:
+            seqs, applied, retained, errors, edits = zip(*held)
+            n = len(held)
+            columns = [pa.array([x] * n, t) for x, t in zip(key, types)] + [pa.array(seqs, types[2]), pa.array(applied), pa.array(retained), pa.array(errors, pa.string()), pa.array(edits, _EDITS), pa.array([None] * (n - 1) + [last], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            types = [batch.column(0).type, batch.column(1).type, batch.column(4).type]
+            for run_id, path, kind, _, seq, text, built in _slices(batch):
+                if (run_id, path) != key:
+                    yield from done()
+                    key, source, steps = (run_id, path), Kept(), []
+                if kind:
+                    steps.append((seq, text or "", built))
+                else:
+                    source.add(text or "")
+        yield from done()
+
+    return rows.mapInArrow(run, f"run_id {kinds['run_id']}, file_path {kinds['file_path']}, seq {kinds['seq']}, patch_applied boolean, retained boolean, error string, edits array<{EDIT}>, last string")
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, some at a time as Python values."""
+    for k in range(0, batch.num_rows, 256):
+        yield from zip(*(c.to_pylist() for c in batch.slice(k, 256).columns))
+
+
 def contents(steps: DataFrame, sources: DataFrame, last: bool = False) -> DataFrame:
     """steps (of fold_edits) with `content`, the file after each; with last, only the last step of each file. Rows leave one by one: a task holds one file."""
     lists = steps.groupBy("run_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("seq", "patch_applied", "retained", "error", "edits"))).alias("p"))

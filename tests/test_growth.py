@@ -234,3 +234,47 @@ def test_patches_and_sources_meet_in_one_shuffle(spark):
     steps = lambda r: [(x.seq, x.patch, x.build_success) for x in r.p]
     got = {(r.run_id, r.file_path, r.source): steps(r) for r in lists.collect()}
     assert got[("r", "f", "text")] == [(0, "p0", False), (1, "p1", True)] and set(got) == {("r", "f", "text"), ("s", "f", None)} and len(got[("s", "f", None)]) == 3
+
+
+def test_long_files_fold_from_blocks(spark, monkeypatch):
+    """Files that come in blocks, never as one value, fold as whole ones do; the last content is known by its hash. Odd ends of line too, and files with an index."""
+    rng = random.Random(4)
+    monkeypatch.setattr(patch_flow.Kept, "LINES", 7)
+    texts = ["", "\n", "a\n", "a", "\n\n", "x\r\ny\r\nz\r\n", "one two\n three  four \nfive", "p\n\nq\n\n"]
+    texts += ["\n".join(rng.choice(["alpha line", "beta line ", "", "gamma  line", f"row {k}"]) for k in range(rng.randint(1, 40))) + rng.choice(["", "\n", "\n\n"]) for _ in range(40)]
+    sources, blocks, patches = [], [], []
+    for f, text in enumerate(texts):
+        lines = text.split("\n")
+        sources.append(("r", str(f), text))
+        n = rng.randint(1, 6)
+        blocks += [("r", str(f), k // n, "\n".join(lines[k : k + n])) for k in range(0, len(lines), n)]
+        for seq in range(rng.randint(1, 7)):
+            k = rng.randrange(len(lines))
+            near = [" " + x.rstrip("\r") for x in lines[k : k + 3]]
+            patch = "\n".join([f"@@ -{k + 1},3 +1,3 @@", *near[:1], *[rng.choice(["", "-"]) + x[1:] if rng.random() < 0.4 else x for x in near[1:]], f"+new {seq}", *rng.choice([[], ["+"], ["+", "+"]])])
+            patches.append(("r", str(f), seq, rng.choice([patch, patch, patch, "@@ -1 +1 @@\n-no such line at all here", "none"]), rng.choice([True, True, False, None])))
+    given = spark.createDataFrame(patches, "run_id string, file_path string, seq bigint, patch string, build_success boolean")
+    whole = spark.createDataFrame(sources, "run_id string, file_path string, source string")
+    parts = spark.createDataFrame(blocks, "run_id string, file_path string, block bigint, text string").repartition(5)
+    want = patch_flow.fold_edits(given, whole)
+    last = {(r.file_path, r.seq): r.x for r in patch_flow.contents(want, whole, last=True).selectExpr("file_path", "seq", "sha2(content, 256) as x").collect()}
+    got = patch_flow.fold_blocks(given, parts).collect()
+    rows = lambda found: sorted((r.file_path, r.seq, r.patch_applied, r.retained, r.error or "", str(r.edits)) for r in found)
+    assert rows(got) == rows(want.collect()) and any(r.retained for r in got)
+    assert {(r.file_path, r.seq): r.last for r in got if r.last} == last and len(last) == len(texts)
+    assert patch_flow.fold_blocks(given, parts.where("false")).count() == 0
+    # the same in this process, with an index of each file
+    monkeypatch.setattr(patch_flow.LongFile, "LINES", 1)
+    monkeypatch.setattr(patch_flow.LongFile, "PATCHES", 1)
+    monkeypatch.setattr(patch_flow.Blocks, "LEAST", 3)
+    for _, f, text in sources:
+        kept = patch_flow.Kept()
+        for b in [b for b in blocks if b[1] == f]:
+            kept.add(b[3])
+        ended = kept.end()
+        assert list(kept) == text.splitlines() == [kept[k] for k in range(len(kept))] and ended == text.endswith("\n")
+        steps = [(p[3], bool(p[4])) for p in patches if p[1] == f]
+        fold = patch_flow.Fold(kept, ended, len(steps))
+        made = [x[:4] for x in fold.steps(steps)]
+        assert [(r.patch_applied, r.retained, r.error, [tuple(e) for e in r.edits]) for r in sorted((r for r in got if r.file_path == f), key=lambda r: r.seq)] == made
+        assert (fold.last() or kept.digest.hexdigest()) == last[(f, len(steps) - 1)]
